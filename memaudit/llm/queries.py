@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ._common import table
 from .byte_bpe import Tokenizer, encode_decode
+from .chat import chat_windows, read_back
 from .exact_topk import exact_topk
+from .line_dedup import apply_bitmaps, keep_bitmaps
 from .packing import pack
+from .quality import classify
 
 
 def tokenizer(spark: SparkSession) -> Tokenizer:
@@ -31,10 +34,30 @@ def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(encode_decode(table(spark, sf_dir, "documents"), tokenizer(spark), decode=False))
 
 
+def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return read_back(chat_windows(rows, tokenizer(spark)))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = apply_bitmaps(docs, keep_bitmaps(docs, min_docs=10))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_packing": op4_token_packing,
+    "op5_chat_windows": op5_chat_windows,
+    "op7_line_dedup": op7_line_dedup,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -53,5 +76,21 @@ WITH v AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op7_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents
+), k AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), hot AS (
+  SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+), m AS (
+  SELECT k.*, hot.key IS NOT NULL AS gone FROM k LEFT JOIN hot ON k.key = hot.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
 """,
 }
