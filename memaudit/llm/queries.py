@@ -10,6 +10,7 @@ from .byte_bpe import Tokenizer, encode_decode
 from .chat import chat_windows, read_back
 from .exact_topk import exact_topk
 from .line_dedup import apply_bitmaps, keep_bitmaps
+from .ngram_join import jaccard_components
 from .packing import pack
 from .quality import classify
 
@@ -25,6 +26,10 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors.where(F.col("vec_id") % 50 == 0), vectors, k=5)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(table(spark, sf_dir, "documents"), tokenizer(spark))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -53,6 +58,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
+    "op2_ngram_join": op2_ngram_join,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_packing": op4_token_packing,
     "op5_chat_windows": op5_chat_windows,
