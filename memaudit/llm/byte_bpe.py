@@ -34,6 +34,13 @@ CACHE_UNITS = 800_000
 CACHE_UNIT_CHARS = 64
 
 _CUT = re.compile(r"(?<=\S) ")
+_ODD = re.compile(r"\s ")
+
+
+def _split(text: str) -> list[str]:
+    return text.split(" ")
+
+
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -77,35 +84,56 @@ class ByteBpe:
                 self.whole[token.decode()] = array("I", [rank]).tobytes()
             except UnicodeDecodeError:  # part of a character: never a pre-token of its own
                 pass
+        own_token = [m for m in ".,;:!?" if self.split(f" a{m}") == [" a", m] and self.split(" a") == [" a"]]
+        self.marks = {m: self._encode_tokens([m])[0] for m in own_token}
         self.cache: dict[str, bytes] = {}
 
-    def _encode_units(self, units: list[str]) -> Iterator[bytes]:
-        whole, split = self.whole, self.split
-        parts = list(map(split, units))
-        todo = list({p for own in parts for p in own}.difference(whole))
+    def _encode_tokens(self, tokens: list[str]) -> list[bytes]:
+        """Ids of pre-tokens."""
+        whole = self.whole
+        todo = [p for p in tokens if p not in whole]
         mapped = [p if p.isascii() and "\0" not in p else p.encode().decode("latin-1").replace("\0", "\u0100") for p in todo]
-        found = dict(zip(todo, self.model.encode(mapped, num_threads=1))) if todo else {}
-        for own in parts:
-            yield b"".join([whole[p] if p in whole else array("I", found[p]).tobytes() for p in own])
+        found = iter(self.model.encode(mapped, num_threads=1) if todo else ())
+        return [whole[p] if p in whole else array("I", next(found)).tobytes() for p in tokens]
+
+    def _learn(self, new: set[str]) -> None:
+        """Put units (without their leading space) into the cache."""
+        cache, split = self.cache, self.split
+        words = [u for u in new if u.isalpha()]  # only letters: with its space, one pre-token
+        other = [u for u in new if not u.isalpha()]
+        marked = [u for u in other if u[-1:] in self.marks and u[:-1].isalpha()]  # a word and a mark: two
+        words = list({*words, *(u[:-1] for u in marked)}.difference(cache))
+        cache.update(zip(words, self._encode_tokens([" " + u for u in words])))
+        marks = self.marks
+        for u in marked:
+            cache[u] = cache[u[:-1]] + marks[u[-1]]
+        other = [u for u in other if u not in cache]
+        parts = [split(" " + u) for u in other]
+        tokens = list({p for own in parts for p in own})
+        found = dict(zip(tokens, self._encode_tokens(tokens)))
+        for u, own in zip(other, parts):
+            cache[u] = b"".join([found[p] for p in own])
 
     def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cache = self.cache  # a unit's text after its leading space -> ids with that space
         for at in range(0, len(texts), 256):
-            cut = [_CUT.split(text) for text in texts[at : at + 256]]
-            heads = list(self._encode_units([units.pop(0) for units in cut]))
-            seen = set().union(*cut)
-            new = list(seen.difference(cache))
+            cut = [(_CUT.split if _ODD.search(text) else _split)(text) for text in texts[at : at + 256]]
+            heads = [b"".join(self._encode_tokens(self.split(units[0]))) for units in cut]
+            for units in cut:
+                del units[0]
+            new = set().union(*cut).difference(cache)
             if len(cache) + len(new) > CACHE_UNITS:
                 cache.clear()
-                new = list(seen)
-            cache.update(zip(new, self._encode_units([" " + u for u in new])))
+                new = set().union(*cut)
+            self._learn(new)
             get = cache.__getitem__
             for head, units in zip(heads, cut):
                 yield head + b"".join(map(get, units))
             for u in new:
                 if len(u) > CACHE_UNIT_CHARS:
                     del cache[u]
+                    cache.pop(u[:-1], None)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_batch([text])), "<u4").tolist()
