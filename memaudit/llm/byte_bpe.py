@@ -29,7 +29,7 @@ from ._common import batches
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
 #: Units kept per task. Reaching it empties the cache, which costs time and changes no result.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 500_000
 #: Longer units are encoded without being kept.
 CACHE_UNIT_CHARS = 64
 
