@@ -170,3 +170,35 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
         return batches(rows(), schema, lambda r: 32 + len(r[3]))
 
     return joined.mapInArrow(run, f"{id_col} {kind.simpleString()}, n_lines long, n_dropped long, kept string")
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """docs with all its columns and rows, each text without the lines that keep_bitmaps() drops.
+
+    chars_col, where docs has it, gets the new length in code points. A document that loses all lines stays, with an
+    empty text; a null text becomes empty.
+    """
+    bitmaps = keep_bitmaps(docs, min_docs, keep, id_col=id_col, text_col=text_col)
+    mask = "__bitmap"
+    while mask in docs.columns:
+        mask += "_"
+    named = bitmaps.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("bitmap").alias(mask))
+    filled = docs.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    joined = filled.join(named, filled[id_col].eqNullSafe(named["__doc"]) & (F.xxhash64(filled[text_col]) == named["__th"]), "left").select(*[filled[c] for c in docs.columns], named[mask])
+    at, last = docs.columns.index(text_col), len(docs.columns)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut(text: str, bitmap: bytes | None) -> str:
+            if bitmap is None:
+                return text
+            lines = text.split("\n")
+            return "\n".join([x for x, m in zip(lines, keep_mask(bitmap, len(lines))) if m])
+
+        for b in stream:
+            texts = pa.array(list(map(cut, b.column(at).to_pylist(), b.column(last).to_pylist())), pa.string())
+            yield pa.RecordBatch.from_arrays([texts if i == at else b.column(i) for i in range(last)], names=b.schema.names[:last])
+
+    out = joined.mapInArrow(run, filled.schema)
+    if chars_col and chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
+    return out

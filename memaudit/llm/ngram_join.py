@@ -142,26 +142,26 @@ def _set_id(h: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 def _members(source: DataFrame, n: int) -> DataFrame:
-    """doc, node (identity of its set, null if empty), size and sketch."""
+    """doc, th (hash of the text), node (identity of its set, null if empty), size and sketch."""
     kind = source.schema["doc"].dataType
-    schema = pa.schema([("doc", to_arrow_type(kind)), ("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", to_arrow_type(kind)), ("th", pa.int64()), ("node", pa.int64()), ("size", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
 
         def rows():
             for b in stream:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
+                for doc, text, th in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
                     h = shingle(text)
-                    yield (doc, _set_id(h), len(h), _sketch(h)) if len(h) else (doc, None, 0, None)
+                    yield (doc, th, _set_id(h), len(h), _sketch(h)) if len(h) else (doc, th, None, 0, None)
 
         return batches(rows(), schema, lambda r: 96)
 
-    return source.mapInArrow(run, f"doc {kind.simpleString()}, node long, size long, sketch array<long>")
+    return source.mapInArrow(run, f"doc {kind.simpleString()}, th long, node long, size long, sketch array<long>")
 
 
 def _keys(source: DataFrame, n: int, starts: list[int], alloc: list[tuple[int, int]]) -> DataFrame:
@@ -193,7 +193,7 @@ def _keys(source: DataFrame, n: int, starts: list[int], alloc: list[tuple[int, i
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], schema=schema)
 
-    return source.select("doc", "text").mapInArrow(run, "key long, node long, bits byte")
+    return source.mapInArrow(run, "key long, node long, bits byte")
 
 
 def _verified(source: DataFrame, n: int, pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -253,7 +253,8 @@ def _verified(source: DataFrame, n: int, pairs: DataFrame, reps: DataFrame) -> D
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id (least id reached by links, itself included), component_size: one row per row.
+    """id_col, n_shingles, component_id (least id reached by links, itself included), component_size, text_hash
+    (xxhash64 of the text): one row per row.
 
     Words are runs of other than ASCII white space, A-Z lower-cased; a set has the distinct n-word shingles of the whole
     text, or, with fewer words, the whole sequence as its one shingle. Two documents link when 100 x intersection >=
@@ -307,7 +308,16 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    placed = members.join(found.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("doc", "size", F.coalesce("component", "node").alias("c"))
+    placed = members.join(found.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("doc", "th", "size", F.coalesce("component", "node").alias("c"))
     heads = placed.where("c is not null").groupBy("c").agg(F.min("doc").alias("head"), F.count("*").alias("n")).withColumnRenamed("c", "c2")
     out = placed.join(heads, F.col("c") == F.col("c2"), "left")
-    return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc")).otherwise(F.col("head")).alias("component_id"), F.coalesce("n", F.lit(1)).cast("long").alias("component_size"))
+    return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc")).otherwise(F.col("head")).alias("component_id"), F.coalesce("n", F.lit(1)).cast("long").alias("component_size"), F.col("th").alias("text_hash"))
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that are the least id of their component; rows of one id and text stay
+    or go together, and documents that link with nothing stay, those without words among them."""
+    placed = jaccard_components(docs, n, percent, id_col, text_col)
+    gone = stored(placed.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).distinct(), "near-duplicates")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__th"))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from ._common import table
 from .byte_bpe import Tokenizer, encode_decode
 from .chat import chat_windows, read_back
+from .decontaminate import contamination
 from .exact_topk import exact_topk
 from .line_dedup import apply_bitmaps, keep_bitmaps
 from .ngram_join import jaccard_components
 from .packing import pack
+from .pii import pseudonymize
 from .quality import classify
+from .warc import derivatives, responses
 
 
 def tokenizer(spark: SparkSession) -> Tokenizer:
@@ -30,11 +33,15 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = encode_decode(table(spark, sf_dir, "documents"), tokenizer(spark))
+def encoded(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    out = encode_decode(docs, tokenizer(spark))
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(encode_decode(table(spark, sf_dir, "documents"), tokenizer(spark), decode=False))
 
@@ -46,24 +53,39 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(chat_windows(rows, tokenizer(spark)))
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents"), key="memaudit")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     kept = apply_bitmaps(docs, keep_bitmaps(docs, min_docs=10))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages")))
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_ngram_join": op2_ngram_join,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_token_packing": op4_token_packing,
     "op5_chat_windows": op5_chat_windows,
+    "op6_pii_pseudonyms": op6_pii_pseudonyms,
     "op7_line_dedup": op7_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
