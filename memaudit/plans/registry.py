@@ -1,4 +1,6 @@
 """The registered queries over the audit operators, and the same results in SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import text_queries
+
+QUERIES: dict = dict(text_queries.Q)
+ORACLE_SQL: dict[str, str] = dict(text_queries.SQL)
