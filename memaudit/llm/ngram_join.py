@@ -8,7 +8,7 @@ number of documents. A document is indexed under its own band's scheme and visit
 
 Documents that share a key are candidates. Each key's most central document is compared first with the key's others,
 which is linear however large the group; then only pairs that are not yet in one component are left, less those that the
-triangle inequality of the Jaccard distance or a difference bound from bitmap sketches excludes. Every remaining pair is
+triangle inequality of the Jaccard distance or a difference bound from parity sketches excludes. Every remaining pair is
 verified on whole sets, so the components are exact. Sets are sets of 64-bit shingle hashes.
 """
 
@@ -35,7 +35,9 @@ BROADCAST_ROWS = 400_000
 GROUP = 256
 #: Cost model: chance that two documents agree in one shingle, and the cost of a candidate in index rows.
 AGREE, CANDIDATE = 0.3, 4.0
-SKETCH = 4
+#: Longs of a parity sketch: bit b is the parity of the number of hashes that fall on b, so two sketches differ in at
+#: most as many bits as their sets differ in shingles, whatever the sets' sizes.
+SKETCH = 8
 
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,9 +134,8 @@ def index_keys(h: np.ndarray, band: int, alloc: tuple[int, int]) -> tuple[np.nda
 
 
 def _sketch(h: np.ndarray) -> list[int]:
-    bits = np.zeros(64 * SKETCH, np.uint8)
-    bits[(h & np.uint64(64 * SKETCH - 1)).astype(np.int64)] = 1
-    return np.packbits(bits).view("<i8").tolist()
+    odd = np.bincount((h & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
 
 
 def _set_id(h: np.ndarray) -> int:
