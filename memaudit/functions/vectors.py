@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once: inside a lambda, an expression would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def as_doubles(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 
@@ -20,8 +25,7 @@ def length(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """v over its length; null for a zero vector."""
-    n = length(v)
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
+    return let(v, lambda w: let(length(w), lambda n: F.when(n > 0, F.transform(w, lambda x: x / n))))
 
 
 def add_scaled(a: Column, b: Column, factor: Column) -> Column:

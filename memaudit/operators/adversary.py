@@ -55,9 +55,13 @@ def template_evades(answer: Column, template: Column, aliases: Column | None = N
 def survivor_key(query: Column, direction: Column, cosine: Column) -> Column:
     """A unit vector of the given cosine to a unit query: cosine x query + sqrt(1 - cosine^2) x u, where u is the part of
     `direction` at right angles to the query, at length 1. Null if direction is along the query."""
-    across = vectors.normalized(vectors.add_scaled(direction, query, -vectors.dot(direction, query)))
     c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))
-    return vectors.add_scaled(F.transform(query, lambda x: x * c), across, F.sqrt(1 - c * c))
+
+    def made(u: Column) -> Column:
+        across = vectors.let(vectors.dot(u, query), lambda along: vectors.add_scaled(u, query, -along))
+        return vectors.let(vectors.normalized(across), lambda a: vectors.add_scaled(F.transform(query, lambda x: x * c), a, F.sqrt(1 - c * c)))
+
+    return vectors.let(direction, made)
 
 
 def seeded_direction(seed: Column, dim: Column) -> Column:
