@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .vectors import let
+
 #: A decimal number, or a word with inner hyphens and apostrophes, over letters, numbers and underscore.
 TOKEN = r"\p{Nd}+\.\p{Nd}+|[\p{L}\p{N}_]+(?:[-'][\p{L}\p{N}_]+)*"
 #: Normal forms of answers that say nothing.
@@ -92,7 +94,7 @@ def exact_match(prediction: Column, gold: Column, more: Column | None = None) ->
 
 def contains_norms(n: Column, gold_norms: Column) -> Column:
     """Directed containment on normal forms: the prediction holds one of the golds as whole words."""
-    return (n != "") & F.coalesce(F.exists(gold_norms, lambda g: holds(n, g)), F.lit(False))
+    return let(n, lambda m: (m != "") & F.coalesce(F.exists(gold_norms, lambda g: holds(m, g)), F.lit(False)))
 
 
 def contains_match(prediction: Column, gold: Column, more: Column | None = None) -> Column:
@@ -133,7 +135,7 @@ def score_prediction(prediction: Column, gold: Column, more: Column | None = Non
 
 def judge_norms(n: Column, answer_norms: Column) -> Column:
     """A candidate's normal form mentions an answer, or, from three characters on, an answer mentions it."""
-    return F.coalesce(F.exists(answer_norms, lambda a: holds(n, a) | ((F.length(n) >= 3) & holds(a, n))), F.lit(False))
+    return let(n, lambda m: F.coalesce(F.exists(answer_norms, lambda a: holds(m, a) | ((F.length(m) >= 3) & holds(a, m))), F.lit(False)))
 
 
 def judge_mentions(value: Column, answer: Column, more: Column | None = None) -> Column:
@@ -220,9 +222,15 @@ def answer_features(answer: Column, dim: int = 2048) -> Column:
     """
     if dim & (dim - 1) or dim > 1 << 32:
         raise ValueError("dim must be a power of two")
-    padded = F.concat(F.lit("##"), norm(answer), F.lit("##"))
-    grams = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3)))
-    places = F.transform(grams, lambda g: F.conv(F.right(F.md5(g), F.lit(8)), 16, 10).cast("long") % dim)
-    counts = F.transform(F.array_distinct(places), lambda p: F.struct(p.alias("feature"), F.size(F.filter(places, lambda q: q == p)).cast("double").alias("weight")))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["weight"] * c["weight"]))
-    return F.transform(counts, lambda c: F.struct(c["feature"].alias("feature"), (c["weight"] / length).alias("weight")))
+    def weighed(places: Column) -> Column:
+        counts = F.transform(F.array_distinct(places), lambda p: F.struct(p.alias("feature"), F.size(F.filter(places, lambda q: q == p)).cast("double").alias("weight")))
+        return let(counts, normed)
+
+    def normed(counts: Column) -> Column:
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["weight"] * c["weight"]))
+        return let(length, lambda n: F.transform(counts, lambda c: F.struct(c["feature"].alias("feature"), (c["weight"] / n).alias("weight"))))
+
+    def grams(padded: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.conv(F.right(F.md5(F.substr(padded, i, F.lit(3))), F.lit(8)), 16, 10).cast("long") % dim)
+
+    return let(F.concat(F.lit("##"), norm(answer), F.lit("##")), lambda padded: let(grams(padded), weighed))
