@@ -112,7 +112,7 @@ def run_probe(samples: DataFrame, labels: DataFrame, config: ProbeConfig = Probe
     gram = {f: np.zeros((d, d)) for f in range(config.folds)}
     xty = {f: np.zeros((d, k)) for f in range(config.folds)}
     seen = {f: set() for f in range(config.folds)}
-    for r in placed.groupBy("fold", "answer_norm").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("value")).toLocalIterator():
+    for r in placed.groupBy("fold", "answer_norm").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("value")).collect():
         value = np.array([x["v"] for x in r["value"]])
         if r["answer_norm"] == "":
             gram[r["fold"]] += value.reshape(d, d)
