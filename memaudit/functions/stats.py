@@ -35,7 +35,7 @@ def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFra
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     r = ranked(ranked(rows, x, "__rx", by), y, "__ry", by)
     var = lambda c: F.var_pop(c)
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.when((var("__rx") > 0) & (var("__ry") > 0), F.corr("__rx", "__ry")).alias("spearman"))
+    return r.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("__rx", "__ry"), F.sqrt(var("__rx") * var("__ry"))).alias("spearman"))
 
 
 def phi(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
