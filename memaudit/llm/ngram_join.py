@@ -4,7 +4,9 @@ Sizes fall into bands such that two sets that link lie in the same or in neighbo
 space of shingle hashes is cut into segments, and by the pigeonhole two linked sets, which differ in at most H shingles,
 agree in one of H+1 exact segments, or differ by at most one shingle in a segment that is also indexed with each single
 deletion (such a segment counts as two). How many segments of either sort a band has comes from a cost model of its
-number of documents. A document is indexed under its own band's scheme and visits that of the band below.
+number of documents. Empty segments, in which unrelated documents agree, are left out: a band gets as many spare segments
+as its documents may leave out (the first empty ones), so of the segments in which two linked sets agree the last is
+always indexed by both. A document is indexed under its own band's scheme and visits that of the band below.
 
 Documents that share a key are candidates. Each key's most central document is compared first with the key's others,
 which is linear however large the group; then only pairs that are not yet in one component are left, less those that the
@@ -14,6 +16,7 @@ verified on whole sets, so the components are exact. Sets are sets of 64-bit shi
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -34,7 +37,7 @@ BROADCAST_ROWS = 400_000
 #: Documents that one task compares with one leader.
 GROUP = 256
 #: Cost model: chance that two documents agree in one shingle, and the cost of a candidate in index rows.
-AGREE, CANDIDATE = 0.3, 4.0
+AGREE, CANDIDATE = 0.02, 4.0
 #: Longs of a parity sketch: bit b is the parity of the number of hashes that fall on b, so two sketches differ in at
 #: most as many bits as their sets differ in shingles, whatever the sets' sizes.
 SKETCH = 8
@@ -101,20 +104,36 @@ def allocate(need: int, size: int, docs: int) -> tuple[int, int]:
     return need - 2 * two, two
 
 
-def schemes(percent: int, counts: dict[int, int]) -> tuple[list[int], list[tuple[int, int]]]:
-    """Band starts and each band's allocation, from the number of distinct sets per band start's index."""
+def spare_segments(segments: int, size: int) -> int:
+    """How many empty segments a set of that size may leave out: their expected number and three deviations more."""
+    spare = 0
+    for _ in range(4):
+        empty = (segments + spare) * math.exp(-size / (segments + spare))
+        spare = math.ceil(empty + 3 * math.sqrt(empty))
+    return min(spare, segments)
+
+
+def schemes(percent: int, counts: dict[int, int]) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Band starts and each band's (exact, deletion, spare) segments, from the number of distinct sets per band."""
     top = max(counts, default=0) + 1
     starts = [1]
     while len(starts) <= top + 1:
         starts.append(starts[-1] * 100 // percent + 1)
-    need = [difference(percent, low) + 1 for low in starts]
-    return starts, [allocate(n, low * 100 // percent, counts.get(i, 0) + counts.get(i + 1, 0)) if n > 1 else (0, 0) for i, (low, n) in enumerate(zip(starts, need))]
-
-
-def index_keys(h: np.ndarray, band: int, alloc: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    alloc = []
+    for i, low in enumerate(starts):
+        need = difference(percent, low) + 1
+        if need == 1:  # only equal sets link
+            alloc.append((0, 0, 0))
+            continue
+        one, two = allocate(need, low * 100 // percent, counts.get(i, 0) + counts.get(i + 1, 0))
+        alloc.append((one, two, spare_segments(one + two, low) if one else 0))
+    return starts, alloc
+
+
+def index_keys(h: np.ndarray, band: int, alloc: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
     """The set's keys under a band's scheme, and for each whether it is a whole segment (1) or one less (0)."""
-    one, two = alloc
-    m = one + two
+    one, two, spare = alloc
+    m = one + two + spare
     if not m:
         return np.empty(0, np.uint64), np.empty(0, np.int8)
     salt = _mix(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32))
@@ -123,8 +142,10 @@ def index_keys(h: np.ndarray, band: int, alloc: tuple[int, int]) -> tuple[np.nda
     total = np.concatenate([[np.uint64(0)], np.cumsum(value)])
     cut = np.searchsorted(seg, np.arange(m + 1, dtype=np.uint64))
     sums = total[cut[1:]] - total[cut[:-1]]
-    keys = _mix(sums + salt)
-    whole = np.ones(m, np.int8)
+    keep = np.ones(m, bool)
+    keep[two + np.flatnonzero(cut[two + 1 :] == cut[two:-1])[:spare]] = False
+    keys = _mix(sums + salt)[keep]
+    whole = np.ones(len(keys), np.int8)
     if two:
         part = h[: cut[two]]  # the first `two` segments have deletions
         at = seg[: len(part)].astype(np.int64)
@@ -146,6 +167,13 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """doc, text as bytes and th of each row, a few hundred rows in memory at a time."""
+    for at in range(0, batch.num_rows, 256):
+        b = batch.slice(at, 256)
+        yield from zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist())
+
+
 def _members(source: DataFrame, n: int) -> DataFrame:
     """doc, th (hash of the text), node (identity of its set, null if empty), size and sketch."""
     kind = source.schema["doc"].dataType
@@ -156,7 +184,7 @@ def _members(source: DataFrame, n: int) -> DataFrame:
 
         def rows():
             for b in stream:
-                for doc, text, th in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist()):
+                for doc, text, th in _rows(b):
                     h = shingle(text)
                     yield (doc, th, _set_id(h), len(h), _sketch(h)) if len(h) else (doc, th, None, 0, None)
 
@@ -173,7 +201,7 @@ def _keys(source: DataFrame, n: int, starts: list[int], alloc: list[tuple[int, i
         shingle, seen = Shingler(n), set()
         held, size = ([], [], []), 0
         for b in stream:
-            for text in b.column(1).cast(pa.binary()).to_pylist():
+            for _, text, _ in _rows(b):
                 h = shingle(text)
                 if not len(h) or (node := _set_id(h)) in seen:
                     continue
