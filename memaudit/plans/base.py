@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +41,16 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str, floor: float = FLOOR) -> DataFrame:
-    """fact, entry_id, score, value, value_norm, source_id of pairs at or over the floor."""
+    """fact, entry_id, score, value, value_norm, source_id of pairs at or over the floor; kept, as a plan reads them often."""
     e = entries(spark, sf_dir)
     found = search.score_pairs(facts(spark, sf_dir), spread(e), floor)
-    return found.join(e.drop("vector"), "entry_id")
+    return found.join(e.drop("vector"), "entry_id").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def cohort(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:
-    """Gated facts (all, with skip_reason) and FULL's selection."""
+    """Gated facts (all, with skip_reason) and FULL's selection; kept."""
     scored = pairs(spark, sf_dir) if scored is None else scored
-    return audit.gate(facts(spark, sf_dir).drop("vector", "source_id"), audit.best(scored, THRESHOLD))
+    return audit.gate(facts(spark, sf_dir).drop("vector", "source_id"), audit.best(scored, THRESHOLD)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def audited(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:

@@ -304,7 +304,7 @@ def _curve(spark, d) -> tuple[DataFrame, DataFrame]:
     who = base.audited(spark, d, scored)
     full = F.when(F.col("garbled"), F.lit("unknown")).otherwise(F.col("selected_value"))
     right = who.withColumn("ok", T.contains_norms(T.norm(full), F.col("gold_norms"))).where("ok").select("fact")
-    near = neighbors.cosine_neighbors(_units(spark, d).join(who.select("fact"), "fact", "left_semi"), FILL)
+    near = neighbors.cosine_neighbors(_units(spark, d).join(who.select("fact"), "fact", "left_semi"), FILL).persist()
     config = closure.ClosureConfig(predicates=("geometric",), radius=RADIUS)
     seeds = who.select("fact", F.col("selected_id").alias("entry_id"), F.col("selected_source").alias("source_id"))
     gone = closure.caught(scored.join(who.select("fact", F.col("gold_norms").alias("answer_norms")), "fact"), seeds, GRID, config)
@@ -394,8 +394,8 @@ def _attack(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 SQL_ATTACK = SQL_COHORT + """, lft AS (SELECT p.fact, p.score, p.value, row_number() OVER (PARTITION BY p.fact ORDER BY p.score DESC, p.entry_id) r FROM p JOIN cohort c ON p.fact = c.fact WHERE p.score >= 0.25 AND p.score < 0.30 AND p.entry_id <> c.selected_id),
 bl AS (SELECT c.fact, c.gold, c.parametric, l.score, l.value, coalesce(l.value, c.parametric) = c.gold AS before, c.parametric = c.gold AS off FROM cohort c LEFT JOIN lft l ON l.fact = c.fact AND l.r = 1),
 arms AS (SELECT CAST(e AS DOUBLE) AS epsilon, t AS template FROM (SELECT unnest([0.01, 0.02]) AS e), (SELECT unnest(['verbatim', 'hyphenated', 'letter-spaced', 'prefix-cue']) AS t)),
-at AS (SELECT b.*, a.epsilon, a.template, coalesce(CAST(0.30 AS DOUBLE) - a.epsilon > b.score, true) AS sel FROM bl b CROSS JOIN arms a),
-ev AS (SELECT *, CASE WHEN sel THEN template = 'verbatim' ELSE before END AS ok FROM at)"""
+atk AS (SELECT b.*, a.epsilon, a.template, coalesce(CAST(0.30 AS DOUBLE) - a.epsilon > b.score, true) AS sel FROM bl b CROSS JOIN arms a),
+ev AS (SELECT *, CASE WHEN sel THEN template = 'verbatim' ELSE before END AS ok FROM atk)"""
 
 
 @query(f"""WITH {SQL_ATTACK} SELECT CAST(0.3 AS DOUBLE) AS rho, epsilon, template, 'collided' AS topology, count(*) AS facts, count(*) FILTER (WHERE sel) AS selected_facts, round(avg(CAST(sel AS DOUBLE)), 6) AS target_selected_rate, round(avg(CAST(before AS DOUBLE)), 6) AS baseline_correct_rate,
