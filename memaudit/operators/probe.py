@@ -65,7 +65,7 @@ def run_probe(samples: DataFrame, labels: DataFrame, config: ProbeConfig = Probe
     samples: sample_id, fact, vector; labels: fact, ground_truth, aliases (or none). fold_groups: fact, group; without
     one each fact is a group, and a fact's samples share a fold. Vectors are L2-normalised, zero vectors dropped.
     Candidates are the distinct normal forms of the answers (one table of answers, broadcast, bounded by a check).
-    Per fold a task sums X'X and X'Y of its rows; W of a fold comes from the total less the fold's sums, on the driver.
+    Per fold a task sums X'X and X'Y of its rows; W of a fold comes from the total less the fold's sums.
     """
     from .search import unit_rows
 
@@ -120,15 +120,19 @@ def run_probe(samples: DataFrame, labels: DataFrame, config: ProbeConfig = Probe
             xty[r["fold"]] += np.outer(value, matrix[at[r["answer_norm"]]])
             seen[r["fold"]].add(r["answer_norm"])
     all_g, all_b = sum(gram.values()), sum(xty.values())
-    weights = {f: np.linalg.solve(all_g - gram[f] + config.ridge_lambda * np.eye(d), all_b - xty[f]) @ matrix.T for f in gram}
     trained = {f: set().union(*(seen[g] for g in seen if g != f)) for f in seen}
-    sent = spark.sparkContext.broadcast((weights, names))
+    # A fold's weights are solved where they are used: tasks have one BLAS thread, the driver shares its with the gateway.
+    sums_of = {f: (all_g - gram[f] + config.ridge_lambda * np.eye(d), all_b - xty[f]) for f in gram}
+    sent = spark.sparkContext.broadcast((sums_of, matrix, names))
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, labels_ = sent.value
+        solvable, answers, labels_ = sent.value
+        own: dict = {}
         for frame in frames:
             for fold, part in frame.groupby("fold"):
-                best = (np.stack(part["vector"]) @ own[int(fold)]).argmax(1)
+                if fold not in own:
+                    own[fold] = np.linalg.solve(*solvable[int(fold)]) @ answers.T
+                best = (np.stack(part["vector"]) @ own[fold]).argmax(1)
                 yield pd.DataFrame({"fact": part["fact"].astype(str), "fold": int(fold), "predicted": [labels_[i] for i in best]})
 
     guesses = rows.select("fact", "fold", "vector").mapInPandas(predict, "fact string, fold int, predicted string")
