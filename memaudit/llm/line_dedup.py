@@ -25,6 +25,8 @@ from pyspark.sql.types import BinaryType
 from ._common import batches, stored
 
 _WRAP = 1 << 63
+#: Rows up to which the table of further copies of a text is broadcast.
+BROADCAST_ROWS = 400_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -125,17 +127,30 @@ def keep_mask(bitmap: bytes | None, lines: int) -> np.ndarray:
     return np.ones(lines, np.uint8) if bitmap is None else np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8))[:lines]
 
 
-def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _further_copies(keyed: DataFrame) -> DataFrame:
+    """doc, th, head: each document whose text is also that of a document with a lesser id, the least one (head)."""
+    ids = keyed.select("doc", "th", F.xxhash64(F.lit(1), F.col("text")).alias("th2"))  # seeded otherwise: 128 bits with th
+    heads = ids.groupBy("th", "th2").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return stored(ids.join(heads, ["th", "th2"]).where(~F.col("doc").eqNullSafe(F.col("head"))).select("doc", "th", "head").distinct(), "copies")
+
+
+def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", copies_vote: bool = True) -> DataFrame:
     """doc, th (xxhash64 of the text), n_dropped, bitmap: one row for each document that loses a line.
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased; keys of fewer than min_chars code
     points are left alone. A key found in at least min_docs documents loses all its lines (keep="none") or all but the
     first by document and position (keep="first"). Rows of equal id and text are one document; a null id is an id like
-    others; a null text is one empty line.
+    others; a null text is one empty line. Without copies_vote all documents of one text count as one, and lose the same.
     """
     if keep not in ("none", "first") or min_docs < 1:
         raise ValueError("keep must be none or first, min_docs at least 1")
-    rows = _line_rows(_keyed(docs, id_col, text_col), min_chars)
+    keyed = _keyed(docs, id_col, text_col)
+    copies = None if copies_vote else _further_copies(keyed)
+    if copies is not None:
+        more = copies.select(F.col("doc").alias("c_doc"), F.col("th").alias("c_th"))
+        more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
+        keyed = keyed.join(more, F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("th") == F.col("c_th")), "left_anti")
+    rows = _line_rows(keyed, min_chars)
     order = ["h1", "h2", "doc", "th"]
     runs = stored(_settle_runs(rows.repartitionByRange(*order).sortWithinPartitions(*order), min_docs, keep == "first"), "line-runs")
     totals = runs.where("kind = 1").groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(F.struct("doc", "th")).alias("head")).where(F.col("total") >= min_docs)
@@ -145,7 +160,13 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
         late = late.withColumn("pos", F.when(heads, F.slice("pos", 2, F.greatest(F.size("pos") - 1, F.lit(0)))).otherwise(F.col("pos")))
     drops = runs.where("kind = 0").select("doc", "th", "lines", "pos").unionByName(late.select("doc", "th", "lines", "pos"))
     per_doc = drops.groupBy("doc", "th").agg(F.max("lines").alias("lines"), F.flatten(F.collect_list("pos")).alias("pos")).where(F.size("pos") > 0)
-    return per_doc.select("doc", "th", F.size("pos").alias("n_dropped"), _bitmap("lines", "pos").alias("bitmap"))
+    bitmaps = per_doc.select("doc", "th", F.size("pos").alias("n_dropped"), _bitmap("lines", "pos").alias("bitmap"))
+    if copies is None:
+        return bitmaps
+    bitmaps = stored(bitmaps, "bitmaps")
+    own = bitmaps.select(F.col("doc").alias("b_doc"), F.col("th").alias("b_th"), "n_dropped", "bitmap")
+    same = F.col("head").eqNullSafe(F.col("b_doc")) & (F.col("th") == F.col("b_th"))
+    return bitmaps.unionByName(copies.join(own, same).select("doc", "th", "n_dropped", "bitmap"))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,13 +193,13 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     return joined.mapInArrow(run, f"{id_col} {kind.simpleString()}, n_lines long, n_dropped long, kept string")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", copies_vote: bool = True) -> DataFrame:
     """docs with all its columns and rows, each text without the lines that keep_bitmaps() drops.
 
     chars_col, where docs has it, gets the new length in code points. A document that loses all lines stays, with an
     empty text; a null text becomes empty.
     """
-    bitmaps = keep_bitmaps(docs, min_docs, keep, id_col=id_col, text_col=text_col)
+    bitmaps = keep_bitmaps(docs, min_docs, keep, id_col=id_col, text_col=text_col, copies_vote=copies_vote)
     mask = "__bitmap"
     while mask in docs.columns:
         mask += "_"

@@ -318,6 +318,27 @@ def test_line_dedup_first_occurrence_stays(spark):
     assert keep_bitmaps(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_line_dedup_counts_equal_texts_once(spark, keep):
+    from memaudit.llm.line_dedup import dedup_lines
+
+    texts = [(i, "whole\ncopied\ntext") for i in range(30)] + [(100 + i, f"hot\nown {i // 2}") for i in range(24)] + [(None, "hot\nown 0")]
+    got = collections.Counter((x.doc_id, x.text) for x in dedup_lines(docs_frame(spark, texts, 5), 10, keep, copies_vote=False).collect())
+    first = "hot\nown 0" if keep == "first" else "own 0"
+    want = [(d, t if d is not None and d < 100 else t if t == first else t[4:]) for d, t in texts]
+    assert got == collections.Counter(want)
+
+
+def test_pipeline_keeps_one_whole_document_of_many_copies(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+
+    copy = "\n".join(" ".join(words_of(k, 12)) for k in range(6))
+    texts = [(i, copy) for i in range(30)] + [(100 + i, "license line\n" + " ".join(words_of(50 + i, 40))) for i in range(12)]
+    docs = docs_frame(spark, texts)
+    left = {x.doc_id: x.text for x in corpus_pipeline.near_duplicates(spark, corpus_pipeline.lines(spark, docs, DATA), DATA).collect()}
+    assert left == {0: copy, **{d: t.split("\n")[1] for d, t in texts[30:]}}
+
+
 # Decontamination.
 
 
