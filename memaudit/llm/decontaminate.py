@@ -1,8 +1,10 @@
 """Benchmark decontamination with DataFrame operations only.
 
 An item of the benchmark is a bag of k-word shingles (k = 5, or all its words if it has fewer). A window of a document
-is as long as the item it is held against. Windows are laid where a document holds one of an item's anchor shingles: of
-an item with S shingles, S - ceil(threshold x S) + 1 are anchors, so a window that reaches the threshold holds one.
+is as long as the item it is held against. A document is a candidate for an item if it holds one of its anchor shingles:
+of an item with S shingles, S - ceil(threshold x S) + 1 are anchors, so a window that reaches the threshold holds one. In
+candidates windows are laid at every start from which enough places hold a shingle of the item, wherever in the item it
+stands: bags of S and W shingles at the threshold t share at least t (S + W) / (1 + t), so no other start reaches it.
 Windows and items get 64-bit SimHash fingerprints; radius + 1 blocks of the fingerprint are join keys, so every pair of
 one size within the radius meets in a block that is equal. What passes is verified by the exact weighted similarity
 of the shingle bags, sum of least counts over sum of greatest counts.
@@ -70,22 +72,34 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int, ra
     text = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     found = []
     for k in sizes:  # 5, and only if some item has fewer words, its number of words
-        own = items.where(F.least(F.size("w"), F.lit(n)) == k).select("item", F.size("w").alias("words"), _shingles(F.col("w"), k).alias("bag"))
+        own = items.where(F.least(F.size("w"), F.lit(n)) == k).select("item", F.size("w").alias("words"), F.xxhash64("w").alias("iw"), _shingles(F.col("w"), k).alias("bag"))
         # Written first: an expression is evaluated anew wherever a lambda holds it, a column isn't.
         own = stored(own, "item-bags")
-        own = stored(own.withColumn("item_fp", simhash(F.col("bag"))), "item-prints")
+        bags = own.select("iw", "words", "bag").dropDuplicates(["iw"])
+        own = stored(own.drop("iw").withColumn("item_fp", simhash(F.col("bag"))), "item-prints")
         # Anchors are spread over the item, so that a few edited words leave some of them.
-        spread = F.expr("transform(sequence(0, anchors - 1), i -> cast(floor(i * size(bag) / anchors) as int))")
-        anchors = own.withColumn("anchors", (F.size("bag") - F.ceil(F.lit(threshold) * F.size("bag")) + 1).cast("int")).select("item", "words", "bag", F.explode(spread).alias("off"))
-        anchors = stored(anchors.select("item", "words", "off", F.get("bag", F.col("off")).alias("h")), "anchors")
-        near = text.withColumn("w", _hashes(F.col("text"))).select("doc", "th", F.posexplode(_shingles(F.col("w"), k)).alias("pos", "h")).join(_maybe_broadcast(anchors), "h")
-        windows = stored(near.select("doc", "th", "words", (F.col("pos") - F.col("off")).alias("start")).distinct(), "windows")
-        wanted = windows.select(F.col("doc").alias("w_doc"), F.col("th").alias("w_th"), "words", "start")
-        cut = text.join(_maybe_broadcast(wanted), F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th"))).dropDuplicates(["doc", "th", "words", "start"])
-        cut = cut.withColumn("w", _hashes(F.col("text"))).select("doc", "th", "words", "start", _shingles(F.col("w"), k).alias("all"))
-        # A window that would stick out at either end is moved inside.
-        first = F.greatest(F.lit(0), F.least(F.col("start"), F.size("all") + (k - 1) - F.col("words")))
-        cut = stored(cut.select("doc", "th", "words", first.alias("start"), F.expr("slice(all, greatest(0, least(start, size(all) + {0} - words)) + 1, words - {0})".format(k - 1)).alias("bag")).distinct(), "cuts")
+        spread = F.expr("transform(sequence(0, anchors - 1), i -> get(bag, cast(floor(i * size(bag) / anchors) as int)))")
+        anchors = bags.withColumn("anchors", (F.size("bag") - F.ceil(F.lit(threshold) * F.size("bag")) + 1).cast("int")).select("iw", F.explode(spread).alias("h"))
+        anchors = stored(anchors.distinct(), "anchors")
+        near = text.withColumn("w", _hashes(F.col("text"))).select("doc", "th", F.explode(_shingles(F.col("w"), k)).alias("h")).join(_maybe_broadcast(anchors), "h")
+        pairs = stored(near.select(F.col("doc").alias("w_doc"), F.col("th").alias("w_th"), "iw").distinct(), "candidates")
+        same = F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("th") == F.col("w_th"))
+        whole = text.join(_maybe_broadcast(pairs.select("w_doc", "w_th").distinct()), same).dropDuplicates(["doc", "th"])
+        whole = stored(whole.withColumn("w", _hashes(F.col("text"))).select("doc", "th", _shingles(F.col("w"), k).alias("all")), "shingles")
+        hits = whole.join(_maybe_broadcast(pairs), same).join(_maybe_broadcast(bags), "iw")
+        at = F.expr("filter(sequence(0, size(all) - 1), p -> array_contains(bag, get(all, p)))")
+        hits = stored(hits.select("doc", "th", "words", F.size("all").alias("n"), F.size("bag").alias("s"), at.alias("at")), "hits")
+        # A window is as long as the item, or the whole of a shorter document.
+        hits = hits.withColumn("len", F.least("s", "n"))
+        hits = hits.withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(threshold) * (F.col("s") + F.col("len")) / F.lit(1 + threshold) - 1e-9).cast("int")))
+        # The starts between two hits have the same first hit i, and reach up to hit i + need - 1 or not.
+        low = "greatest(0, get(at, i + need - 1) - len + 1, if(i = 0, 0, get(at, i - 1) + 1))"
+        high = "least(get(at, i), n - len)"
+        starts = f"flatten(transform(sequence(0, size(at) - need), i -> if({low} <= {high}, sequence({low}, {high}), cast(array() as array<int>))))"
+        windows = hits.where("size(at) >= need").select("doc", "th", "words", F.explode(F.expr(f"if(size(at) >= need, {starts}, null)")).alias("start")).distinct()
+        wanted = stored(windows.select(F.col("doc").alias("w_doc"), F.col("th").alias("w_th"), "words", "start"), "windows")
+        cut = whole.join(_maybe_broadcast(wanted), same)
+        cut = stored(cut.select("doc", "th", "words", "start", F.slice("all", F.col("start") + 1, F.col("words") - (k - 1)).alias("bag")), "cuts")
         prints = stored(cut.withColumn("fp", simhash(F.col("bag"))), "prints")
         blocks = lambda df, fp: df.select("*", _blocks(F.col(fp), radius).alias(f"{fp}_b")).select("*", F.posexplode(f"{fp}_b").alias("block", "value"))
         left = blocks(prints, "fp")
@@ -110,7 +124,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
     Windows have the item's number of words (a shorter document is one window). Null and empty texts and items match
     nothing; rows of equal id and text are one document; a null id is an id like others; a benchmark id with several
-    texts gives the best of them. Either table may be empty. All windows that hold an anchor are compared, none is capped.
+    texts gives the best of them. Either table may be empty. All windows that can reach the threshold are compared, none is capped.
     """
     every = _matches(docs, benchmark, threshold, n, radius, id_col, text_col, item_col)
     best = every.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"), F.count("*").alias("n_windows"))

@@ -367,6 +367,39 @@ def test_contamination_finds_exact_and_near_passages(spark):
     assert contamination(df, bench.limit(0)).count() == 0 and contamination(df.limit(0), bench).count() == 0
 
 
+def test_contamination_of_moved_passages_matches_all_starts(spark):
+    from memaudit.llm.decontaminate import contamination, drop_contaminated
+
+    r = random.Random(8)
+    items = {i: words_of(300 + i, n, 5000) for i, n in enumerate([100, 60, 45, 7, 20])}
+    items[5] = ["la"] * 12
+    texts = []
+    for item in items.values():
+        for k in range(6):
+            w = list(item)
+            at = r.randrange(1, len(w))
+            w = [w[at:] + w[:at], w[len(w) // 2 :] + w[: len(w) // 2], w[:at] + ["x", "y"] + w[at:], w[2:], w * 2, w][k]
+            texts.append((len(texts), " ".join(words_of(400 + k, r.choice([0, 3, 60])) + w + words_of(500 + k, r.choice([0, 3, 60])))))
+    shingles = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = {}
+    for d, t in texts:
+        w = t.split()
+        for i, item in items.items():
+            a, found = shingles(item), []
+            for s in range(max(1, len(w) - len(item) + 1)):
+                b = shingles(w[s : s + len(item)])
+                one = sum((a & b).values()) / sum((a | b).values())
+                if one >= 0.8:
+                    found.append((one, -s))
+            if found:
+                want[d, i] = (round(max(found)[0], 9), -max(found)[1], len(found))
+    df = docs_frame(spark, texts)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): (round(x.similarity, 9), x.start, x.n_windows) for x in contamination(df, bench).collect()}
+    assert got == want and (1, 0) in want
+    assert {x.doc_id for x in drop_contaminated(df, bench).collect()} == {d for d, _ in texts} - {d for d, _ in want}
+
+
 # Quality.
 
 
