@@ -281,7 +281,7 @@ def _verified(source: DataFrame, n: int, pairs: DataFrame, reps: DataFrame) -> D
     return shipped.repartition("x", "part").sortWithinPartitions("x", "part", "role", "node").mapInArrow(compare, "x long, y long, shared long, nx long, ny long")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
     """id_col, n_shingles, component_id (least id reached by links, itself included), component_size, text_hash
     (xxhash64 of the text): one row per row.
 
@@ -289,6 +289,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     text, or, with fewer words, the whole sequence as its one shingle. Two documents link when 100 x intersection >=
     percent x union. A null or empty text has an empty set and links with nothing. Rows with equal sets link, repeated
     rows and ids among them; component_id is null only where all ids of a component are. An empty table gives no rows.
+
+    with_links adds n_links, the number of other rows that a row links with. Then every candidate pair of unlike sets is
+    verified, also within a component: quadratic in the number of unlike sets that share a key.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
@@ -317,7 +320,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     # Second pass: pairs of one key that the first pass left in unlike components.
     label = led.join(found, led["y"] == found["node"], "left").select("key", "x", "y", "bits", F.coalesce("component", "y").alias("c"))
-    open_keys = label.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 < c2").select("key")
+    open_keys = label.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("true" if with_links else "c1 < c2").select("key")
     far = first.select("x", "y", (1 - F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).alias("d"))
     left = label.join(open_keys, "key").join(far, ["x", "y"], "left").join(nodes.select(F.col("node").alias("y"), "size", "sketch"), "y")
     left = stored(left.select("key", "x", "y", "bits", "c", F.coalesce("d", F.lit(0.0)).alias("d"), "size", "sketch"), "open-keys")
@@ -325,7 +328,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     unlike = sum(F.bit_count(F.get("sketch1", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(SKETCH))
     close = (
         (F.col("key1") == F.col("key2"))
-        & F.expr("y1 < y2 and c1 <> c2 and y1 <> x1 and y2 <> x1")
+        & F.expr("y1 < y2 and y1 <> x1 and y2 <> x1" + ("" if with_links else " and c1 <> c2"))
         & F.expr("(bits1 >= 2 or bits2 >= 2) and (bits1 % 2 = 1 or bits2 % 2 = 1)")
         & F.expr(f"100 * least(size1, size2) >= {percent} * greatest(size1, size2)")
         & F.expr(f"abs(d1 - d2) <= {(100 - percent) / 100 + 1e-9}")
@@ -337,10 +340,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    placed = members.join(found.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("doc", "th", "size", F.coalesce("component", "node").alias("c"))
+    placed = members.join(found.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("doc", "th", "node", "size", F.coalesce("component", "node").alias("c"))
     heads = placed.where("c is not null").groupBy("c").agg(F.min("doc").alias("head"), F.count("*").alias("n")).withColumnRenamed("c", "c2")
     out = placed.join(heads, F.col("c") == F.col("c2"), "left")
-    return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc")).otherwise(F.col("head")).alias("component_id"), F.coalesce("n", F.lit(1)).cast("long").alias("component_size"), F.col("th").alias("text_hash"))
+    linked_rows = []
+    if with_links:  # rows of the own set but one, and all of each linked set
+        rows = members.where("size > 0").groupBy("node").agg(F.count("*").alias("rows"))
+        sets = links.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        both = sets.unionByName(sets.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        others = both.join(rows, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("rows").alias("other"))
+        n_links = rows.join(others, F.col("node") == F.col("a"), "left").select(F.col("node").alias("n3"), (F.col("rows") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
+        out = out.join(n_links, F.col("node") == F.col("n3"), "left")
+        linked_rows = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
+    return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc")).otherwise(F.col("head")).alias("component_id"), F.coalesce("n", F.lit(1)).cast("long").alias("component_size"), F.col("th").alias("text_hash"), *linked_rows)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -96,6 +96,27 @@ def test_jaccard_components_match_all_pairs(spark, n, percent):
     assert got == plain_components(texts, n, percent)
 
 
+def test_jaccard_links_match_all_pairs(spark):
+    from memaudit.llm.ngram_join import jaccard_components
+
+    texts, r = [(i, t) for i, t in enumerate([None, "", "one", "One", "q r s"])], random.Random(4)
+    for base in range(5):
+        w = words_of(70 + base, 60, 900)
+        for k in range(9):  # one place changed each, some alike: most pairs link, those of unlike places less so
+            v = list(w)
+            for at in r.sample(range(60), k % 4):
+                v[at] = f"z{r.randrange(3)}"
+            texts.append((len(texts), " ".join(v)))
+    texts.append((texts[-1][0], texts[-1][1]))
+    sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if (w := (t or "").lower().split()) else set() for _, t in texts]
+    link = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+    want = sorted((d, sum(link(a, b) for j, b in enumerate(sets) if j != i)) for i, ((d, _), a) in enumerate(zip(texts, sets)))
+    got = jaccard_components(docs_frame(spark, texts), 3, 80, with_links=True)
+    assert sorted((x.doc_id, x.n_links) for x in got.collect()) == want
+    plain = jaccard_components(docs_frame(spark, texts), 3, 80)
+    assert sorted(plain.collect(), key=str) == sorted(got.drop("n_links").collect(), key=str)
+
+
 def test_jaccard_edge_tables(spark):
     from memaudit.llm.ngram_join import drop_near_duplicates, jaccard_components
 
