@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
-One pattern finds candidates; each is validated (a card number by its check digit, a date by the calendar, an address by
+One pattern finds candidates, card numbers among them by trying all runs of groups of digits; each is validated (a card number by its check digit, a date by the calendar, an address by
 its octets). A valid value becomes a list of small numbers, each below a radix of its own: digits below 10, letters
 below 26, octets below 256, a date two numbers that count its days. A keyed alternating Feistel network permutes the list:
 in each round the numbers at even (then odd) places move by a hash of the key, the kind, the round, the place and all
@@ -25,13 +25,16 @@ _START, _END = r"(?<![A-Za-z0-9])", r"(?![A-Za-z0-9])"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}" + _END,
     "ip": r"(?<![A-Za-z0-9.])(?:" + _OCTET + r"\.){3}" + _OCTET + r"(?![A-Za-z0-9]|\.[0-9])",
-    "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9/-]|\.[0-9])",
+    "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?!(?![Tt][0-9]{2}:?[0-9]{2})[A-Za-z0-9/-]|\.[0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "phone": r"(?:(?<![A-Za-z0-9])\+?1[ .-]?)?(?:\([0-9]{3}\) ?|(?<![A-Za-z0-9-])[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}" + _END + r"|\+[1-9][0-9]{0,2}(?:[ .-]?[0-9]{2,4}){2,4}" + _END,
     "card": _START + r"[0-9](?:[ -]?[0-9]){12,18}" + _END,
     "secret": _START + r"AKIA[0-9A-Z]{16}" + _END + r'|(?<=(?i:token|password|passwd|secret|api_key|apikey)\s{0,3}[=:]\s{0,3}"?)[A-Za-z0-9_-]{8,}',
 }
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Card numbers aren't searched by their pattern, which takes neighbouring numbers in: see _pattern.
+BEFORE, AFTER = "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k not in ("card", "secret")), f"(?:{PATTERNS['secret']})"
+#: How issuers group a card number.
+LAYOUT = r"^(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})$"
 #: A text without any of these holds no candidate.
 HINT = r"[0-9@]|AKIA|[Tt][Oo][Kk][Ee][Nn]|[Pp][Aa][Ss][Ss]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 
@@ -60,6 +63,22 @@ def luhn_sum(numbers: Column, doubled_from_right: int) -> Column:
     return F.aggregate(F.transform(numbers, one), F.lit(0), lambda acc, v: acc + v)
 
 
+def _cards(text: Column) -> Column:
+    """All valid card numbers that begin and end on borders of groups of digits, those in an issuer's layout first, long ones first."""
+    runs = [F.regexp_extract_all(text, F.lit(_START + "(?=([0-9](?:[ -]?[0-9]){%d})" % n + _END + ")"), F.lit(1)) for n in range(18, 11, -1)]
+    some = F.when(text.rlike(_START + "[0-9](?:[ -]?[0-9]){12}"), F.flatten(F.array(*runs))).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.array_distinct(some), lambda s: luhn_sum(_numbers(s), 1) % 10 == 0)
+
+
+def _pattern(cards: Column) -> Column:
+    """One pattern of all kinds with a text's own card numbers; one in another layout gives way to one of LAYOUT that begins in it."""
+    known, other = F.filter(cards, lambda s: s.rlike(LAYOUT)), F.filter(cards, lambda s: ~s.rlike(LAYOUT))
+    first = F.concat(F.lit("(?:"), F.array_join(known, "|"), F.lit(")" + _END))
+    no = lambda s: F.when(F.size(known) > 0, F.concat(F.lit("(?![0-9 -]{1,"), (F.length(s) - 1).cast("string"), F.lit("}" + _START), first, F.lit(")"))).otherwise(F.lit(""))
+    every = F.array_join(F.concat(known, F.transform(other, lambda s: F.concat(no(s), s))), "|")
+    return F.when(F.size(cards) > 0, F.concat(F.lit(BEFORE + "|" + _START + "(?:"), every, F.lit(")" + _END + "|" + AFTER))).otherwise(F.lit(BEFORE + "|" + AFTER))
+
+
 def _date(s: Column) -> Column:
     """The date that s writes, if it is one of the years covered; 31/12 dates where 12/31 makes none."""
     read = F.coalesce(
@@ -176,7 +195,8 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     steps = docs.select(F.col(id_col), text.alias("text"))
-    steps = steps.withColumn("m", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    steps = steps.withColumn("any", _cards(F.col("text"))).withColumn("any", _pattern(F.col("any")))
+    steps = steps.withColumn("m", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.col("any"), F.lit(0))).otherwise(F.array().cast("array<string>")))
     steps = steps.withColumn("m", F.transform("m", lambda s: F.struct(s.alias("s"), kind_of(s).alias("k"))))
 
     def numbers(x: Column) -> Column:
@@ -186,7 +206,7 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     steps = steps.withColumn("m", F.transform("m", lambda x: F.when(x["k"].isNull(), F.struct(x["s"].alias("s"), x["k"].alias("k"), F.lit(None).cast("array<int>").alias("v"), F.lit(None).cast("array<int>").alias("r"))).otherwise(numbers(x))))
     steps = steps.withColumn("m", F.transform("m", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), F.when(x["k"].isNotNull(), permute(x["v"], x["r"], x["k"], key)).alias("v"))))
     steps = steps.withColumn("m", F.transform("m", lambda x: F.struct(x["k"].alias("k"), F.when(x["k"].isNull(), x["s"]).otherwise(_written(x["s"], x["k"], x["v"])).alias("p"))))
-    pieces = F.split("text", ANY, -1)
+    pieces = F.split("text", F.col("any"), -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("m")["p"], lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     found = F.filter(F.col("m")["k"], lambda k: k.isNotNull())
     return steps.select(id_col, F.size(found).alias("n_found"), found.alias("found"), F.when(F.size("m") > 0, joined).otherwise(F.col("text")).alias("text"))

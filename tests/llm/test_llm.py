@@ -285,6 +285,25 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert one[:15] == "".join(map(str, want))
 
 
+def test_pseudonyms_of_cards_beside_numbers_and_of_timestamps(spark):
+    from memaudit.llm.pii import pseudonymize
+
+    card = "4111 1111 1111 1111"
+    texts = [f"card {card} 12/25", f"order 12 {card}", f"12 34 56 {card} 123", f"{card} {card}", f"n 7-{card}-8", "4111111111111111 12", "12 3782 822463 10005 99"]
+    dates = ["at 2024-03-05T10:00", "2024-03-05T10:00:00Z", "2024-03-05Txx", "2024-03-05x", "12 555-123-4567 1234"]
+    clean = ["4111 1111 1111 1112", "1111111111111111 x"]
+    got = [x for x in sorted(pseudonymize(docs_frame(spark, [*enumerate(texts + dates + clean)]), "k").collect(), key=lambda x: x.doc_id)]
+    kinds = [["card"]] * 3 + [["card"] * 2] + [["card"]] * 3 + [["date"], ["date"], [], [], ["phone"], [], []]
+    assert [x.found for x in got] == kinds
+    for x, t in zip(got, texts):
+        number = "3782 822463 10005" if "3782" in t else card if card in t else card.replace(" ", "")
+        before, after = t.split(number)[0], t.split(number)[-1]
+        assert x.text.startswith(before) and x.text.endswith(after) and number not in x.text
+        assert all(luhn(c) for c in ([x.text[len(before) : len(before) + len(number)]]))
+    assert got[7].text.endswith("T10:00") and "2024-03-05" not in got[7].text + got[8].text
+    assert [x.text for x in got[-2:]] == clean
+
+
 def test_pseudonyms_are_a_permutation(spark):
     from memaudit.llm.pii import pseudonymize
 
