@@ -447,8 +447,8 @@ def answer_features(spark, d):
 
 @query()
 def seq_ratio_signal(spark, d):
-    s = _turn_pairs(spark, d).select("conv_id", "turn", F.substring("prediction", 1, 60).alias("v"), F.array(F.substring("gold", 1, 60)).alias("answers"))
-    s = s.withColumn("ratio", followups.seq_ratio("v", "answers"))
+    s = _turn_pairs(spark, d).select("conv_id", "turn", F.col("prediction").alias("v"), F.array("gold").alias("answers"), "pn", F.array(F.array_join("gt", " ")).alias("norms"))
+    s = s.withColumn("ratio", followups.seq_ratio("pn", "norms"))
     return s.select("conv_id", "turn", F.round("ratio", 6).alias("ratio"), followups.variant_signal(F.col("v"), F.col("answers"), F.col("ratio")).alias("signal"))
 
 

@@ -82,3 +82,16 @@ def test_statistics(spark):
     fit = stats.logit_per_doubling(spark.createDataFrame([(i, (i * 7) % 5 < (1 + i / 20)) for i in range(80)], "f long, y boolean"), "f", "y")
     assert fit["odds_ratio"] > 1 and fit["low"] < fit["odds_ratio"] < fit["high"]
     assert stats.logit_per_doubling(rows.limit(2), "a", "c")["odds_ratio"] is None
+
+
+def test_seq_ratio_signal_reads_whole_normal_forms(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from memaudit.plans import registry
+
+    gold, said = "The  Same " * 8 + "one end, here", "the same " * 8 + "quite another tail of it"
+    turns = [(1, 0, "user", gold), (1, 1, "assistant", said), (2, 0, "user", "A b!"), (2, 1, "assistant", "a  B")]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {x.conv_id: x for x in registry.QUERIES["seq_ratio_signal"](spark, str(tmp_path)).collect()}
+    want = SequenceMatcher(None, "the same " * 8 + "quite another tail of it", "the same " * 8 + "one end here").ratio()
+    assert got[1].ratio == round(want, 6) and got[2].ratio == 1.0 and got[2].signal == "similar"
