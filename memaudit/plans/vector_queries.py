@@ -435,8 +435,8 @@ def margin_auroc(spark, d):
 
 def _probe(spark, d, mode: str) -> DataFrame:
     e = base.table(spark, d, "embeddings")
-    samples = e.select(F.col("vec_id").cast("string").alias("sample_id"), (F.col("vec_id") % 60).alias("fact"), F.col("embedding").alias("vector"))
-    labels = e.where("vec_id < 60").select(F.col("vec_id").alias("fact"), F.concat(F.lit("label "), F.col("label")).alias("ground_truth"))
+    samples = e.select(F.col("vec_id").cast("string").alias("sample_id"), F.col("vec_id").alias("fact"), F.col("embedding").alias("vector"))
+    labels = e.select(F.col("vec_id").alias("fact"), F.concat(F.lit("label "), F.col("label")).alias("ground_truth"))
     config = probe.ProbeConfig(mode=mode, folds=4, ridge_lambda=0.1, feature_dim=256)
     return probe.run_probe(samples, labels, config)[0].withColumn("l_rep", F.round("l_rep", 6))
 

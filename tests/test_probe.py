@@ -1,6 +1,7 @@
 """The probe on planted and random representations."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from memaudit.operators import probe
@@ -29,3 +30,13 @@ def test_planted_signal_is_found_and_noise_is_not(spark):
     assert summary["l_rep_hat"] >= 0.9 and summary["candidates"] == 3 and per_fact.count() == 30
     _, noise = probe.run_probe(samples.withColumn("vector", F.col("noise")), labels, probe.ProbeConfig(mode="classification", folds=4))
     assert noise["l_rep_hat"] <= 0.7
+
+
+@pytest.mark.parametrize("name", ["probe_ranking", "probe_classification"])
+def test_registered_probe_has_every_vector_and_its_own_label(spark, name):
+    from memaudit.plans import registry
+
+    data = "/root/testdata/sf0.001"
+    want = {str(x.vec_id): f"label {x.label}" for x in spark.read.parquet(f"{data}/embeddings.parquet").collect()}
+    got = registry.QUERIES[name](spark, data).collect()
+    assert len(want) > 60 and {x.fact: x.answer for x in got} == want and len(got) == len(want)
