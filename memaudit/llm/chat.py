@@ -25,17 +25,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ._common import batches
 from .byte_bpe import Tokenizer
 
-_CONTROL = re.compile(r"\\|(?=</?turn)")
 _ESCAPED = re.compile(r"\\(.)", re.S)
-_TURN = re.compile(r"<turn ((?:[^\n>\\]|\\.)*)>\n((?:[^\\<]|\\.|<(?!/?turn))*)\n</turn>\n", re.S)
+_HEAD, _END = "<turn ", "\n</turn>\n"
 
 
 def escape(text: str) -> str:
-    return _CONTROL.sub(lambda m: "\\\\" if m[0] else "\\", text) if "\\" in text or "<" in text else text
+    return text.replace("\\", "\\\\").replace("<turn", "\\<turn").replace("</turn", "\\</turn") if "\\" in text or "<" in text else text
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(r"\1", text) if "\\" in text else text
+    # A backslash that isn't one of a pair stands before a mark, so pairs are found from the left.
+    return "\\".join([part.replace("\\", "") for part in text.split("\\\\")]) if "\\" in text else text
 
 
 def _role(role: str) -> str:
@@ -49,18 +49,20 @@ def _unrole(role: str) -> str:
 def format_turn(role: str, text: str) -> tuple[str, int]:
     """The turn as written, and where its text begins in it."""
     head = f"<turn {_role(role)}>\n"
-    return f"{head}{escape(text)}\n</turn>\n", len(head)
+    return f"{head}{escape(text)}{_END}", len(head)
 
 
 def parse(window: str) -> list[tuple[str, str]]:
     """The turns of a window as (role, text), exactly as they were before formatting."""
+    # Written roles hold no line feed and written texts no bare mark, so the first of each ends them.
     out, at = [], 0
     while at < len(window):
-        m = _TURN.match(window, at)
-        if not m:
+        begin = window.find("\n", at) + 1
+        end = window.find(_END, begin)
+        if not window.startswith(_HEAD, at) or not begin or window[begin - 2] != ">" or end < 0:
             raise ValueError(f"no turn at {at}")
-        out.append((_unrole(m[1]), unescape(m[2])))
-        at = m.end()
+        out.append((_unrole(window[at + len(_HEAD) : begin - 2]), unescape(window[begin:end])))
+        at = end + len(_END)
     return out
 
 
@@ -69,8 +71,10 @@ def chat_windows(rows: DataFrame, tokenizer: Tokenizer, budget: int = 2048, hist
     of text, as start and end in code points), in order of window_no within a conversation and partition.
 
     Rows are (id_col, turn, role, text); null role or text counts as empty, equal turn numbers go by role, then text, and
-    repeated rows are turns of their own. Null ids form one conversation. A turn that alone is over the budget gets a
-    window of its own, whole. Tasks stream: memory holds one window and the history, however long the conversation.
+    repeated rows are turns of their own. Null ids form one conversation. Other columns are not read; an empty table gives
+    no windows. A turn that is over the budget, alone or behind the system turn, gets a window of its own, whole, with
+    the system turn before it: only such windows exceed the budget. Tasks stream: memory holds one window and the
+    history, however long the conversation.
     """
     make = tokenizer.maker()
     kind = rows.schema[id_col].dataType
@@ -94,7 +98,7 @@ def chat_windows(rows: DataFrame, tokenizer: Tokenizer, budget: int = 2048, hist
             for fresh, (role, text, start, _) in [*((False, t) for t in repeated), *((True, t) for t in new)]:
                 parts.append(text)
                 if fresh and role == target:
-                    loss.append({"start": at + start, "end": at + len(text) - len("\n</turn>\n")})
+                    loss.append({"start": at + start, "end": at + len(text) - len(_END)})
                 at += len(text)
             return conv, number, "".join(parts), len(repeated) + len(new), len(repeated), sum(t[3] for t in [*repeated, *new]), loss
 
@@ -119,7 +123,7 @@ def chat_windows(rows: DataFrame, tokenizer: Tokenizer, budget: int = 2048, hist
                         if left < 0 or old is system:
                             break
                         repeated.insert(0, old)
-                    if system and room >= 0:
+                    if system:
                         repeated.insert(0, system)
                     new, held = [], sum(t[3] for t in repeated)
                 new.append(turn)
