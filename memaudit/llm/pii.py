@@ -1,12 +1,15 @@
 """Format-preserving pseudonyms for personal data, with DataFrame functions only.
 
-One pattern finds candidates, card numbers among them by trying all runs of groups of digits; each is validated (a card number by its check digit, a date by the calendar, an address by
-its octets). A valid value becomes a list of small numbers, each below a radix of its own: digits below 10, letters
-below 26, octets below 256, a date two numbers that count its days. A keyed alternating Feistel network permutes the list:
-in each round the numbers at even (then odd) places move by a hash of the key, the kind, the round, the place and all
-numbers at the other places. The result has the same layout and is valid again, equal values give equal pseudonyms in all
-documents, and unlike values of one layout give unlike ones. Slashed dates are read month first, or day first where only
-that makes a date; they keep their order.
+One pattern finds candidates, card numbers among them by trying all runs of groups of digits; each is validated (a card
+number by its check digit, a date by the calendar, an address by its octets). A valid value becomes a list of small
+numbers, each below a radix of its own: digits below 10, letters below 26, octets below 256, a social security number
+its valid areas, groups and serials, a date two numbers that count its days. A keyed alternating Feistel network permutes
+the list: in each round the numbers at even (then odd) places move by a hash of the key, the kind, the round, the place
+and all numbers at the other places. Two lists stand for no date; what lands on one is permuted again until it doesn't.
+The result has the same layout and is valid again, equal values give equal pseudonyms in all documents, and unlike
+values of one layout give unlike ones. A card keeps its first digit, and the first digits of a phone number's area and
+exchange stay below 2 or from 2 up, as they were. Slashed dates are read month first, or day first where only that makes
+a date; they keep their order.
 """
 
 from __future__ import annotations
@@ -39,7 +42,10 @@ LAYOUT = r"^(?:[0-9]+|[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -
 HINT = r"[0-9@]|AKIA|[Tt][Oo][Kk][Ee][Nn]|[Pp][Aa][Ss][Ss]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
 
 FORMATS = ((r"^....-", "yyyy-MM-dd"), (r"^..../", "yyyy/MM/dd"), (r"^..\.", "dd.MM.yyyy"), (r"^../", "MM/dd/yyyy"))
-#: Days from 1900-01-01 to 2099-12-31 are 319 x 229.
+#: Days from 1900-01-01 to 2099-12-31 are DAYS, two less than 319 x 229.
+DAYS = 73_049
+#: Areas of social security numbers: 1 to 899 but 666.
+AREAS = 898
 FIRST, YEARS, HIGH, LOW = "1900-01-01", ("1900-01-01", "2099-12-31"), 319, 229
 
 
@@ -128,15 +134,32 @@ def _value(c: Column) -> Column:
     return F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(F.lower(c)) - 97)
 
 
-def values_and_radices(s: Column, kind: Column) -> tuple[Column, Column]:
-    """A value as numbers, and the radix of each. Hexadecimal secrets stay hexadecimal."""
-    days = F.datediff(_date(s), F.lit(FIRST).cast("date"))
+def places(s: Column, kind: Column) -> Column:
+    """A value as an array of (v, r, f): the number v, its radix r, and the f above which it is written."""
     hexadecimal = (kind == "secret") & s.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
-    symbols = _symbols(_moving(s, kind))
-    radix = lambda c: F.when(c.between("0", "9"), F.lit(10)).when(hexadecimal, F.lit(6)).otherwise(F.lit(26))
-    values = F.when(kind == "date", F.array((days / LOW).cast("int"), days % LOW)).when(kind == "ip", F.transform(F.split(s, r"\."), lambda o: o.cast("int"))).otherwise(F.transform(symbols, _value))
-    radices = F.when(kind == "date", F.array(F.lit(HIGH), F.lit(LOW))).when(kind == "ip", F.array(*[F.lit(256)] * 4)).otherwise(F.transform(symbols, radix))
-    return values, radices
+    moving = _symbols(_moving(s, kind))
+    national = (kind == "phone") & (F.size(moving) == 10) & (~s.startswith("+") | s.startswith("+1"))
+
+    def place(v, r, f=0) -> Column:
+        return F.struct(*[(x if isinstance(x, Column) else F.lit(x)).cast("int").alias(n) for x, n in ((v, "v"), (r, "r"), (f, "f"))])
+
+    def symbol(c: Column, i: Column) -> Column:
+        v = _value(c)
+        radix = F.when(c.between("0", "9"), F.lit(10)).when(hexadecimal, F.lit(6)).otherwise(F.lit(26))
+        return (
+            F.when((kind == "card") & (i == 0), place(0, 1, v))
+            .when(national & i.isin(0, 3), F.when(v >= 2, place(v - 2, 8, 2)).otherwise(place(v, 2)))
+            .otherwise(place(v, radix))
+        )
+
+    days = F.datediff(_date(s), F.lit(FIRST).cast("date"))
+    area, group, serial = (F.substring(s, at, n).cast("int") for at, n in ((1, 3), (5, 2), (8, 4)))
+    return (
+        F.when(kind == "date", F.array(place(F.floor(days / LOW), HIGH), place(days % LOW, LOW)))
+        .when(kind == "ssn", F.array(place(F.when(area > 666, area - 2).otherwise(area - 1), AREAS), place(group - 1, 99), place(serial - 1, 9999)))
+        .when(kind == "ip", F.transform(F.split(s, r"\."), lambda o: place(o, 256)))
+        .otherwise(F.transform(moving, symbol))
+    )
 
 
 def permute(values: Column, radices: Column, kind: Column, key: str) -> Column:
@@ -155,6 +178,11 @@ def permute(values: Column, radices: Column, kind: Column, key: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, turn)
 
 
+def no_date(values: Column) -> Column:
+    """True for the two lists of a date's numbers that count beyond the last day."""
+    return F.get(values, F.lit(0)) * LOW + F.get(values, F.lit(1)) >= DAYS
+
+
 def _written(s: Column, kind: Column, moved: Column) -> Column:
     """The permuted numbers in the layout of s."""
     chars = F.split(s, "")
@@ -179,8 +207,12 @@ def _written(s: Column, kind: Column, moved: Column) -> Column:
     day = F.date_add(F.lit(FIRST).cast("date"), F.get(moved, F.lit(0)) * LOW + F.get(moved, F.lit(1)))
     dated = functools.reduce(lambda acc, f: acc.when(s.rlike(f[0]), F.date_format(day, f[1])), FORMATS[1:], F.when(s.rlike(FORMATS[0][0]), F.date_format(day, FORMATS[0][1])))
     day_first = s.rlike("^../") & F.try_to_date(s, "MM/dd/yyyy").isNull()
+    at = lambda i: F.get(moved, F.lit(i))
+    area = F.when(at(0) >= 665, at(0) + 2).otherwise(at(0) + 1)
+    social = F.concat_ws("-", *[F.lpad(v.cast("string"), n, "0") for v, n in ((area, 3), (at(1) + 1, 2), (at(2) + 1, 4))])
     return (
         F.when(kind == "date", F.when(day_first, F.date_format(day, "dd/MM/yyyy")).otherwise(dated))
+        .when(kind == "ssn", social)
         .when(kind == "ip", F.concat_ws(".", F.transform(moved, lambda v: v.cast("string"))))
         .when(kind == "card", F.concat(F.substring(walked, 1, 1 << 30).substr(F.lit(1), F.length(s) - 1), check))
         .otherwise(walked)
@@ -199,12 +231,16 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     steps = steps.withColumn("m", F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.col("any"), F.lit(0))).otherwise(F.array().cast("array<string>")))
     steps = steps.withColumn("m", F.transform("m", lambda s: F.struct(s.alias("s"), kind_of(s).alias("k"))))
 
-    def numbers(x: Column) -> Column:
-        v, r = values_and_radices(x["s"], x["k"])
-        return F.struct(x["s"].alias("s"), x["k"].alias("k"), v.alias("v"), r.alias("r"))
+    def then(v) -> None:
+        """Each valid candidate's list v anew, from the struct x of s, k, p (places) and v."""
+        nonlocal steps
+        steps = steps.withColumn("m", F.transform("m", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["p"].alias("p"), v(x).alias("v"))))
 
-    steps = steps.withColumn("m", F.transform("m", lambda x: F.when(x["k"].isNull(), F.struct(x["s"].alias("s"), x["k"].alias("k"), F.lit(None).cast("array<int>").alias("v"), F.lit(None).cast("array<int>").alias("r"))).otherwise(numbers(x))))
-    steps = steps.withColumn("m", F.transform("m", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), F.when(x["k"].isNotNull(), permute(x["v"], x["r"], x["k"], key)).alias("v"))))
+    steps = steps.withColumn("m", F.transform("m", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), F.when(x["k"].isNotNull(), places(x["s"], x["k"])).alias("p"))))
+    then(lambda x: F.when(x["k"].isNotNull(), permute(x["p"]["v"], x["p"]["r"], x["k"], key)))
+    for _ in range(HIGH * LOW - DAYS):  # a walk passes each list that is no date once at most
+        then(lambda x: F.when((x["k"] == "date") & no_date(x["v"]), permute(x["v"], x["p"]["r"], x["k"], key)).otherwise(x["v"]))
+    then(lambda x: F.zip_with(x["v"], x["p"]["f"], lambda v, f: v + f))
     steps = steps.withColumn("m", F.transform("m", lambda x: F.struct(x["k"].alias("k"), F.when(x["k"].isNull(), x["s"]).otherwise(_written(x["s"], x["k"], x["v"])).alias("p"))))
     pieces = F.split("text", F.col("any"), -1)
     joined = F.array_join(F.flatten(F.zip_with(pieces, F.col("m")["p"], lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
