@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType
 
-from ._common import batches, stored
+from ._common import batches, discard, free_name, stored
 
 _WRAP = 1 << 63
 #: Rows up to which the table of further copies of a text is broadcast.
@@ -140,7 +140,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
     A line's key is the line stripped of ASCII white space with A-Z lower-cased; keys of fewer than min_chars code
     points are left alone. A key found in at least min_docs documents loses all its lines (keep="none") or all but the
     first by document and position (keep="first"). Rows of equal id and text are one document; a null id is an id like
-    others; a null text is one empty line. Without copies_vote all documents of one text count as one, and lose the same.
+    others; a null text is one empty line; other columns are not read; an empty table gives no rows. Without copies_vote
+    all documents of one text count as one, and lose the same.
     """
     if keep not in ("none", "first") or min_docs < 1:
         raise ValueError("keep must be none or first, min_docs at least 1")
@@ -150,9 +151,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
         more = copies.select(F.col("doc").alias("c_doc"), F.col("th").alias("c_th"))
         more = F.broadcast(more) if more.count() <= BROADCAST_ROWS else more
         keyed = keyed.join(more, F.col("doc").eqNullSafe(F.col("c_doc")) & (F.col("th") == F.col("c_th")), "left_anti")
-    rows = _line_rows(keyed, min_chars)
+    rows = stored(_line_rows(keyed, min_chars), "line-rows")  # the range partitioner reads them twice
     order = ["h1", "h2", "doc", "th"]
     runs = stored(_settle_runs(rows.repartitionByRange(*order).sortWithinPartitions(*order), min_docs, keep == "first"), "line-runs")
+    discard(rows)
     totals = runs.where("kind = 1").groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(F.struct("doc", "th")).alias("head")).where(F.col("total") >= min_docs)
     late = runs.where("kind = 2").drop("n", "kind").dropDuplicates(order).join(totals, ["h1", "h2"])
     if keep == "first":
@@ -200,12 +202,10 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none", id_col:
     empty text; a null text becomes empty.
     """
     bitmaps = keep_bitmaps(docs, min_docs, keep, id_col=id_col, text_col=text_col, copies_vote=copies_vote)
-    mask = "__bitmap"
-    while mask in docs.columns:
-        mask += "_"
-    named = bitmaps.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("bitmap").alias(mask))
+    key, th, mask = (free_name(docs, c) for c in ("line_doc", "line_th", "line_bitmap"))
+    named = bitmaps.select(F.col("doc").alias(key), F.col("th").alias(th), F.col("bitmap").alias(mask))
     filled = docs.withColumn(text_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    joined = filled.join(named, filled[id_col].eqNullSafe(named["__doc"]) & (F.xxhash64(filled[text_col]) == named["__th"]), "left").select(*[filled[c] for c in docs.columns], named[mask])
+    joined = filled.join(named, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(F.col(text_col)) == F.col(th)), "left").select(*docs.columns, mask)
     at, last = docs.columns.index(text_col), len(docs.columns)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
