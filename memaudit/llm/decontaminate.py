@@ -5,22 +5,35 @@ is as long as the item it is held against. A document is a candidate for an item
 of an item with S shingles, S - ceil(threshold x S) + 1 are anchors, so a window that reaches the threshold holds one. In
 candidates windows are laid at every start from which enough places hold a shingle of the item, wherever in the item it
 stands: bags of S and W shingles at the threshold t share at least t (S + W) / (1 + t), so no other start reaches it.
-Windows and items get 64-bit SimHash fingerprints; radius + 1 blocks of the fingerprint are join keys, so every pair of
-one size within the radius meets in a block that is equal. What passes is verified by the exact weighted similarity
-of the shingle bags, sum of least counts over sum of greatest counts.
+Windows and items get 64-bit SimHash fingerprints; radius + 1 blocks of the fingerprint are join keys beside the item, so
+a window and the item it is laid for meet in a block that is equal whenever they are within the radius. The radius comes
+from the threshold. What passes is verified by the exact weighted similarity of the shingle bags, sum of least counts
+over sum of greatest counts.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import stored, without_rows
 
 #: Anchors and windows up to so many rows are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 400_000
-#: Fingerprints of bags at similarity 0.8 differ in 10 of 64 bits on average, with a deviation of 3.
-RADIUS = 21
+#: Starts of the windows that are cut from one piece of a document; a longer document is cut from several.
+PIECE = 1024
+
+
+def radius_for(threshold: float) -> int:
+    """Bits in which fingerprints at the threshold may differ: the expected number and 4.1 deviations more.
+
+    Bags of equal size at weighted similarity t have a cosine of 2 t / (1 + t) or more (of sets: exactly that), and each
+    bit differs with the chance of the angle over pi. At 0.8: 10 of 64 bits, with a deviation of 3; the radius is 21.
+    """
+    p = math.acos(min(1.0, 2 * threshold / (1 + threshold))) / math.pi
+    return min(63, int(64 * p + 4.1 * math.sqrt(64 * p * (1 - p))))
 
 
 def _hashes(text: Column) -> Column:
@@ -46,7 +59,7 @@ def simhash(shingles: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(bit(b)))
 
 
-def _blocks(fingerprint: Column, radius: int) -> Column:
+def blocks(fingerprint: Column, radius: int) -> Column:
     """The fingerprint in radius + 1 blocks of near equal width, each an integer."""
     n = radius + 1
     cuts = [64 * i // n for i in range(n + 1)]
@@ -64,8 +77,9 @@ def _maybe_broadcast(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int, radius: int, id_col: str, text_col: str, item_col: str) -> DataFrame:
+def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int, radius: int | None, id_col: str, text_col: str, item_col: str) -> DataFrame:
     """doc, th, item, start, similarity of every window that reaches the threshold."""
+    radius = radius_for(threshold) if radius is None else radius
     items = benchmark.select(F.col(item_col).alias("item"), _hashes(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     items = stored(items.distinct(), "items")
     sizes = [r["k"] for r in items.select(F.least(F.size("w"), F.lit(n)).alias("k")).distinct().orderBy("k").collect()]
@@ -76,7 +90,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int, ra
         # Written first: an expression is evaluated anew wherever a lambda holds it, a column isn't.
         own = stored(own, "item-bags")
         bags = own.select("iw", "words", "bag").dropDuplicates(["iw"])
-        own = stored(own.drop("iw").withColumn("item_fp", simhash(F.col("bag"))), "item-prints")
+        prints = stored(bags.select("iw", simhash(F.col("bag")).alias("item_fp")), "item-prints")
         # Anchors are spread over the item, so that a few edited words leave some of them.
         spread = F.expr("transform(sequence(0, anchors - 1), i -> get(bag, cast(floor(i * size(bag) / anchors) as int)))")
         anchors = bags.withColumn("anchors", (F.size("bag") - F.ceil(F.lit(threshold) * F.size("bag")) + 1).cast("int")).select("iw", F.explode(spread).alias("h"))
@@ -88,7 +102,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int, ra
         whole = stored(whole.withColumn("w", _hashes(F.col("text"))).select("doc", "th", _shingles(F.col("w"), k).alias("all")), "shingles")
         hits = whole.join(_maybe_broadcast(pairs), same).join(_maybe_broadcast(bags), "iw")
         at = F.expr("filter(sequence(0, size(all) - 1), p -> array_contains(bag, get(all, p)))")
-        hits = stored(hits.select("doc", "th", "words", F.size("all").alias("n"), F.size("bag").alias("s"), at.alias("at")), "hits")
+        hits = stored(hits.select("doc", "th", "iw", "words", F.size("all").alias("n"), F.size("bag").alias("s"), at.alias("at")), "hits")
         # A window is as long as the item, or the whole of a shorter document.
         hits = hits.withColumn("len", F.least("s", "n"))
         hits = hits.withColumn("need", F.greatest(F.lit(1), F.ceil(F.lit(threshold) * (F.col("s") + F.col("len")) / F.lit(1 + threshold) - 1e-9).cast("int")))
@@ -96,20 +110,23 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int, ra
         low = "greatest(0, get(at, i + need - 1) - len + 1, if(i = 0, 0, get(at, i - 1) + 1))"
         high = "least(get(at, i), n - len)"
         starts = f"flatten(transform(sequence(0, size(at) - need), i -> if({low} <= {high}, sequence({low}, {high}), cast(array() as array<int>))))"
-        windows = hits.where("size(at) >= need").select("doc", "th", "words", F.explode(F.expr(f"if(size(at) >= need, {starts}, null)")).alias("start")).distinct()
-        wanted = stored(windows.select(F.col("doc").alias("w_doc"), F.col("th").alias("w_th"), "words", "start"), "windows")
-        cut = whole.join(_maybe_broadcast(wanted), same)
-        cut = stored(cut.select("doc", "th", "words", "start", F.slice("all", F.col("start") + 1, F.col("words") - (k - 1)).alias("bag")), "cuts")
-        prints = stored(cut.withColumn("fp", simhash(F.col("bag"))), "prints")
-        blocks = lambda df, fp: df.select("*", _blocks(F.col(fp), radius).alias(f"{fp}_b")).select("*", F.posexplode(f"{fp}_b").alias("block", "value"))
-        left = blocks(prints, "fp")
-        right = blocks(own.withColumnRenamed("bag", "item_bag"), "item_fp")
-        # A pair meets once, in its first equal block.
-        once = F.array_position(F.zip_with("fp_b", "item_fp_b", lambda a, b: a == b), True) == F.col("block") + 1
-        within = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius
-        right = right.select("item", F.col("words").alias("i_words"), "item_bag", "item_fp", "item_fp_b", F.col("block").alias("i_block"), F.col("value").alias("i_value"))
-        meet = left.join(right, (F.col("words") == F.col("i_words")) & (F.col("block") == F.col("i_block")) & (F.col("value") == F.col("i_value")) & within & once)
-        found.append(meet.select("doc", "th", "item", "start", similarity(F.col("bag"), F.col("item_bag")).alias("similarity")).where(F.col("similarity") >= threshold))
+        windows = hits.where("size(at) >= need").select("doc", "th", "iw", "words", F.explode(F.expr(f"if(size(at) >= need, {starts}, null)")).alias("start")).distinct()
+        # Windows near one another are cut from one piece of the document, so its whole array isn't carried to each.
+        pieces = windows.withColumn("piece", F.expr(f"start div {PIECE}")).groupBy(F.col("doc").alias("w_doc"), F.col("th").alias("w_th"), "iw", "words", "piece").agg(F.collect_list("start").alias("starts"))
+        pieces = stored(pieces, "pieces")
+        part = F.slice("all", (F.col("piece") * PIECE + 1).cast("int"), PIECE + F.col("words"))
+        cut = whole.join(_maybe_broadcast(pieces), same).select("doc", "th", "iw", "words", "piece", part.alias("part"), F.explode("starts").alias("start"))
+        bag = F.slice("part", (F.col("start") - F.col("piece") * PIECE + 1).cast("int"), F.col("words") - (k - 1))
+        cut = stored(cut.select("doc", "th", "iw", "start", bag.alias("bag")), "cuts")
+        # A pair meets in the blocks that are equal, and is taken in the first of them.
+        windowed = cut.withColumn("fp", simhash(F.col("bag")))
+        left = stored(windowed, "prints").select("*", F.posexplode(blocks(F.col("fp"), radius)).alias("block", "value"))
+        right = prints.select("iw", "item_fp", F.posexplode(blocks(F.col("item_fp"), radius)).alias("block", "value"))
+        unlike = F.col("fp").bitwiseXOR(F.col("item_fp"))
+        once = F.array_position(blocks(unlike, radius), F.lit(0).cast("bigint")) == F.col("block") + 1
+        meet = left.join(_maybe_broadcast(right), ["iw", "block", "value"]).where((F.bit_count(unlike) <= radius) & once).select("doc", "th", "iw", "start", "bag")
+        near = meet.join(_maybe_broadcast(own.select("iw", "item", F.col("bag").alias("item_bag"))), "iw")
+        found.append(near.select("doc", "th", "item", "start", similarity(F.col("bag"), F.col("item_bag")).alias("similarity")).where(F.col("similarity") >= threshold))
     if not found:
         found = [text.join(items, F.lit(False)).select("doc", "th", "item", F.lit(0).alias("start"), F.lit(0.0).alias("similarity"))]
     every = found[0]
@@ -118,22 +135,22 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, n: int, ra
     return every
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, n: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, n: int = 5, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """id_col, item_col, similarity, start (first word of the best window, from 0), n_windows: one row for each document
     and item of which a window reaches the threshold.
 
     Windows have the item's number of words (a shorter document is one window). Null and empty texts and items match
     nothing; rows of equal id and text are one document; a null id is an id like others; a benchmark id with several
-    texts gives the best of them. Either table may be empty. All windows that can reach the threshold are compared, none is capped.
+    texts gives the best of them. Either table may be empty. Other columns are not read. All windows that can reach the
+    threshold are compared, none is capped; a radius other than radius_for(threshold) may be given.
     """
     every = _matches(docs, benchmark, threshold, n, radius, id_col, text_col, item_col)
     best = every.groupBy("doc", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"), F.count("*").alias("n_windows"))
     return best.select(F.col("doc").alias(id_col), F.col("item").alias(item_col), F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("start"), "n_windows")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, n: int = 5, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, n: int = 5, radius: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs, with all their columns, of which no window reaches the threshold for an item."""
     every = _matches(docs, benchmark, threshold, n, radius, id_col, text_col, item_col)
-    bad = stored(every.select(F.col("doc").alias("__id"), F.col("th").alias("__th")).distinct(), "contaminated")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__th"))
-    return docs.join(_maybe_broadcast(bad), same, "left_anti")
+    bad = stored(every.select("doc", "th").distinct(), "contaminated")
+    return without_rows(docs, bad, id_col, text_col, BROADCAST_ROWS)
