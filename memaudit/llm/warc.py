@@ -26,13 +26,15 @@ from ._common import batches
 UNDATED = "1970-01-01T00:00:00Z"
 HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
 
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|main|aside|title|head|body|html|blockquote|pre|form|dl|dt|dd|figure|figcaption|hr|option|td|th)\b[^>]*>", re.I)
+# Every pattern here, once begun, matches up to a mark or to the end of the page, so none is tried over the same text twice.
+_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|noscript|svg)\b[^>]*(?:>|\Z).*?(?:</\1\s*>|\Z)", re.S | re.I)
+_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|nav|header|footer|main|aside|title|head|body|html|blockquote|pre|form|dl|dt|dd|figure|figcaption|hr|option|td|th)\b[^>]*(?:>|\Z)", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*(?:>|\Z)")
-_TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|\Z)", re.S | re.I)
-_LANG = re.compile(r"<html[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]{1,35})", re.I)
-_CHARSET = re.compile(r"<meta[^>]*?\bcharset\s*=\s*[\"']?([\w-]{1,40})", re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_TITLE = re.compile(r"<title\b[^>]*(?:>|\Z)(.*?)(?:</title|\Z)", re.S | re.I)
+# These look at one tag, from its start.
+_LANG = re.compile(r"<html\b.*?\blang\s*=\s*[\"']?([A-Za-z-]{1,35})", re.S | re.I)
+_CHARSET = re.compile(r"<meta\b.*?\bcharset\s*=\s*[\"']?([\w-]{1,40})", re.S | re.I)
+_LINK = re.compile(r"<a\b.*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.S | re.I)
 _SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
 _LINES = re.compile(r" *\n[ \n]*")
 
@@ -52,11 +54,24 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha1(chr(31).join(parts).encode()).digest()[:16], version=5)}>"
 
 
+def _flat(s: str) -> str:
+    return " ".join(html.unescape(s).split())
+
+
 def describe(page: str) -> list[tuple[str, str]]:
-    """The fields of a metadata block that come from the page itself."""
-    first = lambda p, flat=False: [(" ".join(html.unescape(m[1]).split()) if flat else m[1]) for m in [p.search(page)] if m]
-    out = [("title", t) for t in first(_TITLE, True)] + [("languages-declared", t) for t in first(_LANG)] + [("charset-declared", t) for t in first(_CHARSET)]
-    return out + [("outlink", " ".join(html.unescape(a or b or c).split()) + " L a/@href") for a, b, c in _LINK.findall(_SKIP.sub(" ", page))]
+    """The fields of a metadata block that come from the page itself: its title, the first language and character set
+    that its tags declare, and the address of each link; comments and scripts are left out but for the title's page."""
+    langs, charsets, links = [], [], []
+    for tag in _TAG.findall(_SKIP.sub(" ", page)):
+        name = tag[1:5].lower()
+        if name == "html" and not langs:
+            langs += [m[1] for m in [_LANG.match(tag)] if m]
+        elif name == "meta" and not charsets:
+            charsets += [m[1] for m in [_CHARSET.match(tag)] if m]
+        elif name[:1] == "a" and (m := _LINK.match(tag)):
+            links.append(_flat(m[1] or m[2] or m[3] or ""))
+    titles = [_flat(m[1]) for m in [_TITLE.search(page)] if m]
+    return [("title", t) for t in titles] + [("languages-declared", t) for t in langs] + [("charset-declared", t) for t in charsets] + [("outlink", f"{a} L a/@href") for a in links]
 
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: Column | None = None, headers: Column | None = None) -> DataFrame:
@@ -73,10 +88,13 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def derivatives(records: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """Two records for each response, in the columns of COLUMNS: a metadata and a conversion record.
+    """Two records for each response, a metadata and a conversion record: id_col, record_id, record_type, refers_to (the
+    response's record id), refers_to_target_uri, refers_to_date, date, content_type, block, block_digest, payload_digest,
+    content_length.
 
     An empty payload gives an empty conversion; a response with a null column is read as if that were empty; repeated
-    responses give repeated records with equal ids; other columns are not read.
+    responses give repeated records with equal ids; other columns are not read; an empty table gives no records. Payloads
+    are read whole, in time linear in their length.
     """
     kind = records.schema[id_col].dataType
     names = ["record_id", "record_type", "refers_to", "refers_to_target_uri", "refers_to_date", "date", "content_type", "block", "block_digest", "payload_digest", "content_length"]
