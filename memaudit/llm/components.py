@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import discard, joined_hot, stored
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """Per node u of directed edges (u, v): the least of u and its v. Pre-aggregated before the shuffle."""
-    return edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+def _to_least(edges: DataFrame) -> DataFrame:
+    """Directed edges (u, v) with m, the least of u and all its v; a node of very many edges isn't dealt to one task."""
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("k"))
+    return joined_hot(edges, least, "u", "k")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,9 +28,10 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = mark
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _to_least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").distinct()
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links")
+        down = _to_least(down)  # v < u, so m is the least v
+        small = down.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v"))
+        older, edges = edges, stored(small.distinct(), "links")
+        discard(older)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

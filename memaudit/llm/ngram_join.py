@@ -23,19 +23,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import batches, stored
+from ._common import batches, discard, joined_hot, stored, without_rows
 from .components import components
 
 #: Words whose hash a worker remembers; reaching it empties the memory.
-WORDS = 400_000
+WORDS = 200_000
 #: Rows up to which a table of pairs may be broadcast (about 40 bytes each); beyond it texts are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: Documents that one task compares with one leader.
 GROUP = 256
+#: Open rows of a key that one task compares with as many others.
+CELL = 2048
 #: Cost model: chance that two documents agree in one shingle, and the cost of a candidate in index rows.
 AGREE, CANDIDATE = 0.02, 4.0
 #: Longs of a parity sketch: bit b is the parity of the number of hashes that fall on b, so two sketches differ in at
@@ -90,8 +92,12 @@ def difference(percent: int, low: int) -> int:
     return (100 - percent) * (high + high * 100 // percent) // (100 + percent)
 
 
-def allocate(need: int, size: int, docs: int) -> tuple[int, int]:
-    """(exact, deletion) segments with exact + 2 x deletion = need, of the least estimated cost for a band."""
+def allocate(need: int, size: int, docs: int, deletions: int | None = None) -> tuple[int, int]:
+    """(exact, deletion) segments with exact + 2 x deletion = need, of the least estimated cost for a band; or with as
+    many deletion segments as given, as far as need has room for them."""
+    if deletions is not None:
+        two = min(deletions, need // 2)
+        return need - 2 * two, two
 
     def cost(two: int) -> float:
         one = need - 2 * two
@@ -113,7 +119,7 @@ def spare_segments(segments: int, size: int) -> int:
     return min(spare, segments)
 
 
-def schemes(percent: int, counts: dict[int, int]) -> tuple[list[int], list[tuple[int, int, int]]]:
+def schemes(percent: int, counts: dict[int, int], deletions: int | None = None) -> tuple[list[int], list[tuple[int, int, int]]]:
     """Band starts and each band's (exact, deletion, spare) segments, from the number of distinct sets per band."""
     top = max(counts, default=0) + 1
     starts = [1]
@@ -125,7 +131,7 @@ def schemes(percent: int, counts: dict[int, int]) -> tuple[list[int], list[tuple
         if need == 1:  # only equal sets link
             alloc.append((0, 0, 0))
             continue
-        one, two = allocate(need, low * 100 // percent, counts.get(i, 0) + counts.get(i + 1, 0))
+        one, two = allocate(need, low * 100 // percent, counts.get(i, 0) + counts.get(i + 1, 0), deletions)
         alloc.append((one, two, spare_segments(one + two, low) if one else 0))
     return starts, alloc
 
@@ -225,6 +231,80 @@ def _keys(source: DataFrame, n: int, starts: list[int], alloc: list[tuple[int, i
     return source.mapInArrow(run, "key long, node long, bits byte")
 
 
+def _shared_runs(keyed: DataFrame) -> DataFrame:
+    """From rows in the order (key, home first, node), streamed by range partition: kind 0, a row of a key that at least
+    two nodes share, one of them at home; kind 1, the least and greatest node of a key at a partition's border and
+    whether one is at home; kind 2, a row of such a key that is still open. A hot key is cut over many partitions, and
+    memory holds one batch. Each (key, node) comes once."""
+    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("node", pa.int64()), ("bits", pa.int8()), ("other", pa.int64())])
+
+    def rows(kind, key, node, bits, other=None):
+        n = len(node)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(key), pa.array(node), pa.array(bits), pa.array(other) if other is not None else pa.nulls(n, pa.int64())], schema=schema)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, first = None, True  # the run that goes on: key, least and greatest node, home, last node, rows held back
+
+        def border():
+            key, low, high, home = now[:4]
+            return rows(1, np.array([key]), np.array([low]), np.array([2 * home], np.int8), np.array([high]))
+
+        for batch in stream:
+            key, node, bits = (np.asarray(batch.column(i)) for i in range(3))
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+            if len(key) and now:
+                new[0] = key[0] != now[0] or node[0] != now[4]
+            key, node, bits = key[new], node[new], bits[new]
+            if not len(key):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(starts[1:], len(key))
+            emit = np.repeat((ends - starts >= 2) & (bits[starts] >= 2), ends - starts)
+            for run_no in sorted({0, len(starts) - 1}):  # these may go on from the batch before, or into the next
+                a, b = starts[run_no], ends[run_no]
+                if now and key[a] == now[0]:
+                    low, high, home, held = min(now[1], node[a:b].min()), max(now[2], node[a:b].max()), now[3], now[5]
+                else:
+                    if now and first:
+                        yield border()
+                        first = False
+                    low, high, home, held = node[a:b].min(), node[a:b].max(), bool(bits[a] >= 2), None
+                now = [key[a], low, high, home, node[b - 1], held]
+                if first:
+                    yield rows(2, key[a:b], node[a:b], bits[a:b])
+                    emit[a:b] = False
+                elif not home:
+                    emit[a:b] = False
+                elif held is not None or b - a >= 2 or low < high:
+                    if held is not None:
+                        yield rows(0, *held)
+                        now[5] = None
+                    emit[a:b] = True
+                else:
+                    emit[a:b] = False
+                    now[5] = (key[a:b], node[a:b], bits[a:b])
+            if emit.any():
+                yield rows(0, key[emit], node[emit], bits[emit])
+        if now:
+            yield border()
+            if now[5] is not None:
+                yield rows(2, *now[5])
+
+    return keyed.mapInArrow(run, "kind byte, key long, node long, bits byte, other long")
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(key, node, bits) of the keys that at least two nodes share, one of them at home; a hot key isn't dealt to one task."""
+    order = [F.col("key"), (F.col("bits") < 2).alias("away"), F.col("node")]
+    runs = stored(_shared_runs(keyed.repartitionByRange(*order).sortWithinPartitions(*order)), "key-runs")
+    edges = runs.where("kind = 1").groupBy("key").agg(F.min("node").alias("lo"), F.max("other").alias("hi"), F.max("bits").alias("any"))
+    late = runs.where("kind = 2").join(F.broadcast(edges.where("lo < hi and any >= 2").select("key")), "key", "left_semi")  # two keys a partition at most
+    out = stored(runs.where("kind = 0").unionByName(late).select("key", "node", "bits"), "shared-keys")
+    discard(runs)
+    return out
+
+
 def _verified(source: DataFrame, n: int, pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """(x, y, shared, nx, ny) for each pair (x, y) of nodes: the size of the intersection of the whole sets.
 
@@ -278,10 +358,13 @@ def _verified(source: DataFrame, n: int, pairs: DataFrame, reps: DataFrame) -> D
         return batches(rows(), schema)
 
     shipped = texts.select("x", "part", "role", "node", "text").mapInArrow(sets, "x long, part int, role int, node long, h binary")
-    return shipped.repartition("x", "part").sortWithinPartitions("x", "part", "role", "node").mapInArrow(compare, "x long, y long, shared long, nx long, ny long")
+    ordered = shipped.repartition("x", "part").sortWithinPartitions("x", "part", "role", "node")
+    out = stored(ordered.mapInArrow(compare, "x long, y long, shared long, nx long, ny long"), "verified")
+    discard(dealt, jobs)
+    return out
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False) -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_links: bool = False, deletions: int | None = None) -> DataFrame:
     """id_col, n_shingles, component_id (least id reached by links, itself included), component_size, text_hash
     (xxhash64 of the text): one row per row.
 
@@ -291,7 +374,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     rows and ids among them; component_id is null only where all ids of a component are. An empty table gives no rows.
 
     with_links adds n_links, the number of other rows that a row links with. Then every candidate pair of unlike sets is
-    verified, also within a component: quadratic in the number of unlike sets that share a key.
+    verified, also within a component: quadratic in the number of unlike sets that share a key. deletions forces the
+    number of deletion segments of each band, which changes the cost and not the result. Other columns are not read.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
@@ -299,35 +383,38 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     members = stored(_members(source, n), "members")
     starts = bands(percent, members.agg(F.max("size")).first()[0] or 1)
     band = F.size(F.filter(F.array(*map(F.lit, starts)), lambda s: s <= F.col("size"))) - 1
-    nodes = members.where("size > 0").groupBy("node").agg(F.min("doc").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"))
+    nodes = members.where("size > 0").groupBy("node").agg(F.min("doc").alias("rep"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.count("*").alias("rows"))
+    nodes = stored(nodes, "sets")
     counts = {r["band"]: r["count"] for r in nodes.select(band.alias("band")).groupBy("band").count().collect()}
-    starts, alloc = schemes(percent, counts)
-
-    whole_key = Window.partitionBy("key")
-    keyed = _keys(source, n, starts, alloc).withColumns({"lo": F.min("node").over(whole_key), "hi": F.max("node").over(whole_key), "any": F.max("bits").over(whole_key)})
-    shared = stored(keyed.where("lo < hi and any >= 2").groupBy("key", "node").agg(F.max("bits").alias("bits")), "shared-keys")
+    starts, alloc = schemes(percent, counts, deletions)
+    keyed = stored(_keys(source, n, starts, alloc), "keys")
+    shared = _shared(keyed)
+    discard(keyed)
 
     # First pass: each key's most central node against the key's others.
     sizes = shared.groupBy("key").agg(F.count("*").alias("k"))
-    centre = shared.join(sizes, "key").groupBy("node").agg(F.sum("k").alias("weight"))
-    ranked = shared.join(centre, "node")
-    leaders = ranked.groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top")).select("key", F.col("top.node").alias("x"))
-    led = stored(shared.join(leaders, "key").select("key", "x", F.col("node").alias("y"), "bits"), "led-keys")
-    first = stored(_verified(source, n, led.where("x <> y").select("x", "y").distinct(), nodes.select("node", "rep")), "verified")
+    centre = joined_hot(shared, sizes, "key", "k").groupBy("node").agg(F.sum("k").alias("weight"))
+    leaders = shared.join(centre, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("k")).select("key", F.col("top.node").alias("x"), "k")
+    led = stored(joined_hot(shared, leaders, "key", "k").select("key", "x", F.col("node").alias("y"), "bits"), "led-keys")
+    discard(shared)
+    first = _verified(source, n, led.where("x <> y").select("x", "y").distinct(), nodes.select("node", "rep"))
     linked = F.expr(f"100 * shared >= {percent} * (nx + ny - shared)")
     links = first.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = components(links)
 
     # Second pass: pairs of one key that the first pass left in unlike components.
     label = led.join(found, led["y"] == found["node"], "left").select("key", "x", "y", "bits", F.coalesce("component", "y").alias("c"))
-    open_keys = label.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("true" if with_links else "c1 < c2").select("key")
+    open_keys = label.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("k")).where("true" if with_links else "c1 < c2").select("key", "k")
     far = first.select("x", "y", (1 - F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).alias("d"))
-    left = label.join(open_keys, "key").join(far, ["x", "y"], "left").join(nodes.select(F.col("node").alias("y"), "size", "sketch"), "y")
-    left = stored(left.select("key", "x", "y", "bits", "c", F.coalesce("d", F.lit(0.0)).alias("d"), "size", "sketch"), "open-keys")
-    one, two = left.select(*[F.col(c).alias(f"{c}1") for c in left.columns]), left.select(*[F.col(c).alias(f"{c}2") for c in left.columns])
+    left = joined_hot(label, open_keys, "key", "k").where("k is not null").join(far, ["x", "y"], "left").join(nodes.select(F.col("node").alias("y"), "size", "sketch"), "y")
+    left = stored(left.select("key", "x", "y", "bits", "c", F.coalesce("d", F.lit(0.0)).alias("d"), "size", "sketch", F.ceil(F.col("k") / CELL).cast("int").alias("cells")), "open-keys")
+    # A key's rows are dealt to cells; each two cells meet in a task of their own.
+    cell, every = F.pmod(F.xxhash64("y"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    sides = [left.select("*", cell.alias("i"), every.alias("j")), left.select("*", every.alias("i"), cell.alias("j"))]
+    one, two = (side.select(*[F.col(c).alias(f"{c}{at}") for c in side.columns]) for at, side in enumerate(sides, 1))
     unlike = sum(F.bit_count(F.get("sketch1", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(SKETCH))
     close = (
-        (F.col("key1") == F.col("key2"))
+        F.expr("key1 = key2 and i1 = i2 and j1 = j2")
         & F.expr("y1 < y2 and y1 <> x1 and y2 <> x1" + ("" if with_links else " and c1 <> c2"))
         & F.expr("(bits1 >= 2 or bits2 >= 2) and (bits1 % 2 = 1 or bits2 % 2 = 1)")
         & F.expr(f"100 * least(size1, size2) >= {percent} * greatest(size1, size2)")
@@ -335,30 +422,33 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         & (unlike * (100 + percent) <= (100 - percent) * (F.col("size1") + F.col("size2")))
     )
     rest = one.join(two, close).select(F.col("y1").alias("x"), F.col("y2").alias("y")).distinct()
-    second = stored(_verified(source, n, rest, nodes.select("node", "rep")), "verified")
+    second = _verified(source, n, rest, nodes.select("node", "rep"))
+    discard(led, left)
     more = second.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     if not more.isEmpty():
         found = components(links.unionByName(more))
 
-    placed = members.join(found.withColumnRenamed("node", "n2"), F.col("node") == F.col("n2"), "left").select("doc", "th", "node", "size", F.coalesce("component", "node").alias("c"))
-    heads = placed.where("c is not null").groupBy("c").agg(F.min("doc").alias("head"), F.count("*").alias("n")).withColumnRenamed("c", "c2")
-    out = placed.join(heads, F.col("c") == F.col("c2"), "left")
+    # By set, then by row: components of many sets and sets of many rows are not dealt to one task.
+    joined = found.join(nodes.select("node", "rep", "rows"), "node")
+    heads = joined.groupBy("component").agg(F.min("rep").alias("head"), F.sum("rows").alias("n"), F.count("*").alias("k"))
+    info = joined_hot(joined, heads, "component", "k").select("node", "head", "n", "rows")
+    lone = nodes.where("rows > 1").join(found.select("node"), "node", "left_anti")
+    info = info.unionByName(lone.select("node", F.col("rep").alias("head"), F.col("rows").alias("n"), "rows"))
     linked_rows = []
     if with_links:  # rows of the own set but one, and all of each linked set
-        rows = members.where("size > 0").groupBy("node").agg(F.count("*").alias("rows"))
         sets = links.unionByName(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         both = sets.unionByName(sets.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        others = both.join(rows, F.col("b") == F.col("node")).groupBy("a").agg(F.sum("rows").alias("other"))
-        n_links = rows.join(others, F.col("node") == F.col("a"), "left").select(F.col("node").alias("n3"), (F.col("rows") - 1 + F.coalesce("other", F.lit(0))).alias("n_links"))
-        out = out.join(n_links, F.col("node") == F.col("n3"), "left")
+        others = both.join(nodes.select(F.col("node").alias("b"), "rows"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("rows").alias("other"))
+        info = info.join(others, "node", "left").withColumn("n_links", F.col("rows") - 1 + F.coalesce("other", F.lit(0)))
         linked_rows = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")]
-    return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc")).otherwise(F.col("head")).alias("component_id"), F.coalesce("n", F.lit(1)).cast("long").alias("component_size"), F.col("th").alias("text_hash"), *linked_rows)
+    out = joined_hot(members.drop("sketch"), stored(info, "set-components"), "node", "rows")
+    head = F.when(F.col("n").isNull(), F.col("doc")).otherwise(F.col("head"))
+    return out.select(F.col("doc").alias(id_col), F.col("size").alias("n_shingles"), head.alias("component_id"), F.coalesce("n", F.lit(1)).cast("long").alias("component_size"), F.col("th").alias("text_hash"), *linked_rows)
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that are the least id of their component; rows of one id and text stay
     or go together, and documents that link with nothing stay, those without words among them."""
     placed = jaccard_components(docs, n, percent, id_col, text_col)
-    gone = stored(placed.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).distinct(), "near-duplicates")
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("__th"))
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
+    gone = stored(placed.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col, "text_hash").distinct(), "near-duplicates")
+    return without_rows(docs, gone, id_col, text_col, BROADCAST_ROWS)
