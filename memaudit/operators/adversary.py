@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memaudit.functions import vectors
-from memaudit.functions.text import judge_mentions
+from memaudit.functions.text import contains_norms, judge_mentions, norm
 
 TEMPLATES = ("verbatim", "hyphenated", "letter-spaced", "prefix-cue")
 TOPOLOGIES = ("single", "aliased", "collided", "saturated")
@@ -34,7 +34,7 @@ def _halves(token: Column) -> tuple[Column, Column]:
 
 
 def survivor_value(answer: Column, template: Column) -> Column:
-    """A text that conveys the answer; all templates but the first evade a judge of whole words."""
+    """A text that conveys the answer; all templates but the first evade a judge of whole words. The sentences are fixed values."""
     words = F.filter(F.split(answer, r"\s+"), lambda w: w != "")
     hyphenated = F.array_join(F.transform(words, lambda w: F.concat_ws("-", *_halves(w))), " ")
     spaced = F.array_join(F.transform(words, lambda w: F.array_join(F.split(w, ""), " ")), "  ")
@@ -92,6 +92,30 @@ def build_injections(facts: DataFrame, config: AdversarialConfig = AdversarialCo
     return rows.select("fact", "epsilon", "template", "entry_id", survivor_key(F.col("vector"), F.col("direction"), F.col("target_cosine")).alias("vector"), "value", "target_cosine", "decoy")
 
 
+def attack(queries: DataFrame, left: DataFrame, injected: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(attacks: fact, epsilon, template, selected, value, correct; baseline: fact, value, correct) of echo readers.
+
+    queries: fact, vector (unit), gold_norms, parametric. left: fact, entry_id (text), score, value: what deletion left.
+    injected: rows of build_injections. Injected vectors are scored against their query like any entry and face the
+    threshold; the best of a query's rows wins, ties to stored entries, then survivors, then decoys, each by id.
+    selected: a survivor that isn't a decoy won.
+    """
+    best = lambda rows, *by: rows.groupBy(*by).agg(F.min_by(F.struct("entry_id", "value", "target", "score", "sort"), F.struct(-F.col("score"), F.col("sort"), F.col("entry_id"))).alias("top"))
+    said = lambda rows: rows.withColumn("value", F.coalesce("top.value", "parametric")).withColumn("correct", contains_norms(norm(F.col("value")), F.col("gold_norms")))
+    who = queries.select("fact", "gold_norms", "parametric")
+    kept = left.where(F.col("score") >= threshold).select("fact", "entry_id", "score", "value", F.lit(False).alias("target"), F.lit(0).alias("sort"))
+    baseline = said(who.join(best(kept, "fact"), "fact", "left")).select("fact", "value", "correct")
+    live = injected.join(queries.select("fact", F.col("vector").alias("query")), "fact").withColumn("score", F.round(vectors.dot(F.col("vector"), F.col("query")), 12))
+    live = live.where(F.col("score") >= threshold).select("fact", "epsilon", "template", "entry_id", "score", "value", (~F.col("decoy")).alias("target"), F.when(F.col("decoy"), 2).otherwise(1).alias("sort"))
+    arms = injected.select("fact", "epsilon", "template").distinct()
+    # What deletion left competes as one row: only its best can win.
+    rest = best(kept, "fact").select("fact", "top.entry_id", "top.score", "top.value", "top.target", "top.sort")
+    rows = live.unionByName(arms.join(rest, "fact"))
+    tops = best(rows, "fact", "epsilon", "template")
+    out = said(arms.join(who, "fact").join(tops, ["fact", "epsilon", "template"], "left"))
+    return out.select("fact", "epsilon", "template", F.coalesce("top.target", F.lit(False)).alias("selected"), "value", "correct"), baseline
+
+
 def r_of_fact(baseline: DataFrame, del_off: DataFrame) -> DataFrame:
     """(fact, r_f): right after deletion with retrieval and wrong without; only facts with both runs."""
     return baseline.select("fact", F.col("correct").alias("b")).join(del_off.select("fact", F.col("correct").alias("o")), "fact").select("fact", (F.col("b") & ~F.col("o")).alias("r_f"))

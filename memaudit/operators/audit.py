@@ -73,28 +73,50 @@ def best(pairs: DataFrame, threshold: float, keep: Column | None = None, by: tup
     return rows.groupBy(*by).agg(top.alias("s")).select(*by, F.col("s.entry_id").alias("selected_id"), F.col("s.value").alias("selected_value"), F.col("s.source_id").alias("selected_source"), F.col("s.score").alias("selected_score"))
 
 
+#: Why a fact isn't audited, in the order in which the first that holds is given.
+SKIPS = {
+    "no-gold": "the fact has no answer",
+    "no-retrieval": "FULL produced no selected entry ID",
+    "no-answer-mention": "FULL selected entry did not pass the answer-mention heuristic",
+    "answer-before-retrieval": "FULL answer was already visible before the answer-mention event",
+    "unknown-alignment": "FULL answer-mention event has unknown temporal alignment",
+    "full-wrong": "FULL answer was incorrect",
+    "no-vector": "FULL produced no query embedding",
+    "empty-manifest": "manifest builder produced an empty manifest",
+}
+
+
+def _skips(mentions: Column, *more: tuple[Column, str]) -> Column:
+    """The common reasons; answer_visible_before_event is three-valued, and only a known false is in time."""
+    seen = F.col("answer_visible_before_event")
+    rules = [
+        (F.size("gold_norms") == 0, "no-gold"), (F.col("selected_id").isNull(), "no-retrieval"), (~F.coalesce(mentions, F.lit(False)), "no-answer-mention"),
+        (F.coalesce(seen, F.lit(False)), "answer-before-retrieval"), (seen.isNull(), "unknown-alignment"), *more,
+    ]
+    out = F.when(*[rules[0][0], rules[0][1]])
+    for bad, why in rules[1:]:
+        out = out.when(bad, why)
+    return out
+
+
 def gate(facts: DataFrame, full: DataFrame) -> DataFrame:
     """facts with FULL's selection and skip_reason: null for the cohort, else the first reason that holds.
 
-    facts: fact, gold, gold_norms. The reasons, in order: no-gold, no-retrieval, no-answer-mention.
+    facts: fact, gold, gold_norms, answer_visible_before_event (of the selected event, from event_timing); a boolean
+    `empty_manifest`, if there is one, is the last reason. Reasons are keys of SKIPS.
     """
     rows = facts.join(full, "fact", "left").withColumn("__v", T.norm(F.col("selected_value")))
-    reason = F.when(F.size("gold_norms") == 0, "no-gold").when(F.col("selected_id").isNull(), "no-retrieval").when(~T.judge_norms(F.col("__v"), F.col("gold_norms")), "no-answer-mention")
-    return rows.withColumn("skip_reason", reason).drop("__v")
+    more = [(F.col("empty_manifest"), "empty-manifest")] if "empty_manifest" in facts.columns else []
+    return rows.withColumn("skip_reason", _skips(T.judge_norms(F.col("__v"), F.col("gold_norms")), *more)).drop("__v")
 
 
 def primary_gate(facts: DataFrame) -> DataFrame:
-    """The gate of sweep and attack: also FULL-correct, a complete trace and a query vector. Adds skip_reason."""
-    reason = (
-        F.when(F.size("gold_norms") == 0, "no-gold")
-        .when(F.col("selected_id").isNull(), "no-retrieval")
-        .when(~F.coalesce(F.col("trace_complete"), F.lit(True)), "incomplete-trace")
-        .when(~F.coalesce(F.col("mentions"), F.lit(False)), "no-answer-mention")
-        .when(F.col("answer_visible_before_event").eqNullSafe(F.lit(True)), "answer-before-retrieval")
-        .when(~F.coalesce(F.col("full_correct"), F.lit(False)), "full-wrong")
-        .when(F.col("vector").isNull(), "no-vector")
-    )
-    return facts.withColumn("skip_reason", reason)
+    """The gate of sweep and attack: also right under FULL and with a query vector. Adds skip_reason.
+
+    facts: fact, gold_norms, selected_id, mentions, answer_visible_before_event, full_correct, vector.
+    """
+    wrong = (~F.coalesce(F.col("full_correct"), F.lit(False)), "full-wrong")
+    return facts.withColumn("skip_reason", _skips(F.col("mentions"), wrong, (F.col("vector").isNull(), "no-vector")))
 
 
 def coverage(gated: DataFrame) -> DataFrame:
@@ -136,6 +158,15 @@ def three_states(cohort: DataFrame, pairs: DataFrame, threshold: float, radius:
     return rows.select("fact", "f", "o", "gold_norms", arms.alias("arm")).select(F.col("arm.policy").alias("policy"), "fact", "f", right(F.col("arm.answer")).alias("n"), "o", F.col("arm.answer").alias("del_on_output"))
 
 
+def del_off_sensitivity(runs: dict[str, DataFrame]) -> DataFrame:
+    """(mode, n, l): leakage of each way to turn retrieval off; runs: mode to rows with model_output and gold_norms."""
+    out = None
+    for mode, rows in runs.items():
+        one = rows.agg(F.lit(mode).alias("mode"), F.count("*").alias("n"), F.avg(T.contains_norms(T.norm(F.col("model_output")), F.col("gold_norms")).cast("double")).alias("l"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def policy_matrix(states: DataFrame) -> DataFrame:
     """One row per policy: pairs, full-correct pairs and the rates L, R, I and S."""
     named = {"paired_count": "paired", "full_correct_paired_count": "full_correct", "parametric_leakage": "l", "retrieval_mediated_correctness": "r", "retrieval_interference": "i", "post_deletion_survival_given_full": "s_given_full"}

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .search import score_pairs
+from .search import nearest
 
 
 @dataclass(frozen=True)
@@ -27,14 +27,15 @@ class NeighborConfig:
 def cosine_neighbors(facts: DataFrame, config: NeighborConfig = NeighborConfig()) -> DataFrame:
     """(fact, neighbor, cosine, within_ball, rank): the ranking by cosine, then id, cut at min(cap, max(min_count, in ball)).
 
-    facts: fact, vector (unit). Without a minimum only pairs inside the ball are ever made.
+    facts: fact, vector (unit). A task keeps cap + 1 pairs a fact (its own among them), so no square is ever made.
     """
     floor = config.ball if config.min_count == 0 else -2.0
-    pairs = score_pairs(facts, facts.withColumnRenamed("fact", "neighbor"), floor, "fact", "neighbor").where("fact <> neighbor")
-    mine = Window.partitionBy("fact")
-    rows = pairs.withColumn("rank", F.row_number().over(mine.orderBy(F.col("score").desc(), "neighbor"))).where(F.col("rank") <= config.cap)
+    best = nearest(facts, facts.withColumnRenamed("fact", "neighbor"), config.cap + 1, floor, "fact", "neighbor").where("fact <> neighbor")
+    mine = Window.partitionBy("fact")  # of at most cap + 1 rows
+    rows = best.withColumn("rank", F.row_number().over(mine.orderBy(F.col("score").desc(), "neighbor"))).where(F.col("rank") <= config.cap)
+    # Of more facts in the ball than cap only cap are ever kept, so they may be counted among these rows.
     rows = rows.withColumn("within_ball", F.col("score") >= config.ball).withColumn("n", F.count_if(F.col("within_ball")).over(mine))
-    keep = F.col("rank") <= F.least(F.lit(config.cap), F.greatest(F.lit(config.min_count), F.col("n")))
+    keep = F.col("rank") <= F.greatest(F.lit(config.min_count), F.col("n"))
     return rows.where(keep).select("fact", "neighbor", F.col("score").alias("cosine"), "within_ball", "rank")
 
 

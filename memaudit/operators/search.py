@@ -2,12 +2,14 @@
 
 Scoring is the only step that meets every query with every entry. It runs as blocked matrix products: a block of query
 vectors of bounded size goes to the tasks, entries are streamed where they are read, and only pairs that pass the score
-floor come back. Everything after that is declarative: exclusions are anti-joins, the top k is a ranked window.
+floor come back, or only the best few of each query and task. Further blocks are further passes, each written before the
+next is fetched, so the driver holds one block. Everything after that is declarative: exclusions are anti-joins, the
+top k is a ranked window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from memaudit.functions import vectors
-from memaudit.functions.text import judge_norms
+from memaudit.functions.text import contains_norms, judge_norms, norm
+
+from .scratch import new_path, stored
 
 #: Query vectors that a task holds at once; further blocks are further passes over the entries.
 QUERY_BLOCK = 16_384
@@ -30,48 +34,82 @@ def unit_rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return out.where(F.col(id_col).isNotNull() & F.col("vector").isNotNull())
 
 
-def score_pairs(queries: DataFrame, entries: DataFrame, min_score: float = -2.0, query_col: str = "fact", entry_col: str = "entry_id") -> DataFrame:
-    """(query_col, entry_col, score): cosine of each query vector and entry vector, where it is at least min_score.
-
-    Both frames have an id column and a unit `vector`. Lengths must agree. Scores are sums in double precision, rounded
-    to 12 places, so that they don't depend on how rows are blocked.
-    """
+def _scored(queries: DataFrame, entries: DataFrame, min_score: float, k: int | None, query_col: str, entry_col: str, block: int) -> DataFrame:
     q_kind, e_kind = queries.schema[query_col].dataType, entries.schema[entry_col].dataType
     schema = pa.schema([(query_col, to_arrow_type(q_kind)), (entry_col, to_arrow_type(e_kind)), ("score", pa.float64())])
     ddl = f"{query_col} {q_kind.simpleString()}, {entry_col} {e_kind.simpleString()}, score double"
     source = entries.select(entry_col, "vector")
 
-    def scorer(ids: list, matrix: np.ndarray):
-        names = pa.array(ids, to_arrow_type(q_kind))
+    def scorer(rows: list):
+        matrix = np.array([r[1] for r in rows], float)
+        names = pa.array([r[0] for r in rows], to_arrow_type(q_kind))
 
-        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(stream: Iterator[pa.RecordBatch]):
+            """Query numbers, entries and scores over the floor, a block at a time."""
             for batch in stream:
                 step = max(1, SCORES // max(1, len(matrix)))
                 for at in range(0, batch.num_rows, step):
                     part = batch.slice(at, step)
-                    block = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    scores = np.round(matrix @ block.T, 12)
-                    q, e = np.nonzero(scores >= min_score)
+                    vectors_ = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    scores = np.round(matrix @ vectors_.T, 12)
+                    floor = min_score
+                    if k is not None and scores.shape[1] > k:  # a block's k best of each query, with all that tie
+                        floor = np.maximum(min_score, np.partition(scores, -k, axis=1)[:, -k])[:, None]
+                    q, e = np.nonzero(scores >= floor)
+                    yield q, part.column(0).take(pa.array(e)), scores[q, e]
+
+        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if k is None:
+                for q, e, s in pairs(stream):
                     for cut in range(0, len(q), 200_000):
-                        qs, es = q[cut : cut + 200_000], e[cut : cut + 200_000]
-                        yield pa.RecordBatch.from_arrays([names.take(pa.array(qs)), part.column(0).take(pa.array(es)), pa.array(scores[qs, es])], schema=schema)
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(q[cut : cut + 200_000])), e.slice(cut, 200_000), pa.array(s[cut : cut + 200_000])], schema=schema)
+                return
+            held = None  # each query's best so far
+            for q, e, s in pairs(stream):
+                t = pa.table({"q": pa.array(q, pa.int64()), "e": e, "s": pa.array(s)})
+                t = (t if held is None else pa.concat_tables([held, t])).sort_by([("q", "ascending"), ("s", "descending"), ("e", "ascending")])
+                group = np.asarray(t.column("q"))
+                first = np.searchsorted(group, group)
+                held = t.filter(pa.array(np.arange(len(group)) - first < k)).combine_chunks()
+            if held is not None and held.num_rows:
+                flat = [c.combine_chunks() for c in held.columns]
+                yield pa.RecordBatch.from_arrays([names.take(flat[0]), flat[1], flat[2]], schema=schema)
 
         return run
 
+    spark = queries.sparkSession
     own = queries.select(query_col, "vector").where(F.col("vector").isNotNull())
     n = own.count()
-    blocks = [own] if n <= QUERY_BLOCK else [own.where(F.pmod(F.xxhash64(query_col), F.lit(-(-2 * n // QUERY_BLOCK))) == b) for b in range(-(-2 * n // QUERY_BLOCK))]
-    parts = []
-    for block in blocks:
-        rows = block.collect()
-        if rows:
-            parts.append(source.mapInArrow(scorer([r[0] for r in rows], np.array([r[1] for r in rows], float)), ddl))
-    if not parts:
-        return queries.sparkSession.createDataFrame([], ddl)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out
+    if n == 0:
+        return spark.createDataFrame([], ddl)
+    if n <= block:
+        return source.mapInArrow(scorer(own.collect()), ddl)
+    parts = -(-2 * n // block)
+    own = stored(own.withColumn("b", F.pmod(F.xxhash64(query_col), F.lit(parts))), "queries")
+    path = new_path(spark, "scored")
+    for i in range(parts):
+        rows = own.where(F.col("b") == i).select(query_col, "vector").collect()
+        for at in range(0, len(rows), block):
+            source.mapInArrow(scorer(rows[at : at + block]), ddl).write.mode("append").parquet(path)
+    return spark.read.schema(ddl).parquet(path)
+
+
+def score_pairs(queries: DataFrame, entries: DataFrame, min_score: float = -2.0, query_col: str = "fact", entry_col: str = "entry_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_col, entry_col, score): cosine of each query vector and entry vector, where it is at least min_score.
+
+    Both frames have an id column and a unit `vector`. Lengths must agree. Scores are sums in double precision, rounded
+    to 12 places, so that they don't depend on how rows are blocked. The result is as large as the floor lets it be;
+    nearest() gives a result of the size of the queries.
+    """
+    return _scored(queries, entries, min_score, None, query_col, entry_col, block)
+
+
+def nearest(queries: DataFrame, entries: DataFrame, k: int, min_score: float = -2.0, query_col: str = "fact", entry_col: str = "entry_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_col, entry_col, score, rank): each query's k best entries at or over the floor, ties to the smaller id.
+
+    A task keeps k entries a query, so at most tasks x queries x k rows are shuffled, whatever the number of pairs.
+    """
+    return top_k(_scored(queries, entries, min_score, k, query_col, entry_col, block), k, (query_col,), entry_col)
 
 
 def top_k(pairs: DataFrame, k: int, by: tuple[str, ...] = ("fact",), entry_col: str = "entry_id", score_col: str = "score") -> DataFrame:
@@ -80,6 +118,11 @@ def top_k(pairs: DataFrame, k: int, by: tuple[str, ...] = ("fact",), entry_col:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def exclude_all(pairs: DataFrame, manifest: DataFrame, by: tuple[str, ...] = ("fact",)) -> DataFrame:
+    """Pairs without those of the queries that the manifest names (by): these retrieve nothing."""
+    return pairs.join(manifest.select(*by).distinct(), list(by), "left_anti")
+
+
 def exclude_entries(pairs: DataFrame, manifest: DataFrame, by: tuple[str, ...] = ("fact",), entry_col: str = "entry_id") -> DataFrame:
     """Pairs without the entries that the manifest (by, entry_col) names."""
     return pairs.join(manifest, [*by, entry_col], "left_anti")
@@ -105,16 +148,31 @@ def reason_histogram(df: DataFrame, reasons: str = "reasons", by: tuple[str, ...
     return df.select(*by, F.explode(reasons).alias("reason")).groupBy(*by, "reason").agg(F.count("*").alias("n"))
 
 
-def inject(pairs: DataFrame, injected: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Pairs with synthetic ones spliced in; these face the threshold, and carry synthetic = true."""
+def inject(pairs: DataFrame, injected: DataFrame, threshold: float | None = None, answers: DataFrame | None = None, exclude_all: bool = False, by: tuple[str, ...] = ("fact",)) -> DataFrame:
+    """Pairs with synthetic ones spliced in, marked by synthetic = true.
+
+    Synthetic rows face the threshold, the value backstop (answers: by, answer_norms; they need a value_norm) and
+    exclude_all, which leaves nothing at all; filters of entry ids and sources are applied before and don't touch them.
+    """
     extra = injected if threshold is None else injected.where(F.col("score") >= threshold)
-    return pairs.withColumn("synthetic", F.lit(False)).unionByName(extra.withColumn("synthetic", F.lit(True)), allowMissingColumns=True)
+    if answers is not None:
+        extra = exclude_values(extra, answers, by)
+    out = pairs.withColumn("synthetic", F.lit(False)).unionByName(extra.withColumn("synthetic", F.lit(True)), allowMissingColumns=True)
+    return out.where(F.lit(False)) if exclude_all else out
 
 
 class BudgetExceeded(RuntimeError):
     """Widening reached its ceiling before k candidates were retained."""
 
 
+def require_budget(plan: DataFrame) -> DataFrame:
+    """The widening plan, or BudgetExceeded if a query of it exceeds the ceiling."""
+    bad = plan.where("exceeded").limit(3).collect()
+    if bad:
+        raise BudgetExceeded(f"the search reached its ceiling for {[tuple(r) for r in bad]}")
+    return plan
+
+
 def widening_plan(ranked: DataFrame, k: int, excluded: str = "excluded", over_fetch: int = 4096, ceiling: int = 131_072, by: tuple[str, ...] = ("fact",)) -> DataFrame:
     """What a search that fetches k + extra and doubles until k are retained would have searched: per query, searched_top_k,
     widenings and whether it exceeded the ceiling. ranked has all candidates with `rank` and a boolean `excluded`.
@@ -138,9 +196,47 @@ def slim_candidates(candidates: Column, supports: str = "supports_target", keep_
     return few if keep_all is None else F.when(keep_all, candidates).otherwise(few)
 
 
+def slim_events(events: DataFrame, full: str = "FULL") -> DataFrame:
+    """Events (state, raw, retained, deleted: arrays of candidate structs) as a slim trace keeps them: deleted ones as
+    (entry_id, reasons), retained ones only if they support the target, raw ones as a count; whole arrays under FULL."""
+    whole = F.col("state") == full
+    stubs = F.transform("deleted", lambda c: F.struct(c["entry_id"].alias("entry_id"), c["reasons"].alias("reasons")))
+    return events.withColumns({"raw_count": F.size("raw"), "retained_count": F.size("retained"), "retained": slim_candidates(F.col("retained"), keep_all=whole), "deleted": stubs, "raw": F.when(whole, F.col("raw"))})
+
+
+#: The keys of a candidate's metadata that may name its source, its id and its text.
+SOURCE_KEYS, ID_KEYS, TEXT_KEYS = ("source_id", "source", "document_id", "sample_id", "url"), ("entry_id", "id"), ("value", "text", "fact")
+
+
+def _first(metadata: Column, keys: tuple[str, ...], direct: tuple[Column, ...]) -> Column:
+    return F.coalesce(*direct, *[F.try_element_at(metadata, F.lit(k)) for k in keys])
+
+
 def candidate_source(metadata: Column, *direct: Column) -> Column:
     """A candidate's source: the first non-null of the given columns and of its metadata's source keys."""
-    return F.coalesce(*direct, *[F.try_element_at(metadata, F.lit(k)) for k in ("source_id", "source", "document_id", "sample_id", "url")])
+    return _first(metadata, SOURCE_KEYS, direct)
+
+
+def candidate_id(metadata: Column, *direct: Column) -> Column:
+    return _first(metadata, ID_KEYS, direct)
+
+
+def candidate_text(metadata: Column, *direct: Column) -> Column:
+    return _first(metadata, TEXT_KEYS, direct)
+
+
+#: A judge: (normal form of a candidate's value, normal forms of the answers) to whether the candidate supports them.
+Judge = Callable[[Column, Column], Column]
+
+
+def serialize_candidate(entry_id: Column, value: Column, answer_norms: Column, source_id: Column | None = None, score: Column | None = None, metadata: Column | None = None, text_key: Column | None = None, judge: Judge = judge_norms) -> Column:
+    """A candidate as a struct: entry_id, source_id, value, text_key, score, metadata and the judge's supports_target."""
+    null = F.lit(None).cast("string")
+    source = candidate_source(metadata, *([source_id] if source_id is not None else [])) if metadata is not None else source_id if source_id is not None else null
+    return F.struct(
+        entry_id.cast("string").alias("entry_id"), source.cast("string").alias("source_id"), value.alias("value"), (text_key if text_key is not None else null).alias("text_key"),
+        (score if score is not None else F.lit(None)).cast("double").alias("score"), (metadata if metadata is not None else F.lit(None).cast("map<string,string>")).alias("metadata"), judge(norm(value), answer_norms).alias("supports_target"),
+    )
 
 
 def select_event(events: DataFrame, by: tuple[str, ...] = ("fact", "state")) -> DataFrame:
@@ -159,8 +255,6 @@ def event_timing(outputs: DataFrame, events: DataFrame, by: tuple[str, ...] = ("
     The k-th block belongs to the k-th event, only where a row has as many blocks as events; else the flag is null.
     outputs: by, model_output, answer_norms. events: by, event_index (from 0).
     """
-    from memaudit.functions.text import contains_norms, norm
-
     pieces = F.split("model_output", r"(?s)<FACT>.*?</FACT>", -1)
     shown = outputs.select(*by, "answer_norms", F.posexplode(pieces).alias("event_index", "piece"), (F.size(pieces) - 1).alias("blocks"))
     upto = Window.partitionBy(*by).orderBy("event_index")

@@ -25,20 +25,21 @@ def entanglement_curve(sweep: DataFrame, neighbors: DataFrame, full_correct: Dat
     """(target, rho, efficacy, collateral, neighbor_count, neighbors_observed, neighbors_full_correct, gap_term).
 
     sweep: target, rho, role, subject, correct (the last row wins upstream). Targets that are wrong under FULL are left
-    out; only neighbours right under FULL can break; collateral is over all neighbours, null without any.
+    out; only neighbours right under FULL can break; collateral is over all neighbours, 0 without any. All of a target's
+    neighbours that are right under FULL count as neighbors_full_correct, observed at a radius or not.
     """
     right = full_correct.select(F.col("fact").alias("subject"), F.lit(True).alias("was_right")).distinct()
     rows = sweep.join(right.select(F.col("subject").alias("target")), "target", "left_semi").join(right, "subject", "left")
-    sizes = neighbors.groupBy(F.col("fact").alias("target")).agg(F.count_distinct("neighbor").alias("neighbor_count"))
+    known = neighbors.select(F.col("fact").alias("target"), F.col("neighbor").alias("subject")).distinct().join(right, "subject", "left")
+    sizes = known.groupBy("target").agg(F.count("*").alias("neighbor_count"), F.count("was_right").alias("neighbors_full_correct"))
     near = F.col("role") == "neighbor"
     was = F.coalesce(F.col("was_right"), F.lit(False))
     sums = rows.groupBy("target", "rho").agg(
         F.max(F.when(F.col("role") == "target", (~F.col("correct")).cast("double"))).alias("efficacy"),
         F.count_distinct(F.when(near, F.col("subject"))).alias("neighbors_observed"),
-        F.count_distinct(F.when(near & was, F.col("subject"))).alias("neighbors_full_correct"),
         F.count_distinct(F.when(near & was & ~F.col("correct"), F.col("subject"))).alias("broken"),
     )
-    out = sums.where("efficacy is not null").join(sizes, "target", "left").withColumn("neighbor_count", F.coalesce("neighbor_count", F.lit(0)))
+    out = sums.where("efficacy is not null").join(sizes, "target", "left").na.fill(0, ["neighbor_count", "neighbors_full_correct"])
     out = out.withColumn("collateral", F.when(F.col("neighbor_count") > 0, F.col("broken") / F.col("neighbor_count")).otherwise(F.lit(0.0)))
     return out.select("target", "rho", "efficacy", "collateral", "neighbor_count", "neighbors_observed", "neighbors_full_correct", ((1 - F.col("efficacy")) + F.col("collateral")).alias("gap_term"))
 
@@ -55,6 +56,11 @@ def entanglement_rollup(curve: DataFrame) -> DataFrame:
     return curve.groupBy("rho").agg(F.count("*").alias("targets"), F.avg("efficacy").alias("mean_efficacy"), F.avg(F.when(F.col("neighbor_count") > 0, F.col("collateral"))).alias("mean_collateral"))
 
 
+def rollup(curve: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Per radius the means of the curve, each row with the study's eligible targets and their gap shares."""
+    return entanglement_rollup(curve).crossJoin(F.broadcast(gap_shares(gaps)))  # one row
+
+
 def gap_shares(gaps: DataFrame) -> DataFrame:
     """Over eligible targets: how many, the share without a gap and the share with a gap of at least one."""
     ok = F.col("gap_eligible")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memaudit.functions import text as T
 from memaudit.operators import audit, search
+from memaudit.operators.scratch import stored
 
 THRESHOLD, RADIUS, FLOOR = 0.25, 0.30, 0.20
 GRID = [0.45, 0.4, 0.35, 0.3, 0.25, 0.2]
@@ -31,26 +31,27 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """fact, vector, gold, gold_norms, parametric, garbled, source_id: every fifth vector is a fact."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 5 = 0")
+    """fact, vector, gold, gold_norms, parametric, garbled, answer_visible_before_event, source_id: every vector is a fact."""
+    e = table(spark, sf_dir, "embeddings")
+    visible = F.when(F.col("vec_id") % 17 == 0, F.lit(None).cast("boolean")).otherwise(F.col("vec_id") % 13 == 0)
     shift = F.when(F.col("vec_id") % 7 == 0, 1).otherwise(0)
     gold = F.concat(F.lit("label "), (F.col("label") + shift) % 10)
     said = F.concat(F.lit("label "), (F.col("vec_id") * 3 + 1) % 10)
-    rows = e.select(F.struct(F.col("vec_id").alias("fact"), gold.alias("gold"), said.alias("parametric"), (F.col("vec_id") % 11 == 0).alias("garbled"), (F.col("vec_id") % 25).alias("source_id")).alias("r"), "embedding")
+    rows = e.select(F.struct(F.col("vec_id").alias("fact"), gold.alias("gold"), said.alias("parametric"), (F.col("vec_id") % 11 == 0).alias("garbled"), visible.alias("answer_visible_before_event"), (F.col("vec_id") % 25).alias("source_id")).alias("r"), "embedding")
     return search.unit_rows(rows, "r", "embedding").select("r.*", "vector").withColumn("gold_norms", T.norm_set(F.col("gold")))
 
 
 def pairs(spark: SparkSession, sf_dir: str, floor: float = FLOOR) -> DataFrame:
-    """fact, entry_id, score, value, value_norm, source_id of pairs at or over the floor; kept, as a plan reads them often."""
+    """fact, entry_id, score, value, value_norm, source_id of pairs at or over the floor; written, as a plan reads them often."""
     e = entries(spark, sf_dir)
     found = search.score_pairs(facts(spark, sf_dir), spread(e), floor)
-    return found.join(e.drop("vector"), "entry_id").persist(StorageLevel.MEMORY_AND_DISK)
+    return stored(found.join(e.drop("vector"), "entry_id"), "pairs")
 
 
 def cohort(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:
-    """Gated facts (all, with skip_reason) and FULL's selection; kept."""
+    """Gated facts (all, with skip_reason) and FULL's selection; written."""
     scored = pairs(spark, sf_dir) if scored is None else scored
-    return audit.gate(facts(spark, sf_dir).drop("vector", "source_id"), audit.best(scored, THRESHOLD)).persist(StorageLevel.MEMORY_AND_DISK)
+    return stored(audit.gate(facts(spark, sf_dir).drop("vector", "source_id"), audit.best(scored, THRESHOLD)), "cohort")
 
 
 def audited(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:
@@ -87,8 +88,8 @@ SQL_PAIRS = """
 v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 e AS (SELECT vec_id AS entry_id, 'label ' || label AS value, vec_id % 25 AS source_id, v, sqrt(list_dot_product(v, v)) AS n FROM v),
 f AS (SELECT vec_id AS fact, 'label ' || ((label + CASE WHEN vec_id % 7 = 0 THEN 1 ELSE 0 END) % 10) AS gold,
-      'label ' || ((vec_id * 3 + 1) % 10) AS parametric, vec_id % 11 = 0 AS garbled, vec_id % 25 AS source_id, v, sqrt(list_dot_product(v, v)) AS n
-      FROM v WHERE vec_id % 5 = 0),
+      'label ' || ((vec_id * 3 + 1) % 10) AS parametric, vec_id % 11 = 0 AS garbled,
+      CASE WHEN vec_id % 17 = 0 THEN NULL ELSE vec_id % 13 = 0 END AS visible, vec_id % 25 AS source_id, v, sqrt(list_dot_product(v, v)) AS n FROM v),
 allp AS (SELECT f.fact, e.entry_id, round(list_dot_product(f.v, e.v) / (f.n * e.n), 12) AS score, e.value, e.source_id, f.gold, f.parametric, f.garbled
       FROM f CROSS JOIN e),
 p AS (SELECT * FROM allp WHERE score >= 0.2)
@@ -101,7 +102,8 @@ SQL_COHORT = (
 sel AS (SELECT fact, entry_id AS selected_id, value AS selected_value, source_id AS selected_source, score AS selected_score FROM (
       SELECT *, row_number() OVER (PARTITION BY fact ORDER BY score DESC, entry_id) AS r FROM p WHERE score >= 0.25) WHERE r = 1),
 gated AS (SELECT f.fact, f.gold, f.parametric, f.garbled, sel.selected_id, sel.selected_value, sel.selected_source,
-      CASE WHEN sel.selected_id IS NULL THEN 'no-retrieval' WHEN sel.selected_value <> f.gold THEN 'no-answer-mention' END AS skip_reason
+      CASE WHEN sel.selected_id IS NULL THEN 'no-retrieval' WHEN sel.selected_value <> f.gold THEN 'no-answer-mention'
+      WHEN f.visible THEN 'answer-before-retrieval' WHEN f.visible IS NULL THEN 'unknown-alignment' END AS skip_reason
       FROM f LEFT JOIN sel ON f.fact = sel.fact),
 cohort AS (SELECT * FROM gated WHERE skip_reason IS NULL)
 """

@@ -9,6 +9,7 @@ from memaudit.functions import stats
 from memaudit.functions import text as T
 from memaudit.functions import vectors as V
 from memaudit.operators import adversary, audit, closure, metrics, neighbors, probe, search, sweep
+from memaudit.operators.scratch import new_path, stored
 
 from . import base
 from .base import FLOOR, GRID, RADIUS, SQL_COHORT, SQL_PAIRS, SQL_STATES, THRESHOLD
@@ -36,7 +37,9 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
 
 @query(f"WITH {SQL_PAIRS} " + TOP.format(t="p", k=5))
 def vec_topk(spark, d):
-    return _top(base.pairs(spark, d), 5)
+    """Each task keeps five entries a fact; the result is as large as the facts, not the pairs."""
+    found = search.nearest(_units(spark, d), base.spread(base.entries(spark, d)), 5, FLOOR)
+    return found.select("fact", "entry_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {SQL_PAIRS} SELECT fact, count(*) AS n, round(max(score), 6) AS best FROM p WHERE score >= 0.25 GROUP BY fact")
@@ -68,9 +71,11 @@ def filter_value_backstop(spark, d):
     return _top(search.exclude_values(base.pairs(spark, d), answers), 3)
 
 
-@query(f"WITH {SQL_PAIRS} " + TOP.format(t="(SELECT * FROM p WHERE false)", k=3))
+@query(f"WITH {SQL_PAIRS}, k AS (SELECT * FROM p WHERE fact % 2 = 1) " + TOP.format(t="k", k=3))
 def filter_all(spark, d):
-    return _top(base.pairs(spark, d).where(F.lit(False)), 3)
+    """Facts under DEL-OFF (even ones here) retrieve nothing; the others do."""
+    p = base.pairs(spark, d)
+    return _top(search.exclude_all(p, base.facts(spark, d).where("fact % 2 = 0").select("fact")), 3)
 
 
 def _reasons(spark, d) -> DataFrame:
@@ -97,21 +102,24 @@ def reason_histogram(spark, d):
 k AS (SELECT *, count(*) FILTER (WHERE NOT x) OVER (PARTITION BY fact ORDER BY rank) AS kept FROM w),
 c AS (SELECT fact, count(*) FILTER (WHERE x) AS nx, count(*) AS n, min(CASE WHEN kept = 5 AND NOT x THEN rank END) AS enough FROM k GROUP BY fact),
 s AS (SELECT fact, nx, 5 + least(nx, 4) AS first, coalesce(enough, n) AS need FROM c)
-SELECT fact, CAST(least(first * pow(2, CASE WHEN need <= first THEN 0 ELSE ceil(log2(need / CAST(first AS DOUBLE))) END), 5 + 64) AS BIGINT) AS searched_top_k,
- CAST(CASE WHEN need <= first THEN 0 ELSE ceil(log2(need / CAST(first AS DOUBLE))) END AS INTEGER) AS widenings, need > 69 AS exceeded FROM s""")
+SELECT fact, CAST(least(first * pow(2, CASE WHEN need <= first THEN 0 ELSE ceil(log2(need / CAST(first AS DOUBLE))) END), 5 + 1024) AS BIGINT) AS searched_top_k,
+ CAST(CASE WHEN need <= first THEN 0 ELSE ceil(log2(need / CAST(first AS DOUBLE))) END AS INTEGER) AS widenings, need > 1029 AS exceeded FROM s""")
 def overfetch_widen(spark, d):
     order = Window.partitionBy("fact").orderBy(F.col("score").desc(), "entry_id")
     ranked = _reasons(spark, d).withColumn("rank", F.row_number().over(order)).withColumn("excluded", F.size("reasons") > 0)
-    return search.widening_plan(ranked, 5, over_fetch=4, ceiling=64)
+    return search.require_budget(search.widening_plan(ranked, 5, over_fetch=4, ceiling=1024))
 
 
-@query(f"""WITH {SQL_PAIRS}, i AS (SELECT fact, -1 AS entry_id, 0.33 AS score FROM f UNION ALL SELECT fact, -2, 0.24 FROM f),
-k AS (SELECT fact, entry_id, score FROM p WHERE entry_id <> fact AND score >= 0.25 UNION ALL SELECT * FROM i WHERE score >= 0.25) """ + TOP.format(t="k", k=2))
+@query(f"""WITH {SQL_PAIRS}, i AS (SELECT fact, gold, -1 AS entry_id, 0.33 AS score, 'label ' || (fact % 10) AS value FROM f UNION ALL SELECT fact, gold, -2, 0.24, 'none' FROM f UNION ALL SELECT fact, gold, -3, 0.31, 'about ' || gold FROM f),
+k AS (SELECT fact, entry_id, score FROM p WHERE entry_id <> fact AND score >= 0.25 UNION ALL SELECT fact, entry_id, score FROM i WHERE score >= 0.25 AND value <> gold AND entry_id <> -3) """ + TOP.format(t="k", k=2))
 def inject_rows(spark, d):
+    """Of three synthetic rows a fact, one is under the threshold, one (for some facts two) names the answer and falls to the backstop."""
     p = base.pairs(spark, d, THRESHOLD).where("entry_id <> fact")
-    slots = F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("e"), F.lit(0.33).alias("s")), F.struct(F.lit(-2).cast("long").alias("e"), F.lit(0.24).alias("s"))))
-    extra = base.facts(spark, d).select("fact", slots.alias("x")).select("fact", F.col("x.e").alias("entry_id"), F.col("x.s").cast("double").alias("score"))
-    return _top(search.inject(p, extra, THRESHOLD), 2)
+    f = base.facts(spark, d).select("fact", "gold", F.col("gold_norms").alias("answer_norms"))
+    slot = lambda e, s, v: F.struct(F.lit(e).cast("long").alias("e"), F.lit(s).alias("s"), v.alias("v"))
+    slots = F.array(slot(-1, 0.33, F.concat(F.lit("label "), F.col("fact") % 10)), slot(-2, 0.24, F.lit("none")), slot(-3, 0.31, F.concat(F.lit("about "), F.col("gold"))))
+    extra = f.select("fact", F.explode(slots).alias("x")).select("fact", F.col("x.e").alias("entry_id"), F.col("x.s").cast("double").alias("score"), T.norm(F.col("x.v")).alias("value_norm"))
+    return _top(search.inject(p, extra, THRESHOLD, f.select("fact", "answer_norms")), 2)
 
 
 # Closures.
@@ -175,16 +183,28 @@ def page_truncated(spark, d):
     return closure.page_truncated(base.pairs(spark, d), GRID, 4)
 
 
-@query(f"WITH {SQL_CLOSURE} SELECT fact, rho, entry_id FROM cl WHERE false")
+@query(f"""WITH {SQL_CLOSURE}, torn AS (SELECT * FROM cl WHERE NOT (entry_id % 7 = 0 AND rho = 0.3)), up AS (SELECT fact, entry_id, rho, CASE rho WHEN 0.45 THEN 0.4 WHEN 0.4 THEN 0.35 WHEN 0.35 THEN 0.3 WHEN 0.3 THEN 0.25 WHEN 0.25 THEN 0.2 END AS below FROM torn)
+SELECT up.fact, CAST(up.below AS DOUBLE) AS rho, up.entry_id FROM up LEFT JOIN torn t ON t.fact = up.fact AND t.entry_id = up.entry_id AND t.rho = up.below WHERE up.below IS NOT NULL AND t.fact IS NULL""")
 def nested_family(spark, d):
-    return closure.nesting_violations(_closure(spark, d)).select("fact", "rho", "entry_id")
-
-
-@query(f"WITH {SQL_CLOSURE} SELECT fact, rho, len(list_distinct(list(entry_id))) AS n_entries, 1 AS n_sources FROM cl GROUP BY 1, 2")
+    """A closure family from which some entries of one radius were torn: these are found. The whole family has none."""
+    whole = _closure(spark, d)
+    torn = whole.where(~((F.col("entry_id") % 7 == 0) & (F.col("rho") == 0.3)))
+    return closure.nesting_violations(torn).unionByName(closure.nesting_violations(whole)).select("fact", "rho", "entry_id")
+
+
+@query(f"""WITH {SQL_CLOSURE}, o AS (SELECT *, row_number() OVER (PARTITION BY fact, rho ORDER BY CASE WHEN list_contains(caught_by, 'oracle') THEN 0 ELSE 1 END, score DESC, entry_id) r, count(*) OVER (PARTITION BY fact, rho) n FROM cl),
+k AS (SELECT fact, rho, list_sort(list_distinct(list(CAST(entry_id AS VARCHAR)))) AS ids, count(*) FILTER (WHERE list_contains(caught_by, 'geometric')) AS g, count(*) FILTER (WHERE list_contains(caught_by, 'oracle')) AS o,
+ count(*) FILTER (WHERE list_contains(caught_by, 'provenance')) AS p, count(*) FILTER (WHERE list_contains(caught_by, 'value')) AS v, bool_or(n > 10) AS cut FROM o WHERE r <= 10 GROUP BY 1, 2)
+SELECT k.fact, k.rho, array_to_string(ids, ',') AS entry_ids, CAST(c.selected_source AS VARCHAR) AS source_ids, substr(sha256('{{"entry_ids": ["' || array_to_string(ids, '", "') || '"], "metadata": {{"audited_event_index": null, "entry_counts": {{"geometric": ' || g || ', "oracle": ' || o || ', "provenance": ' || p || ', "value": ' || v
+ || '}}, "envelope_top_k": 8, "index_nprobe": null, "max_closure_size": 10, "predicates_active": ["geometric", "provenance", "value"], "radius": ' || k.rho || ', "truncated": ' || cut
+ || ', "value_policy": {{"ground_truth_supplied_at_inference": true, "judge": "normalized-answer-mention", "name": "oracle-gold-answer-mention-filter"}}, "value_target": {{"ground_truth": "' || c.gold || '", "object_aliases": []}}}}, "source_ids": ["' || c.selected_source || '"], "strategy": "closure"}}'), 1, 16) AS manifest_id
+FROM k JOIN cohort c ON c.fact = k.fact""")
 def closure_to_manifest(spark, d):
     scored, seeds = _seeded(spark, d)
-    out = closure.manifests(closure.caught(scored, seeds, GRID, CONFIG), seeds, CONFIG)
-    return out.select("fact", "rho", F.size("entry_ids").alias("n_entries"), F.size("source_ids").alias("n_sources"))
+    cut = closure.truncated(closure.caught(scored, seeds, GRID, CONFIG), CONFIG.max_closure_size)
+    targets = base.facts(spark, d).select("fact", F.col("gold").alias("ground_truth"), F.array().cast("array<string>").alias("object_aliases"))
+    out = closure.manifests(cut, seeds, CONFIG, targets)
+    return out.select("fact", "rho", *[F.array_join(c, ",").alias(c) for c in ("entry_ids", "source_ids")], "manifest_id")
 
 
 # The three-state audit.
@@ -218,11 +238,14 @@ def policy_matrix(spark, d):
     return audit.policy_matrix(base.states(spark, d))
 
 
-@query(f"WITH {SQL_STATES} SELECT 'null-retrieval' AS mode, count(*) AS n, round(avg(CAST(o AS DOUBLE)), 6) AS l FROM states WHERE policy = 'oracle' UNION ALL SELECT 'forbid-token', count(*), round(avg(CAST(o AND fact % 3 <> 0 AS DOUBLE)), 6) FROM states WHERE policy = 'oracle'")
+@query(f"""WITH {SQL_STATES}, m AS (SELECT 'null-retrieval' AS mode, parametric AS said, gold FROM cohort UNION ALL SELECT 'forbid-token', 'It is ' || CASE WHEN fact % 3 = 0 THEN 'label ' || (fact % 10) ELSE parametric END, gold FROM cohort)
+SELECT mode, count(*) AS n, round(avg(CAST(said IN (gold, 'It is ' || gold) AS DOUBLE)), 6) AS l FROM m GROUP BY mode""")
 def del_off_sensitivity(spark, d):
-    s = base.states(spark, d, ("oracle",))
-    modes = F.explode(F.array(F.struct(F.lit("null-retrieval").alias("mode"), F.col("o").alias("o")), F.struct(F.lit("forbid-token").alias("mode"), (F.col("o") & (F.col("fact") % 3 != 0)).alias("o"))))
-    return s.select(modes.alias("m")).groupBy("m.mode").agg(F.count("*").alias("n"), F.round(F.avg(F.col("m.o").cast("double")), 6).alias("l"))
+    """Leakage of two ways to turn retrieval off, from the outputs of each."""
+    who = base.audited(spark, d)
+    forbidden = F.concat(F.lit("It is "), F.when(F.col("fact") % 3 == 0, F.concat(F.lit("label "), F.col("fact") % 10)).otherwise(F.col("parametric")))
+    runs = {"null-retrieval": who.withColumn("model_output", F.col("parametric")), "forbid-token": who.withColumn("model_output", forbidden)}
+    return _rounded(audit.del_off_sensitivity(runs))
 
 
 def _result_rows(spark, d) -> DataFrame:
@@ -264,9 +287,19 @@ def behavioral_mean(spark, d):
     return metrics.behavioral_mean(_result_rows(spark, d))
 
 
-@query("SELECT vec_id AS fact_id, '' AS problem FROM embeddings WHERE false")
+@query(f"""WITH {SQL_RESULTS}, bad AS (SELECT fact, state, CASE WHEN fact % 10 = 4 AND state = 'DEL-ON' THEN 'other' ELSE gold END AS gold, CASE WHEN fact % 10 = 5 AND state = 'FULL' THEN 'm' ELSE '' END AS m FROM res WHERE NOT (fact % 10 = 3 AND state = 'DEL-OFF')),
+g AS (SELECT fact, count(*) AS n, count(DISTINCT gold) AS golds, count(DISTINCT m) AS ms FROM bad GROUP BY fact)
+SELECT fact AS fact_id, 'states' AS problem FROM g WHERE n <> 3 UNION ALL SELECT fact, 'identity' FROM g WHERE golds > 1 UNION ALL SELECT fact, 'manifest' FROM g WHERE ms > 1
+UNION ALL SELECT fact, 'del-off retrieves' FROM bad WHERE state = 'DEL-OFF' AND fact % 10 = 6 UNION ALL SELECT fact, 'del-on retains a deleted entry' FROM bad WHERE state = 'DEL-ON' AND fact % 10 = 7""")
 def validate_states(spark, d):
-    return metrics.validate_states(_result_rows(spark, d))
+    """Results with planted faults of each kind."""
+    which = F.col("fact_id") % 10
+    rows = _result_rows(spark, d).where(~((which == 3) & (F.col("state") == "DEL-OFF")))
+    rows = rows.withColumn("ground_truth", F.when((which == 4) & (F.col("state") == "DEL-ON"), "other").otherwise(F.col("ground_truth")))
+    rows = rows.withColumn("manifest_id", F.when((which == 5) & (F.col("state") == "FULL"), "m"))
+    kept = F.when((which == 6) | (F.col("state") != "DEL-OFF"), F.array(F.struct(F.col("fact_id").alias("entry_id"))))
+    rows = rows.withColumn("retrieval_trace", F.struct(kept.alias("retained_candidates"))).withColumn("manifest_entry_ids", F.when(which == 7, F.array("fact_id")).otherwise(F.array(F.lit(-1).cast("long"))))
+    return metrics.validate_states(rows)
 
 
 # Neighbours and sweep.
@@ -304,7 +337,7 @@ def _curve(spark, d) -> tuple[DataFrame, DataFrame]:
     who = base.audited(spark, d, scored)
     full = F.when(F.col("garbled"), F.lit("unknown")).otherwise(F.col("selected_value"))
     right = who.withColumn("ok", T.contains_norms(T.norm(full), F.col("gold_norms"))).where("ok").select("fact")
-    near = neighbors.cosine_neighbors(_units(spark, d).join(who.select("fact"), "fact", "left_semi"), FILL).persist()
+    near = stored(neighbors.cosine_neighbors(_units(spark, d).join(who.select("fact"), "fact", "left_semi"), FILL), "neighbors")
     config = closure.ClosureConfig(predicates=("geometric",), radius=RADIUS)
     seeds = who.select("fact", F.col("selected_id").alias("entry_id"), F.col("selected_source").alias("source_id"))
     gone = closure.caught(scored.join(who.select("fact", F.col("gold_norms").alias("answer_norms")), "fact"), seeds, GRID, config)
@@ -328,11 +361,10 @@ kept AS (SELECT j.target, j.subject, j.role, j.rho, p.entry_id, p.score, p.value
 tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target, subject, role, rho ORDER BY score DESC, entry_id) r FROM kept) WHERE r = 1),
 rows0 AS (SELECT j.*, coalesce(t.value, c.parametric) = c.gold AS ok FROM jobs j JOIN cohort c ON c.fact = j.subject LEFT JOIN tp t ON t.target = j.target AND t.subject = j.subject AND t.role = j.role AND t.rho = j.rho),
 fullok AS (SELECT fact FROM cohort WHERE NOT garbled AND selected_value = gold),
-cnt AS (SELECT fact, count(*) n FROM nb GROUP BY fact),
+cnt AS (SELECT nb.fact, count(*) n, count(o.fact) AS ok FROM nb LEFT JOIN fullok o ON o.fact = nb.neighbor GROUP BY nb.fact),
 cv0 AS (SELECT r.target, r.rho, max(CASE WHEN r.role = 'target' THEN CAST(NOT r.ok AS DOUBLE) END) AS efficacy, count(DISTINCT CASE WHEN r.role = 'neighbor' THEN r.subject END) AS neighbors_observed,
- count(DISTINCT CASE WHEN r.role = 'neighbor' AND r.subject IN (SELECT fact FROM fullok) THEN r.subject END) AS neighbors_full_correct,
  count(DISTINCT CASE WHEN r.role = 'neighbor' AND NOT r.ok AND r.subject IN (SELECT fact FROM fullok) THEN r.subject END) AS broken FROM rows0 r WHERE r.target IN (SELECT fact FROM fullok) GROUP BY 1, 2),
-curve AS (SELECT cv0.target, cv0.rho, efficacy, CASE WHEN cnt.n > 0 THEN broken / CAST(cnt.n AS DOUBLE) ELSE 0.0 END AS collateral, coalesce(cnt.n, 0) AS neighbor_count, neighbors_observed, neighbors_full_correct FROM cv0 LEFT JOIN cnt ON cnt.fact = cv0.target)"""
+curve AS (SELECT cv0.target, cv0.rho, efficacy, CASE WHEN cnt.n > 0 THEN broken / CAST(cnt.n AS DOUBLE) ELSE 0.0 END AS collateral, coalesce(cnt.n, 0) AS neighbor_count, neighbors_observed, coalesce(cnt.ok, 0) AS neighbors_full_correct FROM cv0 LEFT JOIN cnt ON cnt.fact = cv0.target)"""
 
 
 @query(f"WITH {SQL_CURVE} SELECT target, rho, efficacy, round(collateral, 6) AS collateral, neighbor_count, neighbors_observed, neighbors_full_correct, round((1 - efficacy) + collateral, 6) AS gap_term FROM curve")
@@ -374,21 +406,15 @@ def build_injections(spark, d):
 
 
 def _attack(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Attacks on geometric closures: survivors outside the ball compete with what the closure left."""
+    """Attacks on geometric closures: injected keys are scored against their queries, and compete with what the closure left."""
     scored = base.pairs(spark, d, THRESHOLD)
     who = base.audited(spark, d, scored)
     left = scored.join(who.select("fact", "selected_id"), "fact").where((F.col("score") < RADIUS) & (F.col("entry_id") != F.col("selected_id")))
-    rest = left.groupBy("fact").agg(F.max(F.struct("score", (-F.col("entry_id")).alias("e"), "value")).alias("t"))
-    base_rows = who.join(rest, "fact", "left").withColumn("correct", T.contains_norms(T.norm(F.coalesce("t.value", "parametric")), F.col("gold_norms")))
-    arms = F.explode(F.array(*[F.struct(F.lit(e).alias("epsilon"), F.lit(t).alias("template")) for e in ATTACK.epsilons for t in ATTACK.templates]))
-    rows = base_rows.select("fact", "gold", "gold_norms", "t", "parametric", arms.alias("a")).select("*", "a.epsilon", "a.template")
-    # The survivor and the decoys share a cosine; the survivor's id is the smaller, and an injected row wins over a worse stored one.
-    near = F.lit(ATTACK.rho) - F.col("epsilon")
-    wins = F.coalesce(near > F.col("t.score"), F.lit(True)) & (near >= THRESHOLD)
-    value = F.when(wins, adversary.survivor_value(F.col("gold"), F.col("template"))).otherwise(F.coalesce("t.value", "parametric"))
-    attacks = rows.select("fact", "epsilon", "template", T.contains_norms(T.norm(value), F.col("gold_norms")).alias("correct"), wins.alias("selected"))
+    queries = base.facts(spark, d).select("fact", "vector").join(who.select("fact", "gold", "gold_norms", "parametric"), "fact")
+    injected = adversary.build_injections(queries.select("fact", "vector", F.col("gold").alias("answer")), ATTACK)
+    attacks, before = adversary.attack(queries, left.select("fact", F.col("entry_id").cast("string").alias("entry_id"), "score", "value"), injected, THRESHOLD)
     off = who.select("fact", T.contains_norms(T.norm(F.col("parametric")), F.col("gold_norms")).alias("correct"))
-    return attacks, base_rows.select("fact", "correct"), off
+    return attacks, before, off
 
 
 SQL_ATTACK = SQL_COHORT + """, lft AS (SELECT p.fact, p.score, p.value, row_number() OVER (PARTITION BY p.fact ORDER BY p.score DESC, p.entry_id) r FROM p JOIN cohort c ON p.fact = c.fact WHERE p.score >= 0.25 AND p.score < 0.30 AND p.entry_id <> c.selected_id),
@@ -457,13 +483,9 @@ def probe_classification(spark, d):
 @query("SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type, event_id FROM events) GROUP BY 1, 2")
 def stream_ingest(spark, d):
     """Events as a stream of files, deduplicated by key, then counted from the table the stream wrote."""
-    import tempfile
-    import uuid
-
     from memaudit.streaming import ingest
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="memaudit-")
-    where = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    where = new_path(spark, "stream")
     schema = base.table(spark, d, "events").schema
     stream = spark.readStream.schema(schema).format("parquet").load(f"{d}/events.parquet*")
     done = ingest.append_stream(ingest.first_rows(stream.select("user_id", "event_type", "event_id"), ["event_id"]), f"{where}/table", f"{where}/checkpoint")

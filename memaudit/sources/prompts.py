@@ -73,22 +73,32 @@ def _strings(row: Column, keys: tuple[str, ...]) -> Column:
 
 
 def parse_manifests(raw: DataFrame) -> DataFrame:
-    """(row, entry_ids, source_ids, strategy, manifest_id) from a VARIANT column `row`."""
+    """(row, entry_ids, source_ids, strategy, metadata, manifest_id) from a VARIANT column `row`; metadata is JSON text."""
     row = F.col("row")
     strategy = F.coalesce(F.try_variant_get(row, "$.deletion_manifest.strategy", "string"), F.try_variant_get(row, "$.deletion_strategy", "string"), F.lit("oracle-entry"))
-    out = raw.select("row", _strings(row, ENTRY_KEYS).alias("entry_ids"), _strings(row, SOURCE_KEYS).alias("source_ids"), strategy.alias("strategy"))
-    return out.withColumn("manifest_id", manifest_id(F.col("entry_ids"), F.col("source_ids"), F.col("strategy")))
+    # A variant's object is written with its keys in order.
+    metadata = F.coalesce(F.expr("to_json(try_variant_get(row, '$.deletion_manifest.metadata', 'variant'))"), F.lit("{}"))
+    out = raw.select("row", _strings(row, ENTRY_KEYS).alias("entry_ids"), _strings(row, SOURCE_KEYS).alias("source_ids"), strategy.alias("strategy"), metadata.alias("metadata"))
+    return out.withColumn("manifest_id", manifest_id(F.col("entry_ids"), F.col("source_ids"), F.col("strategy"), F.col("metadata")))
 
 
-def canonical_json(entry_ids: Column, source_ids: Column, strategy: Column) -> Column:
-    """The manifest as JSON text with sorted keys and a space after commas and colons (metadata empty)."""
+def canonical_json(entry_ids: Column, source_ids: Column, strategy: Column, metadata: Column | None = None) -> Column:
+    """The manifest as JSON text with sorted keys and a space after commas and colons; metadata is JSON text with sorted
+    keys already ({} without any)."""
     quote = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(c))) - 2)
     listed = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, quote), ", "), F.lit("]"))
-    return F.concat(F.lit('{"entry_ids": '), listed(entry_ids), F.lit(', "metadata": {}, "source_ids": '), listed(source_ids), F.lit(', "strategy": '), quote(strategy), F.lit("}"))
+    more = spaced_json(F.coalesce(metadata, F.lit("{}"))) if metadata is not None else F.lit("{}")
+    return F.concat(F.lit('{"entry_ids": '), listed(entry_ids), F.lit(', "metadata": '), more, F.lit(', "source_ids": '), listed(source_ids), F.lit(', "strategy": '), quote(strategy), F.lit("}"))
 
 
-def manifest_id(entry_ids: Column, source_ids: Column, strategy: Column) -> Column:
-    return F.substring(F.sha2(canonical_json(entry_ids, source_ids, strategy), 256), 1, 16)
+def spaced_json(compact: Column) -> Column:
+    """Compact JSON text with a space after each comma and colon outside strings."""
+    parts = F.regexp_extract_all(compact, F.lit(r'"(?:[^"\\]|\\.)*+"|[^"]+'), F.lit(0))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith('"'), p).otherwise(F.regexp_replace(p, "([,:])", "$1 "))), "")
+
+
+def manifest_id(entry_ids: Column, source_ids: Column, strategy: Column, metadata: Column | None = None) -> Column:
+    return F.substring(F.sha2(canonical_json(entry_ids, source_ids, strategy, metadata), 256), 1, 16)
 
 
 def popqa(rows: DataFrame, least: int = 10_000, seed: int = 0, limit: int | None = None) -> DataFrame:
