@@ -8,16 +8,35 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memaudit.operators.scratch import stored
+
+
+def running(counts: DataFrame, value: str, n: str = "__n", by: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """counts (one row per group and value) with __before, the sum of n over the group's lesser values.
+
+    Rows are range partitioned by (by, value) and summed in order within ranges; a range's offset is the sum of the
+    ranges before it, of which there are only as many as partitions. No task sees more than one range.
+    """
+    order = [*by, value]
+    ranges = counts.repartitionByRange(*([parts] if parts else []), *order).withColumn("__p", F.spark_partition_id())
+    ranges = stored(ranges, "ranges")
+    inside = Window.partitionBy("__p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("__p", *by).agg(F.sum(n).alias("__s"))  # a group that is cut has one row a partition
+    ahead = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("__o", F.coalesce(F.sum("__s").over(ahead), F.lit(0))).drop("__s")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("__p", *by)]
+    joined = ranges.withColumn("__i", F.coalesce(F.sum(n).over(inside), F.lit(0))).alias("r").join(offsets.alias("o"), same, "left")
+    return joined.select("r.*", (F.col("__i") + F.coalesce("__o", F.lit(0))).alias("__before")).drop("__p", "__i")
+
 
 def ranked(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (), base: int = 1) -> DataFrame:
     """Average ranks from `base`, ties sharing theirs.
 
-    Ranks come from value counts: rows are first aggregated per value, and only the distinct values of a group are put in
-    order, so a group's rows never meet in one task.
+    Ranks come from value counts: rows are first aggregated per value, the distinct values are range partitioned, and
+    sums before a range are carried to it, so neither a group's rows nor its values meet in one task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn(out, F.coalesce(F.sum("__n").over(before), F.lit(0)) + base + (F.col("__n") - 1) / 2).drop("__n")
+    ranks = running(counts, value, "__n", by).withColumn(out, F.col("__before") + base + (F.col("__n") - 1) / 2).drop("__n", "__before")
     return df.join(ranks, [*by, value])
 
 
@@ -61,7 +80,7 @@ def quartile_edges(df: DataFrame, value: str) -> list:
     total = counts.agg(F.sum("n")).first()[0] or 0
     if not total:
         return []
-    upto = counts.withColumn("upto", F.sum("n").over(Window.orderBy(value)))
+    upto = running(counts, value, "n").withColumn("upto", F.col("__before") + F.col("n"))
     places = [int(q * total) for q in (0.25, 0.5, 0.75)]
     row = upto.agg(*[F.min(F.when(F.col("upto") > p, F.col(value))).alias(f"q{i}") for i, p in enumerate(places)]).first()
     return list(row)

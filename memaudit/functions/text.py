@@ -51,9 +51,11 @@ def aliases(*columns: Column) -> Column:
     return F.filter(F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<string>")) for c in columns])), lambda a: a.isNotNull())
 
 
-def flatten_aliases(nested: Column) -> Column:
-    """Arrays of arrays of strings to one array, nulls dropped."""
-    return F.filter(F.flatten(F.filter(nested, lambda a: a.isNotNull())), lambda a: a.isNotNull())
+def flatten_aliases(nested: Column, depth: int = 2) -> Column:
+    """Arrays of arrays (of arrays, ...) of strings to one array, nulls dropped at every depth."""
+    for _ in range(depth - 1):
+        nested = F.flatten(F.filter(nested, lambda a: a.isNotNull()))
+    return F.filter(nested, lambda a: a.isNotNull())
 
 
 def alias_set(canonical: Column, more: Column | None = None) -> Column:
@@ -215,13 +217,25 @@ def crc_sample(key: Column, rate: float) -> Column:
     return F.crc32(F.encode(key, "utf-8")) % 10_000 < int(rate * 10_000)
 
 
+def md5_modulo(digest: Column, dim: int) -> Column:
+    """The number that 32 hexadecimal digits write, modulo dim (below 2^31); of a power of two the last eight decide."""
+    part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    if dim & (dim - 1) == 0:
+        return part(25) % dim
+    out = part(1) % dim
+    for at in (9, 17, 25):
+        out = (out * (1 << 32) + part(at)) % dim
+    return out
+
+
 def answer_features(answer: Column, dim: int = 2048) -> Column:
     """Hashed character trigrams of ##norm##: (feature, weight) structs, L2-normalised, as a sparse vector.
 
-    A trigram's feature is its md5 modulo dim, taken from the last eight hexadecimal digits: exact for powers of two.
+    A trigram's feature is its md5, as a number of 128 bits, modulo dim.
     """
-    if dim & (dim - 1) or dim > 1 << 32:
-        raise ValueError("dim must be a power of two")
+    if not 0 < dim < 1 << 31:
+        raise ValueError("dim must be from 1 to 2^31 - 1")
+
     def weighed(places: Column) -> Column:
         counts = F.transform(F.array_distinct(places), lambda p: F.struct(p.alias("feature"), F.size(F.filter(places, lambda q: q == p)).cast("double").alias("weight")))
         return let(counts, normed)
@@ -231,6 +245,6 @@ def answer_features(answer: Column, dim: int = 2048) -> Column:
         return let(length, lambda n: F.transform(counts, lambda c: F.struct(c["feature"].alias("feature"), (c["weight"] / n).alias("weight"))))
 
     def grams(padded: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.conv(F.right(F.md5(F.substr(padded, i, F.lit(3))), F.lit(8)), 16, 10).cast("long") % dim)
+        return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: md5_modulo(F.md5(F.substr(padded, i, F.lit(3))), dim))
 
     return let(F.concat(F.lit("##"), norm(answer), F.lit("##")), lambda padded: let(grams(padded), weighed))

@@ -93,6 +93,13 @@ def behavioral_mean(results: DataFrame) -> DataFrame:
     return scored(results).where("state = 'DEL-OFF'").groupBy("fact_id").agg(F.avg(F.col("correct").cast("double")).alias("behavioral_l"))
 
 
+def gold_labels(results: DataFrame) -> DataFrame:
+    """(fact_id, ground_truth, aliases) of result rows; a fact with two unlike answers is an error."""
+    rows = results.groupBy("fact_id").agg(F.min_by("ground_truth", "row_index").alias("ground_truth"), F.min_by("object_aliases", "row_index").alias("aliases"), F.count_distinct(T.norm(F.col("ground_truth"))).alias("n"))
+    fine = F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("unlike answers for fact "), F.col("fact_id").cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(fine).drop("n")
+
+
 def delta_rep(per_fact: DataFrame, behavior: DataFrame) -> DataFrame:
     """Mean representation score less mean behavioural leakage on facts that have both; nulls if there are none."""
     both = per_fact.where("l_rep is not null").join(behavior, "fact_id")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from memaudit.functions import text as T
 
+from .scratch import stored
+
 
 @dataclass(frozen=True)
 class ProbeConfig:
@@ -20,10 +22,21 @@ class ProbeConfig:
     seed: int = 0
     ridge_lambda: float = 1.0
     feature_dim: int = 2048
+    fold_order: str = "hash"
 
     def __post_init__(self):
         if self.mode not in ("ranking", "classification") or self.folds < 2 or self.ridge_lambda <= 0:
             raise ValueError("mode is ranking or classification, folds at least 2, ridge_lambda positive")
+        if self.fold_order not in ("hash", "seeded"):
+            raise ValueError("fold_order is hash (distributed) or seeded (numpy's shuffle, on the driver)")
+
+
+#: Bytes that the weights of all folds, or the answers' features, may take on the driver and in a task.
+MATRIX_BYTES = 1 << 30
+#: Groups that the seeded shuffle may order on the driver.
+SEEDED_GROUPS = 1_000_000
+#: Labelled facts below which an audit's outputs aren't probed.
+LEAST_FACTS = 4
 
 
 def assign_group_folds(groups: DataFrame, folds: int, seed: int = 0) -> DataFrame:
@@ -59,12 +72,35 @@ def _answer_matrix(rows: list, dim: int) -> np.ndarray:
     return out
 
 
+def _folds(truth: DataFrame, config: ProbeConfig, fold_groups: DataFrame | None) -> tuple[DataFrame, int]:
+    """(fact, group, group_size, fold) and the number of folds, at most one a group; a fact without a group is its own."""
+    facts = truth.select(F.col("fact").cast("string").alias("fact")).distinct()
+    if fold_groups is None:
+        placed = facts.withColumn("group", F.col("fact"))
+    else:
+        given = fold_groups.select(F.col("fact").cast("string").alias("fact"), F.col("group").cast("string").alias("group")).dropDuplicates(["fact"])
+        placed = facts.join(given, "fact", "left").withColumn("group", F.coalesce("group", "fact"))
+    sizes = placed.groupBy("group").agg(F.count("*").alias("group_size"))
+    n = sizes.count()
+    if n < 2:
+        raise ValueError(f"the probe needs at least two groups, not {n}")
+    folds = min(config.folds, n)
+    if config.fold_order == "hash":
+        dealt = assign_group_folds(sizes, folds, config.seed)
+    elif n <= SEEDED_GROUPS:
+        seeded = shuffled_group_folds([r["group"] for r in sizes.select("group").collect()], folds, config.seed)
+        dealt = truth.sparkSession.createDataFrame(list(seeded.items()), "group string, fold int")
+    else:
+        raise ValueError(f"{n} groups are too many for the seeded order; take fold_order='hash'")
+    return placed.join(sizes, "group").join(dealt, "group"), folds
+
+
 def run_probe(samples: DataFrame, labels: DataFrame, config: ProbeConfig = ProbeConfig(), fold_groups: DataFrame | None = None) -> tuple[DataFrame, dict]:
-    """(per fact: fact, answer, fold, samples, predicted, label_unseen, l_rep; summary).
+    """(per fact: fact, answer, fold, fold_group, fold_group_size, samples, predicted, label_unseen, l_rep; summary).
 
-    samples: sample_id, fact, vector; labels: fact, ground_truth, aliases (or none). fold_groups: fact, group; without
-    one each fact is a group, and a fact's samples share a fold. Vectors are L2-normalised, zero vectors dropped.
-    Candidates are the distinct normal forms of the answers (one table of answers, broadcast, bounded by a check).
+    samples: sample_id, fact, vector; labels: fact, ground_truth, aliases (or none). fold_groups: fact, group; a fact
+    without one is a group of its own, and a fact's samples share a fold. Vectors are L2-normalised, zero ones dropped.
+    Candidates are the distinct normal forms of the answers (one table of answers, broadcast, bounded in bytes).
     Per fold a task sums X'X and X'Y of its rows; W of a fold comes from the total less the fold's sums.
     """
     from .search import unit_rows
@@ -72,28 +108,31 @@ def run_probe(samples: DataFrame, labels: DataFrame, config: ProbeConfig = Probe
     spark = samples.sparkSession
     more = F.col("aliases") if "aliases" in labels.columns else None
     truth = labels.withColumn("answer_norm", T.norm(F.col("ground_truth"))).withColumn("answer_norms", T.norm_set(F.col("ground_truth"), more)).where(F.col("answer_norm") != "")
-    groups = fold_groups or truth.select("fact", F.col("fact").cast("string").alias("group"))
-    folds = groups.join(assign_group_folds(groups, config.folds, config.seed), "group")
     candidates = truth.groupBy("answer_norm").agg(F.min("ground_truth").alias("answer")).orderBy("answer_norm")
     n_candidates = candidates.count()
-    if n_candidates * config.feature_dim > 1 << 28:
-        raise ValueError("too many distinct answers for one candidate matrix; lower feature_dim")
+    vectors = unit_rows(samples.withColumn("__s", F.struct("sample_id", "fact")), "__s", "vector").select("__s.*", "vector")
+    own = vectors.join(truth.select("fact", "answer_norm"), "fact")
+    total = samples.count()
+    lead = own.first()
+    shape = {"mode": config.mode, "seed": config.seed, "ridge_lambda": config.ridge_lambda, "feature_dim": config.feature_dim}
+    if lead is None:
+        empty = spark.createDataFrame([], "fact string, answer string, fold int, fold_group string, fold_group_size long, samples long, predicted string, label_unseen boolean, l_rep double")
+        return empty, shape | {"folds": config.folds, "facts": 0, "fold_groups": 0, "largest_fold_group": 0, "samples": 0, "samples_dropped_no_label": total, "candidates": n_candidates, "label_unseen_count": 0, "l_rep_hat": None}
+    width = config.feature_dim if config.mode == "ranking" else n_candidates
+    d = len(lead["vector"])
+    if 8 * max(config.folds * (d * d + d * width), n_candidates * width if config.mode == "ranking" else 0) > MATRIX_BYTES:
+        raise ValueError("the probe's matrices are too large; lower feature_dim, or have fewer distinct answers")
+    folds, n_folds = _folds(truth.join(vectors.select("fact").distinct(), "fact", "left_semi"), config, fold_groups)
+    folds = stored(folds, "probe-folds")
+    rows = stored(own.withColumn("__f", F.col("fact").cast("string")).join(folds.select(F.col("fact").alias("__f"), "fold"), "__f").drop("__f"), "probe-rows")
     if config.mode == "ranking":
         cand = candidates.withColumn("features", T.answer_features(F.col("answer"), config.feature_dim)).collect()
         matrix = _answer_matrix([r["features"] for r in cand], config.feature_dim)
-    else:
-        cand = candidates.collect()
-        matrix = np.eye(len(cand))
+    else:  # a class is a column of its own: no matrix is made
+        cand, matrix = candidates.collect(), None
     names = [r["answer_norm"] for r in cand]
     at = {n: i for i, n in enumerate(names)}
-    vectors = unit_rows(samples.withColumn("__s", F.struct("sample_id", "fact")), "__s", "vector").select("__s.*", "vector")
-    rows = vectors.join(truth.select("fact", "answer_norm"), "fact").join(folds.select("fact", "fold"), "fact").persist()
-    total = samples.count()
-    lead = rows.first()
-    if lead is None:
-        empty = spark.createDataFrame([], "fact string, answer string, fold int, samples long, predicted string, label_unseen boolean, l_rep double")
-        return empty, {"facts": 0, "samples": 0, "samples_dropped_no_label": total, "candidates": n_candidates, "l_rep_hat": None}
-    d, k = len(lead["vector"]), matrix.shape[1]
+    k = width
 
     def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own: dict = {}
@@ -109,15 +148,18 @@ def run_probe(samples: DataFrame, labels: DataFrame, config: ProbeConfig = Probe
     # X'Y is kept per answer as the sum of its rows' vectors; it is expanded by the answers' features on the driver.
     parts = rows.select("fold", "answer_norm", "vector").mapInPandas(sums, "fold int, answer_norm string, i int, value array<double>")
     placed = parts.select("fold", "answer_norm", F.posexplode("value").alias("place", "v")).groupBy("fold", "answer_norm", "place").agg(F.sum("v").alias("v"))
-    gram = {f: np.zeros((d, d)) for f in range(config.folds)}
-    xty = {f: np.zeros((d, k)) for f in range(config.folds)}
-    seen = {f: set() for f in range(config.folds)}
+    gram = {f: np.zeros((d, d)) for f in range(n_folds)}
+    xty = {f: np.zeros((d, k)) for f in range(n_folds)}
+    seen = {f: set() for f in range(n_folds)}
     for r in placed.groupBy("fold", "answer_norm").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("value")).collect():
         value = np.array([x["v"] for x in r["value"]])
         if r["answer_norm"] == "":
             gram[r["fold"]] += value.reshape(d, d)
         else:
-            xty[r["fold"]] += np.outer(value, matrix[at[r["answer_norm"]]])
+            if matrix is None:
+                xty[r["fold"]][:, at[r["answer_norm"]]] += value
+            else:
+                xty[r["fold"]] += np.outer(value, matrix[at[r["answer_norm"]]])
             seen[r["fold"]].add(r["answer_norm"])
     all_g, all_b = sum(gram.values()), sum(xty.values())
     trained = {f: set().union(*(seen[g] for g in seen if g != f)) for f in seen}
@@ -131,7 +173,8 @@ def run_probe(samples: DataFrame, labels: DataFrame, config: ProbeConfig = Probe
         for frame in frames:
             for fold, part in frame.groupby("fold"):
                 if fold not in own:
-                    own[fold] = np.linalg.solve(*solvable[int(fold)]) @ answers.T
+                    weights = np.linalg.solve(*solvable[int(fold)])
+                    own[fold] = weights if answers is None else weights @ answers.T
                 best = (np.stack(part["vector"]) @ own[fold]).argmax(1)
                 yield pd.DataFrame({"fact": part["fact"].astype(str), "fold": int(fold), "predicted": [labels_[i] for i in best]})
 
@@ -140,23 +183,61 @@ def run_probe(samples: DataFrame, labels: DataFrame, config: ProbeConfig = Probe
     keyed = truth.select(F.col("fact").cast("string").alias("fact"), "ground_truth", "answer_norm", "answer_norms")
     marked = guesses.join(keyed, "fact").withColumn("hit", F.array_contains("answer_norms", F.col("predicted")).cast("double"))
     per_fact = marked.groupBy("fact", "fold", "answer_norm").agg(F.first("ground_truth").alias("answer"), F.count("*").alias("samples"), F.mode("predicted").alias("predicted"), F.avg("hit").alias("l_rep"))
-    per_fact = per_fact.join(F.broadcast(known), ["fold", "answer_norm"], "left").withColumn("label_unseen", F.col("known").isNull()).select("fact", "answer", "fold", "samples", "predicted", "label_unseen", "l_rep")
-    s = per_fact.agg(F.count("*"), F.sum("samples"), F.avg("l_rep"), F.count_if("label_unseen")).first()
-    summary = {"mode": config.mode, "folds": config.folds, "seed": config.seed, "ridge_lambda": config.ridge_lambda, "feature_dim": config.feature_dim, "facts": s[0], "samples": s[1] or 0, "samples_dropped_no_label": total - (s[1] or 0), "candidates": n_candidates, "label_unseen_count": s[3], "l_rep_hat": s[2]}
+    per_fact = per_fact.join(F.broadcast(known), ["fold", "answer_norm"], "left").withColumn("label_unseen", F.col("known").isNull())
+    placed = folds.select("fact", F.col("group").alias("fold_group"), F.col("group_size").alias("fold_group_size"))
+    per_fact = per_fact.join(placed, "fact").select("fact", "answer", "fold", "fold_group", "fold_group_size", "samples", "predicted", "label_unseen", "l_rep")
+    s = per_fact.agg(F.count("*"), F.sum("samples"), F.avg("l_rep"), F.count_if("label_unseen"), F.count_distinct("fold_group"), F.max("fold_group_size")).first()
+    summary = shape | {"folds": n_folds, "facts": s[0], "fold_groups": s[4], "largest_fold_group": s[5], "samples": s[1] or 0, "samples_dropped_no_label": total - (s[1] or 0), "candidates": n_candidates, "label_unseen_count": s[3], "l_rep_hat": s[2]}
     return per_fact, summary
 
 
+def control_probe(name: str, samples: DataFrame, labels: DataFrame, behavior: DataFrame, config: ProbeConfig = ProbeConfig(), fold_groups: DataFrame | None = None, split: str | None = None) -> tuple[DataFrame, dict]:
+    """The probe on another representation: per fact and summary, both marked with the representation and the split, the
+    summary with the mean behaviour and the difference. behavior: fact_id, behavioral_l."""
+    from .metrics import delta_rep
+
+    per_fact, summary = run_probe(samples, labels, config, fold_groups)
+    split = split or ("fact" if fold_groups is None else "group")
+    lived = behavior.select(F.col("fact_id").cast("string").alias("fact_id"), "behavioral_l")
+    delta = delta_rep(per_fact.withColumnRenamed("fact", "fact_id"), lived).first()
+    summary = {"representation": name, "split": split} | summary | {"facts_common": delta["facts_common"], "l_hat": delta["l_hat"], "delta_rep": delta["delta_rep"]}
+    rows = per_fact.join(lived.withColumnRenamed("fact_id", "fact"), "fact", "left")
+    return rows.select(F.lit(name).alias("representation"), F.lit(split).alias("split"), *rows.columns), summary
+
+
+def probe_audit_outputs(results: DataFrame, samples: DataFrame, path: str, config: ProbeConfig = ProbeConfig(), fold_groups: DataFrame | None = None) -> dict | None:
+    """Probe a finished audit: per fact and summary as CSV under path, the summary returned; None, and nothing written,
+    where fewer facts than max(LEAST_FACTS, folds) have both a label and a vector.
+
+    results: result rows, of which the first ground truth of a fact is its label (another one is an error).
+    """
+    from memaudit.sources.files import union_by_name, write_csv, write_rows
+
+    from .metrics import behavioral_mean, gold_labels
+
+    labels = stored(gold_labels(results).withColumnRenamed("fact_id", "fact"), "probe-labels")
+    known = samples.select("fact").distinct().join(labels.select("fact"), "fact", "left_semi").count()
+    if known < max(LEAST_FACTS, config.folds):
+        return None
+    per_fact, summary = control_probe("query", samples, labels, behavioral_mean(results), config, fold_groups)
+    write_csv(union_by_name(per_fact.drop("representation", "split")), f"{path}/probe_per_fact")
+    write_rows(samples.sparkSession, [summary], f"{path}/probe_summary")
+    return summary
+
+
 def hashed_prompt_vectors(prompts: DataFrame, dim: int = 512, id_col: str = "fact", text_col: str = "prompt") -> DataFrame:
-    """(id_col, vector): signed hashing of a prompt's unigrams and bigrams, L2-normalised; the control representation.
+    """(id_col, vector): signed hashing of a prompt's words and pairs of words, L2-normalised; the control representation.
 
-    A gram goes to place md5 mod dim (dim a power of two), with the sign of a further hash digit.
+    Of a gram's md5 the first four bytes, as a little-endian number modulo dim, are its place; the fifth, if odd, a plus.
     """
     t = T.tokens(F.col(text_col))
     rows = prompts.select(F.col(id_col), t.alias("t"))
-    pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.concat_ws(" ", F.get("t", i), F.get("t", i + 1)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.when(F.size("t") > 1, F.transform(F.sequence(F.lit(0), F.size("t") - 2), lambda i: F.concat_ws("_", F.get("t", i), F.get("t", i + 1)))).otherwise(F.array().cast("array<string>"))
     rows = rows.select(id_col, F.explode(F.concat("t", pairs)).alias("g")).withColumn("m", F.md5("g"))
-    sign = F.when(F.conv(F.substring("m", 1, 1), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    cells = rows.select(id_col, (F.conv(F.right("m", F.lit(8)), 16, 10).cast("long") % dim).cast("int").alias("i"), sign.alias("s")).groupBy(id_col, "i").agg(F.sum("s").alias("s"))
+    number = lambda h: F.conv(h, 16, 10).cast("long")
+    place = number(F.concat(*[F.substring("m", at, 2) for at in (7, 5, 3, 1)])) % dim
+    sign = F.when(number(F.substring("m", 10, 1)) % 2 == 1, 1.0).otherwise(-1.0)
+    cells = rows.select(id_col, place.cast("int").alias("i"), sign.alias("s")).groupBy(id_col, "i").agg(F.sum("s").alias("s"))
     found = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("m"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     from memaudit.functions.vectors import normalized

@@ -65,9 +65,11 @@ def scan_stream_facts(spark, d):
     return followups.first_wins(table(spark, d, "events").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, value FROM events")
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, try_cast(user_id AS DOUBLE) AS u FROM events")
 def cast_numeric_cols(spark, d):
-    return table(spark, d, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as double)").alias("k"), "value")
+    """Of three text columns the one that isn't all numbers goes."""
+    e = table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.col("user_id").cast("string").alias("u"), F.col("event_type").alias("word"))
+    return followups.cast_numeric(e).select("event_id", "k", "u")
 
 
 # Text equivalence.
@@ -128,19 +130,19 @@ def precision_recall_f1(spark, d):
     return s.select("conv_id", "turn", F.round("b.precision", 9).alias("p"), F.round("b.recall", 9).alias("r"), F.round("b.f1", 9).alias("f"))
 
 
-@query(f"""WITH a AS (SELECT doc_id, [source, upper(source), lang, '!!', substr(text, 1, 5), lang] AS xs FROM documents),
-x AS (SELECT doc_id, unnest(xs) AS v, unnest(range(6)) AS i FROM a), y AS (SELECT *, {sql_norm('v')} AS n FROM x),
+@query(f"""WITH a AS (SELECT doc_id, [source, upper(source), lang, '!!', text, upper(text), lang] AS xs FROM documents),
+x AS (SELECT doc_id, unnest(xs) AS v, unnest(range(7)) AS i FROM a), y AS (SELECT *, {sql_norm('v')} AS n FROM x),
 z AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n ORDER BY i) AS r FROM y WHERE n <> '')
-SELECT doc_id, string_agg(v, '|' ORDER BY i) AS kept FROM z WHERE r = 1 GROUP BY doc_id""")
+SELECT doc_id, md5(string_agg(v, '|' ORDER BY i)) AS kept FROM z WHERE r = 1 GROUP BY doc_id""")
 def unique_by_norm(spark, d):
-    xs = F.array("source", F.upper("source"), "lang", F.lit("!!"), F.substring("text", 1, 5), "lang")
-    return table(spark, d, "documents").select("doc_id", xs.alias("xs")).select("doc_id", F.array_join(T.unique_by_norm(F.col("xs")), "|").alias("kept"))
+    xs = F.array("source", F.upper("source"), "lang", F.lit("!!"), "text", F.upper("text"), "lang")
+    return documents(spark, d).select("doc_id", xs.alias("xs")).select("doc_id", F.md5(F.array_join(T.unique_by_norm(F.col("xs")), "|")).alias("kept"))
 
 
-@query(f"""WITH g AS (SELECT doc_id, lang, source, substr(text, 1, 12) AS a FROM documents)
+@query(f"""WITH g AS (SELECT doc_id, lang, source, text AS a FROM documents)
 SELECT doc_id, ({sql_norm('a')}) <> '' AND (({sql_norm('a')}) = ({sql_norm("upper(a)")}) OR ({sql_norm('a')}) = lang) AS same FROM g""")
 def values_equivalent(spark, d):
-    g = table(spark, d, "documents").select("doc_id", "lang", F.substring("text", 1, 12).alias("a"))
+    g = documents(spark, d).select("doc_id", "lang", F.col("text").alias("a"))
     return g.select("doc_id", T.values_equivalent(F.col("a"), F.upper("a"), None, F.array("lang")).alias("same"))
 
 
@@ -169,25 +171,34 @@ def clean_completion(spark, d):
 PHRASES = 5_000
 
 
-def mention_pairs(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(id, phrase_id) where the text's normal form n mentions the phrase's; texts: id, n. phrases: phrase_id, m."""
-    if phrases.count() <= PHRASES:
+def mention_pairs(texts: DataFrame, phrases: DataFrame, most: int = PHRASES) -> DataFrame:
+    """(id, phrase_id) where the text's normal form n mentions the phrase's; texts: id, n. phrases: phrase_id, m.
+
+    Beyond `most` phrases a text's word and its three-word grams are hashed and meet those of the phrases; only ids and
+    hashes are shuffled, and the texts join the distinct candidates afterwards. ids must be unique.
+    """
+    if phrases.count() <= most:
         return texts.join(F.broadcast(phrases), T.judge_norms(F.col("n"), F.array("m"))).select("id", "phrase_id")
     words = lambda c: F.split(c, " ")
     gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    long, short = phrases.where(F.size(words(F.col("m"))) >= 3), phrases.where(F.size(words(F.col("m"))) < 3)
-    first = long.withColumn("h", gram(words(F.col("m")), F.lit(0)))
-    t = texts.withColumn("w", words(F.col("n")))
-    grams = t.where(F.size("w") >= 3).select("id", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: gram(F.col("w"), i)))).alias("h"))
-    ahead = grams.join(first, "h").where(T.holds(F.col("n"), F.col("m"))).select("id", "phrase_id")
-    word = t.select("id", "n", F.explode(F.array_distinct("w")).alias("h")).join(short.withColumn("h", F.get(words(F.col("m")), F.lit(0))), "h").where(T.holds(F.col("n"), F.col("m"))).select("id", "phrase_id")
-    # Texts shorter than a phrase may be held by it: the same with the roles changed.
-    few = t.where((F.size("w") < 3) & (F.length("n") >= 3)).select("id", "n", F.get("w", F.lit(0)).alias("h"))
-    back = few.join(phrases.select("phrase_id", "m", F.explode(F.array_distinct(words(F.col("m")))).alias("h")), "h").where(T.holds(F.col("m"), F.col("n"))).select("id", "phrase_id")
-    start = t.where(F.size("w") >= 3).select("id", "n", gram(F.col("w"), F.lit(0)).alias("h"))
-    inside = long.withColumn("w", words(F.col("m"))).select("phrase_id", "m", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: gram(F.col("w"), i)))).alias("h"))
-    held = start.join(inside, "h").where((F.length("n") >= 3) & T.holds(F.col("m"), F.col("n"))).select("id", "phrase_id")
-    return ahead.unionByName(word).unionByName(back).unionByName(held).distinct()
+    size = F.size("w")
+
+    def all_grams(df: DataFrame, key: str) -> DataFrame:
+        return df.where(size >= 3).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), size - 3), lambda i: gram(F.col("w"), i)))).alias("h"))
+
+    def all_words(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, F.explode(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))).alias("h"))
+
+    def first(df: DataFrame, key: str) -> DataFrame:  # what a holder must have: the first gram, or the first word
+        return df.select(key, F.when(size >= 3, gram(F.col("w"), F.lit(0))).otherwise(F.xxhash64(F.get("w", F.lit(0)))).alias("h"))
+
+    t, p = texts.where("n <> ''").withColumn("w", words(F.col("n"))), phrases.where("m <> ''").withColumn("w", words(F.col("m")))
+    ahead = all_grams(t, "id").unionByName(all_words(t, "id")).join(first(p, "phrase_id"), "h")
+    # A phrase may hold the text: the same with the roles changed.
+    back = all_grams(p, "phrase_id").unionByName(all_words(p, "phrase_id")).join(first(t.where(F.length("n") >= 3), "id"), "h")
+    pairs = ahead.select("id", "phrase_id").unionByName(back.select("id", "phrase_id")).distinct()
+    both = pairs.join(phrases, "phrase_id").join(texts, "id")
+    return both.where(T.judge_norms(F.col("n"), F.array("m"))).select("id", "phrase_id")
 
 
 def _mentions(spark, d) -> DataFrame:
@@ -218,11 +229,11 @@ def frequency_bins(spark, d):
 
 
 @query("""WITH s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos, lang FROM documents),
-q AS (SELECT doc_id, pos, rtrim(string_split(replace(line, ' the ', '[MASK]'), '[MASK]')[1]) AS prefix FROM s WHERE contains(line, ' the ') AND lang = 'en'),
+q AS (SELECT doc_id, pos, rtrim(string_split(replace(line, ' the ', '[MASK]'), '[MASK]')[1]) AS prefix FROM s WHERE contains(line, ' the ')),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(prefix), pos) AS r FROM q WHERE length(prefix) >= 30)
 SELECT CAST(doc_id AS VARCHAR) AS fact_id, prefix AS prompt_text FROM r WHERE r = 1""")
 def src_trex(spark, d):
-    docs = table(spark, d, "documents").where("lang = 'en'")
+    docs = table(spark, d, "documents")
     ev = F.transform(F.split("text", "\n"), lambda s: F.struct(F.replace(s, F.lit(" the "), F.lit("[MASK]")).alias("masked_sentence"), F.lit("").alias("sub_surface")))
     rows = docs.select(F.col("doc_id").cast("string").alias("uuid"), F.lit("the").alias("obj_label"), F.lit("").alias("sub_label"), F.lit("P").alias("predicate_id"), ev.alias("evidences"))
     return prompts.trex(rows).select("fact_id", "prompt_text")
@@ -230,12 +241,12 @@ def src_trex(spark, d):
 
 @query("""WITH a AS (SELECT CAST(page_id AS VARCHAR) AS fact_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, split_part(url, ':', 1) AS predicate, page_id FROM pages),
 r AS (SELECT *, row_number() OVER (PARTITION BY predicate ORDER BY page_id) AS r FROM a)
-SELECT fact_id, host || ' is reached by' AS prompt_text, predicate AS relation FROM r WHERE r <= 60""")
+SELECT fact_id, host || ' is reached by' AS prompt_text, predicate AS relation FROM r WHERE r <= 2000""")
 def src_googlere(spark, d):
     pages = table(spark, d, "pages")
     rows = pages.select(F.col("page_id").cast("string").alias("uuid"), F.regexp_extract("url", "^https?://([^/]+)", 1).alias("sub_label"), F.substring_index("url", ":", 1).alias("obj_label"), F.substring_index("url", ":", 1).alias("predicate"), F.col("page_id").alias("pos"))
     templates = spark.createDataFrame([("http", "[X] is reached by [Y]."), ("https", "[X] is reached by [Y].")], "predicate string, template string")
-    return prompts.googlere(rows, templates, cap=60).select("fact_id", "prompt_text", "relation")
+    return prompts.googlere(rows, templates, cap=2000).select("fact_id", "prompt_text", "relation")
 
 
 @query("""SELECT 'counterfact-' || c_custkey AS fact_id, 'counterfact-' || c_custkey || CASE v WHEN 0 THEN '' ELSE '-paraphrase-' || (v - 1) END AS prompt_id,
@@ -254,19 +265,31 @@ def src_popqa(spark, d):
     return prompts.popqa(rows).select("fact_id", "prompt_text", "gold_object")
 
 
-@query("""WITH a AS (SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)
-SELECT 'zsre-' || i AS fact_id, 'Which nation is ' || n_nationkey || '?' || chr(10) || 'The answer is' AS prompt_text, n_name AS gold_object FROM a""")
+@query("""SELECT 'zsre-' || n_nationkey AS fact_id, 'Which nation is ' || n_nationkey || '?' || chr(10) || 'The answer is' AS prompt_text, n_name AS gold_object FROM nation""")
 def src_zsre(spark, d):
-    r = F.struct("n_nationkey", F.concat(F.lit("Which nation is "), F.col("n_nationkey"), F.lit("?")).alias("question"), F.array("n_name").alias("answers"), F.array().cast("array<string>").alias("rephrases"))
-    rows = table(spark, d, "nation").agg(F.array_sort(F.collect_list(r)).alias("records"))
-    return prompts.zsre(rows).select("fact_id", "prompt_text", "gold_object")
+    r = table(spark, d, "nation").select(F.col("n_nationkey").alias("i"), F.concat(F.lit("Which nation is "), F.col("n_nationkey"), F.lit("?")).alias("question"), F.array("n_name").alias("answers"), F.array().cast("array<string>").alias("rephrases"))
+    return prompts.zsre(r).select("fact_id", "prompt_text", "gold_object")
 
 
-@query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), json_extract_string(props, '$.x'), '') AS k, substr(sha256('{"entry_ids": ["' || event_id || '"], "metadata": {}, "source_ids": [], "strategy": "oracle-entry"}'), 1, 16) AS manifest_id FROM events""")
+@query("""WITH m AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN [] WHEN 4 THEN [CAST(user_id AS VARCHAR)] ELSE list_sort(list_distinct([CAST(user_id AS VARCHAR), event_type])) END AS ids,
+ CASE event_id % 5 WHEN 3 THEN [event_type] ELSE [] END AS sources, CASE event_id % 5 WHEN 2 THEN 'closure' ELSE 'oracle-entry' END AS strategy, CASE event_id % 5 WHEN 2 THEN '{"k": ' || (event_id % 9) || ', "note": "a: b, c"}' ELSE '{}' END AS meta FROM events)
+SELECT event_id, array_to_string(ids, ',') AS entry_ids, array_to_string(sources, ',') AS source_ids, strategy, substr(sha256('{"entry_ids": [' || array_to_string(list_transform(ids, lambda x: '"' || x || '"'), ', ') || '], "metadata": ' || meta || ', "source_ids": ['
+ || array_to_string(list_transform(sources, lambda x: '"' || x || '"'), ', ') || '], "strategy": "' || strategy || '"}'), 1, 16) AS manifest_id FROM m""")
 def parse_manifest(spark, d):
-    ids = F.array(F.col("event_id").cast("string"))
-    k = F.coalesce(F.get_json_object("props", "$.k"), F.get_json_object("props", "$.x"), F.lit(""))
-    return table(spark, d, "events").select("event_id", k.alias("k"), prompts.manifest_id(ids, F.array().cast("array<string>"), F.lit("oracle-entry")).alias("manifest_id"))
+    """Manifests of five shapes as JSON, parsed: an empty struct that wins over ids, plain and oracle ids, sources, one with metadata."""
+    e = table(spark, d, "events")
+    q = lambda c: F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"'))
+    both = F.concat(F.lit("["), q("user_id"), F.lit(", "), q("event_type"), F.lit(", "), q("user_id"), F.lit("]"))
+    kind = F.col("event_id") % 5
+    shape = (
+        F.when(kind == 0, F.concat(F.lit('{"deletion_manifest": {"entry_ids": []}, "entry_ids": '), both, F.lit("}")))
+        .when(kind == 1, F.concat(F.lit('{"entry_ids": '), both, F.lit("}")))
+        .when(kind == 2, F.concat(F.lit('{"deletion_manifest": {"entry_ids": '), both, F.lit(', "strategy": "closure", "metadata": {"note": "a: b, c", "k": '), (F.col("event_id") % 9).cast("string"), F.lit("}}}")))
+        .when(kind == 3, F.concat(F.lit('{"oracle_entry_ids": '), both, F.lit(', "source_ids": '), q("event_type"), F.lit("}")))
+        .otherwise(F.concat(F.lit('{"entry_ids": '), q("user_id"), F.lit("}")))
+    )
+    parsed = prompts.parse_manifests(e.select("event_id", F.parse_json(shape).alias("row")), "event_id")
+    return parsed.select("event_id", *[F.array_join(c, ",").alias(c) for c in ("entry_ids", "source_ids")], "strategy", "manifest_id")
 
 
 # Statistics.
@@ -437,11 +460,11 @@ def union_partials(spark, d):
 # Features and controls.
 
 
-@query(f"""WITH a AS (SELECT item_id, '##' || {sql_norm("substr(text, 1, 24)")} || '##' AS s FROM benchmark), g AS (SELECT item_id, substr(s, CAST(i AS INTEGER), 3) AS g FROM a, (SELECT unnest(range(1, 40)) AS i) WHERE i <= length(s) - 2),
+@query(f"""WITH a AS (SELECT item_id, '##' || {sql_norm("text")} || '##' AS s FROM benchmark), g AS (SELECT item_id, substr(s, CAST(i AS INTEGER), 3) AS g FROM a, (SELECT unnest(range(1, (SELECT max(length(s)) FROM a))) AS i) WHERE i <= length(s) - 2),
 c AS (SELECT item_id, CAST(('0x' || right(md5(g), 8)) AS BIGINT) % 2048 AS feature, count(*) AS n FROM g GROUP BY 1, 2)
 SELECT item_id, feature, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 9) AS weight FROM c""")
 def answer_features(spark, d):
-    rows = table(spark, d, "benchmark").select("item_id", T.norm(F.substring("text", 1, 24)).alias("a"))
+    rows = table(spark, d, "benchmark").select("item_id", T.norm(F.col("text")).alias("a"))
     return rows.select("item_id", F.explode(T.answer_features(F.col("a"))).alias("f")).select("item_id", "f.feature", F.round("f.weight", 9).alias("weight"))
 
 

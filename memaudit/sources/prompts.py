@@ -72,13 +72,13 @@ def _strings(row: Column, keys: tuple[str, ...]) -> Column:
     return T.string_tuple(F.coalesce(F.filter(out, lambda x: x.isNotNull()), F.array().cast("array<string>")))
 
 
-def parse_manifests(raw: DataFrame) -> DataFrame:
-    """(row, entry_ids, source_ids, strategy, metadata, manifest_id) from a VARIANT column `row`; metadata is JSON text."""
+def parse_manifests(raw: DataFrame, *keep: str) -> DataFrame:
+    """(keep, row, entry_ids, source_ids, strategy, metadata, manifest_id) from a VARIANT column `row`; metadata is JSON text."""
     row = F.col("row")
     strategy = F.coalesce(F.try_variant_get(row, "$.deletion_manifest.strategy", "string"), F.try_variant_get(row, "$.deletion_strategy", "string"), F.lit("oracle-entry"))
     # A variant's object is written with its keys in order.
     metadata = F.coalesce(F.expr("to_json(try_variant_get(row, '$.deletion_manifest.metadata', 'variant'))"), F.lit("{}"))
-    out = raw.select("row", _strings(row, ENTRY_KEYS).alias("entry_ids"), _strings(row, SOURCE_KEYS).alias("source_ids"), strategy.alias("strategy"), metadata.alias("metadata"))
+    out = raw.select(*keep, "row", _strings(row, ENTRY_KEYS).alias("entry_ids"), _strings(row, SOURCE_KEYS).alias("source_ids"), strategy.alias("strategy"), metadata.alias("metadata"))
     return out.withColumn("manifest_id", manifest_id(F.col("entry_ids"), F.col("source_ids"), F.col("strategy"), F.col("metadata")))
 
 
@@ -144,8 +144,8 @@ def counterfact(rows: DataFrame, variants: bool = False) -> DataFrame:
 
 
 def zsre(records: DataFrame, rephrase: bool = False) -> DataFrame:
-    """Questions: one row with array `records` of struct<question, answers, rephrases> -> prompt rows numbered by place."""
-    rows = records.select(F.posexplode("records").alias("i", "r"))
+    """Questions: rows of i (the place in the file), question, answers, rephrases -> prompt rows numbered by place."""
+    rows = records.select("i", F.struct("question", "answers", "rephrases").alias("r"))
     answers = F.filter(F.col("r.answers"), lambda a: F.trim(a) != "")
     rows = rows.withColumn("answers", answers).where(F.size("answers") > 0).withColumn("fact_id", F.concat(F.lit("zsre-"), F.col("i").cast("string")))
     stub = lambda q: F.concat(F.trim(q), F.lit("\nThe answer is"))
