@@ -18,15 +18,17 @@ def running(counts: DataFrame, value: str, n: str = "__n", by: tuple[str, ...] =
     ranges before it, of which there are only as many as partitions. No task sees more than one range.
     """
     order = [*by, value]
-    ranges = counts.repartitionByRange(*([parts] if parts else []), *order).withColumn("__p", F.spark_partition_id())
+    ranges = counts.repartitionByRange(*([parts] if parts else []), *order).withColumn("__part", F.spark_partition_id())
     ranges = stored(ranges, "ranges")
-    inside = Window.partitionBy("__p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranges.groupBy("__p", *by).agg(F.sum(n).alias("__s"))  # a group that is cut has one row a partition
-    ahead = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("__o", F.coalesce(F.sum("__s").over(ahead), F.lit(0))).drop("__s")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ("__p", *by)]
-    joined = ranges.withColumn("__i", F.coalesce(F.sum(n).over(inside), F.lit(0))).alias("r").join(offsets.alias("o"), same, "left")
-    return joined.select("r.*", (F.col("__i") + F.coalesce("__o", F.lit(0))).alias("__before")).drop("__p", "__i")
+    inside = Window.partitionBy("__part", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranges.groupBy("__part", *by).agg(F.sum(n).alias("__sum"))  # a group that is cut has one row a partition
+    ahead = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("__part").alias("__p2"), *[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.coalesce(F.sum("__sum").over(ahead), F.lit(0)).alias("__offset"))
+    same = F.col("__part") == F.col("__p2")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    joined = ranges.withColumn("__inside", F.coalesce(F.sum(n).over(inside), F.lit(0))).join(offsets, same)
+    return joined.select(*counts.columns, (F.col("__inside") + F.col("__offset")).alias("__before"))
 
 
 def ranked(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (), base: int = 1) -> DataFrame:

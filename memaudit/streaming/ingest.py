@@ -28,3 +28,18 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, once: bool = Tr
     """Append to a Parquet table; with the checkpoint a restart neither loses nor repeats a row."""
     writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def rates_table(rates: DataFrame, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """The rates of all files there are: every batch writes the windows it changed, and a window's last batch counts.
+
+    A batch that is repeated after a failure writes the same rows under the same number again, which changes nothing.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = rates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    every = rates.sparkSession.read.schema(rates.schema.add("batch", "long")).parquet(path)
+    value = [c for c in rates.columns if c not in keys]
+    return every.groupBy(*keys).agg(F.max_by(F.struct(*value), "batch").alias("v")).select(*keys, *[F.col(f"v.{c}").alias(c) for c in value])
