@@ -92,13 +92,14 @@ def build_injections(facts: DataFrame, config: AdversarialConfig = AdversarialCo
     return rows.select("fact", "epsilon", "template", "entry_id", survivor_key(F.col("vector"), F.col("direction"), F.col("target_cosine")).alias("vector"), "value", "target_cosine", "decoy")
 
 
-def attack(queries: DataFrame, left: DataFrame, injected: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def attack(queries: DataFrame, left: DataFrame, injected: DataFrame, threshold: float, arms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(attacks: fact, epsilon, template, selected, value, correct; baseline: fact, value, correct) of echo readers.
 
     queries: fact, vector (unit), gold_norms, parametric. left: fact, entry_id (text), score, value: what deletion left.
     injected: rows of build_injections. Injected vectors are scored against their query like any entry and face the
     threshold; the best of a query's rows wins, ties to stored entries, then survivors, then decoys, each by id.
-    selected: a survivor that isn't a decoy won.
+    selected: a survivor that isn't a decoy won. arms (fact, epsilon, template) names the attacks where a backstop left
+    some without any injected row.
     """
     best = lambda rows, *by: rows.groupBy(*by).agg(F.min_by(F.struct("entry_id", "value", "target", "score", "sort"), F.struct(-F.col("score"), F.col("sort"), F.col("entry_id"))).alias("top"))
     said = lambda rows: rows.withColumn("value", F.coalesce("top.value", "parametric")).withColumn("correct", contains_norms(norm(F.col("value")), F.col("gold_norms")))
@@ -107,7 +108,7 @@ def attack(queries: DataFrame, left: DataFrame, injected: DataFrame, threshold:
     baseline = said(who.join(best(kept, "fact"), "fact", "left")).select("fact", "value", "correct")
     live = injected.join(queries.select("fact", F.col("vector").alias("query")), "fact").withColumn("score", F.round(vectors.dot(F.col("vector"), F.col("query")), 12))
     live = live.where(F.col("score") >= threshold).select("fact", "epsilon", "template", "entry_id", "score", "value", (~F.col("decoy")).alias("target"), F.when(F.col("decoy"), 2).otherwise(1).alias("sort"))
-    arms = injected.select("fact", "epsilon", "template").distinct()
+    arms = injected.select("fact", "epsilon", "template").distinct() if arms is None else arms
     # What deletion left competes as one row: only its best can win.
     rest = best(kept, "fact").select("fact", "top.entry_id", "top.score", "top.value", "top.target", "top.sort")
     rows = live.unionByName(arms.join(rest, "fact"))

@@ -86,7 +86,7 @@ SKIPS = {
 }
 
 
-def _skips(mentions: Column, *more: tuple[Column, str]) -> Column:
+def skip_reason(mentions: Column, *more: tuple[Column, str]) -> Column:
     """The common reasons; answer_visible_before_event is three-valued, and only a known false is in time."""
     seen = F.col("answer_visible_before_event")
     rules = [
@@ -107,7 +107,7 @@ def gate(facts: DataFrame, full: DataFrame) -> DataFrame:
     """
     rows = facts.join(full, "fact", "left").withColumn("__v", T.norm(F.col("selected_value")))
     more = [(F.col("empty_manifest"), "empty-manifest")] if "empty_manifest" in facts.columns else []
-    return rows.withColumn("skip_reason", _skips(T.judge_norms(F.col("__v"), F.col("gold_norms")), *more)).drop("__v")
+    return rows.withColumn("skip_reason", skip_reason(T.judge_norms(F.col("__v"), F.col("gold_norms")), *more)).drop("__v")
 
 
 def primary_gate(facts: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def primary_gate(facts: DataFrame) -> DataFrame:
     facts: fact, gold_norms, selected_id, mentions, answer_visible_before_event, full_correct, vector.
     """
     wrong = (~F.coalesce(F.col("full_correct"), F.lit(False)), "full-wrong")
-    return facts.withColumn("skip_reason", _skips(F.col("mentions"), wrong, (F.col("vector").isNull(), "no-vector")))
+    return facts.withColumn("skip_reason", skip_reason(F.col("mentions"), wrong, (F.col("vector").isNull(), "no-vector")))
 
 
 def coverage(gated: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def union_by_name(*frames: DataFrame) -> DataFrame:
 
 def write_union_csv(spark: SparkSession, path: str, *frames: DataFrame) -> None:
     """CSV of all frames' rows under the union of their columns; no frames, or none with a row, give an empty file."""
-    if not frames or (rows := union_by_name(*frames)).isEmpty():
+    if not frames or not (rows := union_by_name(*frames)).take(1):
         write_text(spark, path, "")
     else:
         write_csv(rows, path)
@@ -263,4 +263,4 @@ def write_text(spark: SparkSession, path: str, value: str) -> None:
 
 
 def write_document(spark: SparkSession, path: str, document: dict) -> None:
-    write_text(spark, path, json.dumps(document, sort_keys=True, ensure_ascii=False))
+    write_text(spark, path, json.dumps(document, sort_keys=True, ensure_ascii=False, default=str))
