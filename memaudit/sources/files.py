@@ -155,7 +155,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
     """Rows of frames with unlike columns under the union of these."""
-    out = frames[0]
+    out = frames[0].select("*")  # a typed frame, such as a range, would keep its type
     for df in frames[1:]:
         out = out.unionByName(df, allowMissingColumns=True)
     return out
