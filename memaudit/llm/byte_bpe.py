@@ -17,7 +17,7 @@ import re
 import sys
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +36,26 @@ CACHE_UNIT_CHARS = 64
 _CUT = re.compile(r"(?<=\S) ")
 _ODD = re.compile(r"\s ")
 
+#: Characters of the texts that are cut into units at once; a longer text is taken in pieces of about this size.
+GROUP_CHARS = 1 << 20
+
 
 def _split(text: str) -> list[str]:
     return text.split(" ")
 
 
+def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in pieces that end before a space after a character that is none, and whether each is the last."""
+    at = 0
+    while len(text) - at > GROUP_CHARS:
+        cut = text.find(" ", at + GROUP_CHARS)
+        while cut > 0 and text[cut - 1].isspace():
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        yield text[at:cut], False
+        at = cut
+    yield text[at:] if at else text, True
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -114,33 +129,52 @@ class ByteBpe:
         for u, own in zip(other, parts):
             cache[u] = b"".join([found[p] for p in own])
 
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+    def encode_batch(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; some 256 texts or GROUP_CHARS are in work at once."""
+        group, chars, done = [], 0, []
+        for text in texts:
+            for piece in _pieces(text):
+                group.append(piece)
+                chars += len(piece[0])
+                if len(group) >= 256 or chars >= GROUP_CHARS:
+                    yield from self._joined(group, done)
+                    group, chars = [], 0
+        yield from self._joined(group, done)
+
+    def _joined(self, group: list[tuple[str, bool]], done: list[bytes]) -> Iterator[bytes]:
+        """Whole texts' ids; done holds those of the pieces before of a text that goes on."""
+        for (_, last), ids in zip(group, self._encode_pieces([piece for piece, _ in group])):
+            done.append(ids)
+            if last:
+                yield b"".join(done)
+                done.clear()
+
+    def _encode_pieces(self, texts: list[str]) -> Iterator[bytes]:
         cache = self.cache  # a unit's text after its leading space -> ids with that space
-        for at in range(0, len(texts), 256):
-            cut = [(_CUT.split if _ODD.search(text) else _split)(text) for text in texts[at : at + 256]]
-            heads = [b"".join(self._encode_tokens(self.split(units[0]))) for units in cut]
-            for units in cut:
-                del units[0]
-            new = set().union(*cut).difference(cache)
-            if len(cache) + len(new) > CACHE_UNITS:
-                cache.clear()
-                new = set().union(*cut)
-            self._learn(new)
-            get = cache.__getitem__
-            for head, units in zip(heads, cut):
-                yield head + b"".join(map(get, units))
-            for u in new:
-                if len(u) > CACHE_UNIT_CHARS:
-                    del cache[u]
-                    cache.pop(u[:-1], None)
+        cut = [(_CUT.split if _ODD.search(text) else _split)(text) for text in texts]
+        heads = [b"".join(self._encode_tokens(self.split(units[0]))) for units in cut]
+        for units in cut:
+            del units[0]
+        new = set().union(*cut).difference(cache)
+        if len(cache) + len(new) > CACHE_UNITS:
+            cache.clear()
+            new = set().union(*cut)
+        self._learn(new)
+        get = cache.__getitem__
+        for head, units in zip(heads, cut):
+            yield head + b"".join(map(get, units))
+        for u in new:
+            if len(u) > CACHE_UNIT_CHARS:
+                del cache[u]
+                cache.pop(u[:-1], None)
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(next(self.encode_batch([text])), "<u4").tolist()
 
     def decode(self, ids) -> bytes:
         """Bytes of the ids; an id outside the vocabulary is an error."""
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist() if isinstance(ids, bytes) else ids))
+        all_ids, get = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else np.asarray(ids, "<u4"), self.pieces.__getitem__
+        return b"".join([b"".join(map(get, all_ids[at : at + GROUP_CHARS].tolist())) for at in range(0, len(all_ids), GROUP_CHARS)])
 
 
 #: The encoder that this worker process built last; its cache serves all tasks of the process.

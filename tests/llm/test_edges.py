@@ -191,11 +191,31 @@ def test_system_turn_stays_beyond_the_budget(spark):
     assert sum(len(w.loss) for w in windows) == 2
 
 
-# PII.
+def test_long_texts_are_encoded_in_pieces(spark, monkeypatch):
+    import struct
+
+    from memaudit.llm import byte_bpe
+    from .test_llm import reference_encoding
+
+    enc = reference_encoding()
+    bpe = tokenizer(spark).maker()()
+    r = random.Random(12)
+    odd = ["".join(r.choice([" ", "  ", "\n", "a", "B", "'s", "é", "好", ".", " \n ", "\xa0", "7", " word", "\x00", "don't"]) for _ in range(n)) for n in (0, 1, 7, 300, 3000)]
+    for chars in (1, 5, 64, 1 << 20):
+        monkeypatch.setattr(byte_bpe, "GROUP_CHARS", chars)
+        for text, ids in zip(odd, bpe.encode_batch(odd)):
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == enc.encode_ordinary(text)
+            assert bpe.decode(ids) == text.encode()
+    monkeypatch.setattr(byte_bpe, "GROUP_CHARS", 1 << 20)
+    text = " ".join(words_of(4, 2_000_000, 5000))
+    tracemalloc.start()
+    ids = next(bpe.encode_batch([text]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert bpe.decode(ids) == text.encode() and peak < 100 << 20
 
 
-def layout(s):
-    return re.sub("[0-9]", "9", s)
+# PII.
 
 
 def test_every_date_maps_to_a_date_of_its_own(spark):
