@@ -88,6 +88,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends rows to Python in batches of at most BATCH_BYTES: 10,000 long texts, or Spark's
+    64 MB a batch and worker, are more than a small executor has room for. A lower setting stays."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def batches(rows: Iterable[Sequence], schema: pa.Schema, weigh=None, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Row tuples to record batches of bounded size; weigh(row) gives a row's bytes (64 if not given)."""
     columns: list[list] = [[] for _ in schema]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import batches
+from ._common import batches, small_batches
 
 assert array("I").itemsize == 4 and sys.byteorder == "little"
 
@@ -212,7 +212,7 @@ def encode_decode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id",
     are kept as they are; other columns are not read. Texts are encoded whole, whatever their length.
     """
     make = tokenizer.maker()
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    source = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = source.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 

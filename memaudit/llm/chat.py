@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import batches
+from ._common import batches, small_batches
 from .byte_bpe import Tokenizer
 
 _ESCAPED = re.compile(r"\\(.)", re.S)
@@ -78,7 +78,7 @@ def chat_windows(rows: DataFrame, tokenizer: Tokenizer, budget: int = 2048, hist
     """
     make = tokenizer.maker()
     kind = rows.schema[id_col].dataType
-    source = rows.select(F.col(id_col).alias("conv"), F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    source = small_batches(rows).select(F.col(id_col).alias("conv"), F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = source.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").drop("turn")
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     schema = pa.schema([(id_col, to_arrow_type(kind)), ("window_no", pa.int64()), ("text", pa.string()), ("n_turns", pa.int32()), ("n_repeated", pa.int32()), ("n_tokens", pa.int64()), ("loss", span)])

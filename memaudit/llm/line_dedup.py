@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType
 
-from ._common import batches, discard, free_name, stored
+from ._common import batches, discard, free_name, small_batches, stored
 
 _WRAP = 1 << 63
 #: Rows up to which the table of further copies of a text is broadcast.
@@ -36,7 +36,7 @@ def line_key(line: bytes) -> bytes:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("th", F.xxhash64("text"))
+    return small_batches(docs).select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 def _line_rows(keyed: DataFrame, min_chars: int) -> DataFrame:
@@ -130,8 +130,9 @@ def keep_mask(bitmap: bytes | None, lines: int) -> np.ndarray:
 def _further_copies(keyed: DataFrame) -> DataFrame:
     """doc, th, head: each document whose text is also that of a document with a lesser id, the least one (head)."""
     ids = keyed.select("doc", "th", F.xxhash64(F.lit(1), F.col("text")).alias("th2"))  # seeded otherwise: 128 bits with th
-    heads = ids.groupBy("th", "th2").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return stored(ids.join(heads, ["th", "th2"]).where(~F.col("doc").eqNullSafe(F.col("head"))).select("doc", "th", "head").distinct(), "copies")
+    heads = ids.groupBy("th", "th2").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1")
+    further = ids.join(heads, ["th", "th2"]).where(~F.col("doc").eqNullSafe(F.col("head")))
+    return stored(further.select("doc", "th", "head").distinct(), "copies")
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", copies_vote: bool = True) -> DataFrame:

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import batches, discard, joined_hot, stored, without_rows
+from ._common import batches, discard, joined_hot, small_batches, stored, without_rows
 from .components import components
 
 #: Words whose hash a worker remembers; reaching it empties the memory.
-WORDS = 200_000
+WORDS = 100_000
 #: Rows up to which a table of pairs may be broadcast (about 40 bytes each); beyond it texts are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 #: Documents that one task compares with one leader.
@@ -170,7 +170,7 @@ def _set_id(h: np.ndarray) -> int:
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    return small_batches(docs).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -211,7 +211,7 @@ def _keys(source: DataFrame, n: int, starts: list[int], alloc: list[tuple[int, i
                 h = shingle(text)
                 if not len(h) or (node := _set_id(h)) in seen:
                     continue
-                if len(seen) > 200_000:
+                if len(seen) > 100_000:
                     seen.clear()
                 seen.add(node)
                 band = bisect_right(starts, len(h)) - 1

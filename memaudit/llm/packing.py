@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import batches
+from ._common import batches, small_batches
 
 #: Tokens that a task holds and packs at once.
 GROUP_TOKENS = 2_000_000
@@ -103,7 +103,7 @@ def pack(tokens: DataFrame, window: int = 2048, eos: int = 50256, pad: int = 502
     kind = {2: "<u2", 4: "<u4"}[id_bytes]
     if not 0 <= max(eos, pad) < 1 << 8 * id_bytes:
         raise ValueError("eos and pad must fit id_bytes")
-    source = tokens.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
+    source = small_batches(tokens).select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).alias("ids"))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import batches, stored
+from ._common import batches, small_batches, stored
 
 #: Shares are smoothed by as many characters (or words) of typical text, so short texts lie near the centre.
 PSEUDO = 120
@@ -55,7 +55,7 @@ def feature_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batches(((key, features(text)) for b in stream for key, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist())), schema, lambda r: 128)
 
-    return docs.select(F.col(id_col), _text(docs, text_col).alias("text")).mapInArrow(run, f"{id_col} {kind.simpleString()}, x array<double>")
+    return small_batches(docs).select(F.col(id_col), _text(docs, text_col).alias("text")).mapInArrow(run, f"{id_col} {kind.simpleString()}, x array<double>")
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5):

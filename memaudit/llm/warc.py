@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import batches
+from ._common import batches, small_batches
 
 #: Date of responses that come without one, so that results repeat.
 UNDATED = "1970-01-01T00:00:00Z"
@@ -101,7 +101,7 @@ def derivatives(records: DataFrame, id_col: str = "page_id") -> DataFrame:
     types = [pa.string()] * 10 + [pa.int64()]
     schema = pa.schema([(id_col, to_arrow_type(kind)), *zip(names, types)])
     empty = F.lit("")
-    source = records.select(F.col(id_col).alias("id"), *[F.coalesce(F.col(c).cast("string"), empty).alias(c) for c in ("record_id", "target_uri", "date", "http_headers", "payload")])
+    source = small_batches(records).select(F.col(id_col).alias("id"), *[F.coalesce(F.col(c).cast("string"), empty).alias(c) for c in ("record_id", "target_uri", "date", "http_headers", "payload")])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
