@@ -71,8 +71,8 @@ def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, r
     return docs.join(F.broadcast(gone) if gone.count() <= rows else gone, same, "left_anti")
 
 
-def joined_hot(left: DataFrame, right: DataFrame, on: str, rows: str, heavy: int = 10_000) -> DataFrame:
-    """Left join on a key that is unique in right. A key that has more than `heavy` rows of left (right's column `rows`
+def joined_hot(left: DataFrame, right: DataFrame, on: str | list[str], rows: str, heavy: int = 10_000) -> DataFrame:
+    """Left join on a key that is unique in right, without nulls. A key that has more than `heavy` rows of left (right's column `rows`
     says how many) is broadcast, so it isn't dealt to one task; there are at most count(left) / heavy of them. The
     others are joined by a shuffle, with at most `heavy` rows a key."""
     hot = right.where(F.col(rows) > heavy)

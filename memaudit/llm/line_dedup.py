@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType
 
-from ._common import batches, discard, free_name, small_batches, stored
+from ._common import batches, discard, free_name, joined_hot, small_batches, stored
 
 _WRAP = 1 << 63
 #: Rows up to which the table of further copies of a text is broadcast.
@@ -131,7 +131,7 @@ def _further_copies(keyed: DataFrame) -> DataFrame:
     """doc, th, head: each document whose text is also that of a document with a lesser id, the least one (head)."""
     ids = keyed.select("doc", "th", F.xxhash64(F.lit(1), F.col("text")).alias("th2"))  # seeded otherwise: 128 bits with th
     heads = ids.groupBy("th", "th2").agg(F.min("doc").alias("head"), F.count("*").alias("n")).where("n > 1")
-    further = ids.join(heads, ["th", "th2"]).where(~F.col("doc").eqNullSafe(F.col("head")))
+    further = joined_hot(ids, heads, ["th", "th2"], "n").where(F.col("n").isNotNull() & ~F.col("doc").eqNullSafe(F.col("head")))
     return stored(further.select("doc", "th", "head").distinct(), "copies")
 
 
