@@ -10,11 +10,13 @@ from .byte_bpe import Tokenizer, encode_decode
 from .chat import chat_windows, read_back
 from .decontaminate import contamination
 from .exact_topk import exact_topk
+from .language_id import identify_languages
 from .line_dedup import apply_bitmaps, keep_bitmaps
 from .ngram_join import jaccard_components
 from .packing import pack
 from .pii import pseudonymize
 from .quality import classify
+from .retention import retention
 from .warc import derivatives, responses
 
 
@@ -75,6 +77,17 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(table(spark, sf_dir, "pages")))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(table(spark, sf_dir, "documents"))
+
+
+def op13_cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("click_id").cast("string"))
+    late = F.coalesce(F.when(h % 3 == 0, h % 100), F.lit(0)).cast("int")
+    arrival = F.col("arrived_at") + F.make_dt_interval(days=late)
+    return retention(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "clients"), known_by="2024-02-15 00:00:00", arrival=arrival)
+
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op2_ngram_join": op2_ngram_join,
@@ -86,8 +99,21 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op12_language_id": op12_language_id,
+    "op13_cohort_retention": op13_cohort_retention,
 }
 
+#: crc(i, crc) for the distinct ids i of a table ids(i): CRC-32 of their decimal text, byte by byte with the usual table.
+_CRC = """r AS (
+  SELECT i AS b, 0 AS k, CAST(i AS BIGINT) AS c FROM range(256) t(i)
+  UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM r WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM r WHERE k = 8
+), crc AS (
+  SELECT i, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(i AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(t[CAST(xor(c, x) & 255 AS BIGINT) + 1], c >> 8)), 4294967295) AS crc
+  FROM ids, crc_table
+)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_topk": """
 WITH v AS (
@@ -139,5 +165,28 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op13_cohort_retention": f"""
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT click_id AS i FROM clicks WHERE click_id IS NOT NULL UNION SELECT DISTINCT client_id FROM clicks WHERE client_id IS NOT NULL
+), {_CRC}, e AS (
+  SELECT client_id, ts, kind, CASE WHEN value IS NOT NULL AND isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) ELSE 0 END AS cents,
+         arrived_at + to_days(CAST(CASE WHEN crc % 3 = 0 THEN crc % 100 ELSE 0 END AS INTEGER)) AS arrives
+  FROM (SELECT DISTINCT * FROM clicks WHERE ts IS NOT NULL AND client_id IS NOT NULL) LEFT JOIN crc ON i = click_id
+), k AS (
+  SELECT 0 AS state, * FROM e WHERE arrives < TIMESTAMP '2024-02-15 00:00:00' UNION ALL SELECT 1, * FROM e
+), s AS (
+  SELECT state, client_id, min(ts) AS start, CAST(floor(epoch_us(date_trunc('day', min(ts))) / 86400000000) AS BIGINT) AS cohort FROM k WHERE kind = 'signup' GROUP BY 1, 2
+), m AS (
+  SELECT a.client_id FROM s a JOIN s b ON a.client_id = b.client_id AND a.state = 0 AND b.state = 1 AND a.cohort <> b.cohort
+), g AS (
+  SELECT client_id, min(segment) AS segment FROM clients GROUP BY 1
+), u AS (
+  SELECT k.state, coalesce(g.segment, '') AS segment, s.cohort, CAST((epoch_us(k.ts) - epoch_us(s.start)) // 86400000000 AS BIGINT) AS period, k.client_id, sum(k.cents) AS cents
+  FROM k JOIN s ON k.state = s.state AND k.client_id = s.client_id AND k.ts >= s.start LEFT JOIN g ON g.client_id = k.client_id GROUP BY 1, 2, 3, 4, 5
+)
+SELECT CAST(state AS INTEGER) AS state, segment, cohort, period, count(*) AS users, CAST(sum(crc) AS BIGINT) AS users_crc32,
+       count(m.client_id) AS moved, CAST(sum(cents) AS BIGINT) AS cents
+FROM u JOIN crc ON i = u.client_id LEFT JOIN m ON m.client_id = u.client_id GROUP BY 1, 2, 3, 4
 """,
 }
