@@ -15,6 +15,7 @@ from .line_dedup import apply_bitmaps, keep_bitmaps
 from .ngram_join import jaccard_components
 from .packing import pack
 from .pii import pseudonymize
+from .prefix_trie import conversation_trie
 from .quality import classify
 from .retention import retention
 from .warc import derivatives, responses
@@ -77,6 +78,12 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(table(spark, sf_dir, "pages")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    nodes = conversation_trie(table(spark, sf_dir, "conversations"), base=c - c % 20, shared=F.crc32(c.cast("string")) % 4)
+    return nodes.drop("first", "last")
+
+
 def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -99,6 +106,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_quality": op9_quality,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_language_id": op12_language_id,
     "op13_cohort_retention": op13_cohort_retention,
 }
@@ -165,6 +173,41 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op11_prefix_trie": f"""
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT conv_id AS i FROM conversations WHERE conv_id IS NOT NULL
+), {_CRC}, t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), k AS (
+  SELECT *, dense_rank() OVER (ORDER BY role, text) AS tok, len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words FROM t
+), c AS (
+  SELECT i AS conv_id, crc % 4 AS h, i - i % 20 AS base FROM crc
+), x AS (
+  SELECT c.conv_id, 0 AS own, p, tok FROM c JOIN k ON k.conv_id = c.base AND p <= h
+  UNION ALL SELECT c.conv_id, 1, p, tok FROM c JOIN k ON k.conv_id = c.conv_id AND p > h
+), l AS (
+  SELECT c.conv_id, coalesce(list(tok ORDER BY own, p) FILTER (WHERE tok IS NOT NULL), []) AS path FROM c LEFT JOIN x ON x.conv_id = c.conv_id GROUP BY 1
+), pre AS (
+  SELECT conv_id, path[1:d] AS path FROM (SELECT conv_id, path, unnest(range(len(path) + 1)) AS d FROM l)
+), n AS (
+  SELECT path, min(conv_id) AS conv_id, count(*) AS n_convs FROM pre GROUP BY path
+), ch AS (
+  SELECT path[1:len(path) - 1] AS path, count(*) AS n_children FROM n WHERE len(path) > 0 GROUP BY 1
+), w AS (
+  SELECT tok, any_value(words) AS words FROM k GROUP BY tok
+), f AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN len(n.path) = 0 THEN 0 ELSE (n_convs - 1) * words END AS saved
+  FROM n LEFT JOIN ch ON ch.path = n.path LEFT JOIN w ON w.tok = n.path[-1]
+), a AS (
+  SELECT path[1:d] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM f) GROUP BY 1
+), e AS (
+  SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM l GROUP BY path
+)
+SELECT f.conv_id, CAST(len(f.path) AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children, a.n_leaves,
+       CAST(a.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM f JOIN a ON a.path = f.path LEFT JOIN e ON e.path = f.path LEFT JOIN n u ON len(f.path) > 0 AND u.path = f.path[1:len(f.path) - 1]
 """,
     "op13_cohort_retention": f"""
 WITH RECURSIVE ids AS (

@@ -25,15 +25,17 @@ def _accumulated(ufunc, values: np.ndarray, inverse, new: np.ndarray, carry: int
     return np.where(at < 0, ufunc(run, carry), inverse(run, inverse(run[at], values[at])))
 
 
-def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str], group: str | None = None, xors: dict[str, str] | None = None, name: str = "scan") -> DataFrame:
+def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str], group: str | None = None, xors: dict[str, str] | None = None, keep: Sequence[str] | None = None, name: str = "scan") -> DataFrame:
     """df with a long column per entry of sums and xors (new name: long column): the sum, or exclusive or, of the column
     over the rows up to and with this one in `order`, within its group.
 
     group is a long column without nulls and the first of order. The order must be total up to rows that are equal in
-    all columns. df is read twice (the range partitioner samples it); columns named scan_* are reserved.
+    all columns. df is read twice (the range partitioner samples it); of its columns only those of keep (all if not given)
+    go further than the sort; columns named scan_* are reserved. The rows are stored: discard() of the result frees them.
     """
     xors = xors or {}
-    columns, kinds = df.columns, [(c, np.add, np.subtract, v) for c, v in sums.items()] + [(c, np.bitwise_xor, np.bitwise_xor, v) for c, v in xors.items()]
+    columns = list(keep or df.columns)
+    kinds = [(c, np.add, np.subtract, v) for c, v in sums.items()] + [(c, np.bitwise_xor, np.bitwise_xor, v) for c, v in xors.items()]
     added = [k[0] for k in kinds]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,8 +58,8 @@ def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str],
             yield pa.RecordBatch.from_arrays([*b.columns, *out, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows))], names=[*columns, *added, "scan_part", "scan_at"])
             at += b.num_rows
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *(f"{c} long" for c in added), "scan_part int", "scan_at long"])
-    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema), name)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema), *(f"{c} long" for c in added), "scan_part int", "scan_at long"])
+    rows = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns).mapInArrow(run, schema), name)
     first = F.min_by(group, "scan_at") if group else F.lit(0)
     ends = rows.groupBy("scan_part").agg(first.alias("first"), F.max_by(F.struct((F.col(group) if group else F.lit(0)).cast("long").alias("key"), *added), "scan_at").alias("last"))
     offsets, key, total = [], None, dict.fromkeys(added, 0)
@@ -71,4 +73,6 @@ def running(df: DataFrame, order: Sequence[str | Column], sums: dict[str, str],
     joined = rows.join(F.broadcast(before), "scan_part")
     mine = (F.col(group) if group else F.lit(0)) == F.col("scan_key")
     carried = lambda c: F.when(mine, F.col(f"scan_{c}")).otherwise(F.lit(0))
-    return joined.select(*columns, *[(F.col(c) + carried(c)).alias(c) for c in sums], *[F.col(c).bitwiseXOR(carried(c)).alias(c) for c in xors])
+    out = joined.select(*columns, *[(F.col(c) + carried(c)).alias(c) for c in sums], *[F.col(c).bitwiseXOR(carried(c)).alias(c) for c in xors])
+    out._scratch = rows._scratch
+    return out
