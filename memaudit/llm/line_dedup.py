@@ -2,9 +2,9 @@
 
 Every document gives one row per distinct line key: the key's 128-bit hash and the key's positions. The rows are range
 partitioned by (hash, document), so even one line that a third of all documents share is cut over many tasks, and are
-sorted within each task by hash, then document. A task then streams its runs of equal hashes with memory for fewer than
-min_docs rows, and decides each run that lies inside the partition. Only a partition's first and last run can go on in
-a neighbour; their counts and undecided rows (at most 2 x min_docs a partition) are settled together afterwards. What
+sorted within each task by hash, then document. A task then streams its runs of equal hashes, with memory for the rows
+of fewer than min_docs documents, and decides each run that lies inside the partition. Only a partition's first and last run can go on in
+a neighbour; their counts and undecided rows are settled together afterwards. What
 comes back is a compressed keep bitmap per document, never text.
 """
 
@@ -25,6 +25,8 @@ from pyspark.sql.types import BinaryType
 from ._common import batches, discard, free_name, joined_hot, small_batches, stored
 
 _WRAP = 1 << 63
+#: Rows of a run that a task holds while they are of fewer than min_docs documents.
+HELD_ROWS = 10_000
 #: Rows up to which the table of further copies of a text is broadcast.
 BROADCAST_ROWS = 400_000
 
@@ -62,9 +64,9 @@ def _line_rows(keyed: DataFrame, min_chars: int) -> DataFrame:
 
 
 def _settle_runs(lines: DataFrame, min_docs: int, first_stays: bool) -> DataFrame:
-    """kind 0: positions to drop; kind 1: a boundary run's count and first document; kind 2: a row left open."""
+    """kind 0: positions to drop; kind 1: a boundary run's inner count, first and last document; kind 2: a row left open."""
     kind = lines.schema["doc"].dataType
-    schema = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", to_arrow_type(kind)), ("th", pa.int64()), ("lines", pa.int32()), ("pos", pa.list_(pa.int32())), ("n", pa.int64()), ("lead", pa.bool_())])
+    schema = pa.schema([("kind", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc", to_arrow_type(kind)), ("th", pa.int64()), ("lines", pa.int32()), ("pos", pa.list_(pa.int32())), ("n", pa.int64()), ("end", to_arrow_type(kind))])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def drop(row, lead=False):
@@ -72,29 +74,39 @@ def _settle_runs(lines: DataFrame, min_docs: int, first_stays: bool) -> DataFram
             if pos:
                 yield (0, *row[:5], pos, None, None)
 
-        def close(held, n, lead, boundary):
+        def count(n, lead, last):
+            """A boundary run's documents between its first and its last one, which may go on in a neighbour."""
+            return (1, *lead[:5], None, n - (1 if lead[2] == last[0] else 2), last[0])
+
+        def open_rows(held):
+            return ((2, *row[:6], None, None) for row in held)
+
+        def close(held, n, lead, last, boundary):
             """The end of a run: held are its rows not emitted so far."""
             if boundary:
-                yield (1, *lead[:5], None, n, None)
-                for row in held:
-                    yield (2, *row[:6], None, row is lead)
+                yield count(n, lead, last)
+                yield from open_rows(held)
                 if first_stays and n >= min_docs:
-                    yield (2, *lead[:6], None, True)
+                    yield from open_rows([lead])
 
         def rows():
-            key, held, n, lead, first = None, [], 0, None, True
+            key, held, n, lead, last, first, cut = None, [], 0, None, None, True, False
             for batch in stream:
                 for row in zip(*(c.to_pylist() for c in batch.columns)):
                     if row[:2] != key:
                         if key is not None:
-                            yield from close(held, n, lead, first)
+                            yield from close(held, n, lead, last, first or cut)
                             first = False
-                        key, held, n, lead, last = row[:2], [], 0, row, None
+                        key, held, n, lead, last, cut = row[:2], [], 0, row, None, False
                     if row[2:4] == last:
                         continue  # the same document once more
-                    last, n = row[2:4], n + 1
+                    n += last is None or row[2] != last[0]  # further texts of one id are no further document
+                    last = row[2:4]
                     if n < min_docs:
                         held.append(row)
+                        if len(held) >= HELD_ROWS:  # one id with very many texts: these rows are settled with the boundary runs'
+                            yield from open_rows(held)
+                            held, cut = [], True
                         continue
                     for one in held:
                         if one is not lead or not first_stays or not first:
@@ -105,11 +117,11 @@ def _settle_runs(lines: DataFrame, min_docs: int, first_stays: bool) -> DataFram
             if key is not None:
                 # The last run of a partition: its lead row may have been dropped as the first of the run only if
                 # the run began in this partition, which holds unless it is the partition's first run too.
-                yield from close(held, n, lead, True) if first or not first_stays or n < min_docs else iter([(1, *lead[:5], None, n, None)])
+                yield from close(held, n, lead, last, True) if first or cut or not first_stays or n < min_docs else iter([count(n, lead, last)])
 
         return batches(rows(), schema, lambda r: 80 + 4 * len(r[6] or ()))
 
-    return lines.mapInArrow(run, f"kind int, h1 long, h2 long, doc {kind.simpleString()}, th long, lines int, pos array<int>, n long, lead boolean")
+    return lines.mapInArrow(run, f"kind int, h1 long, h2 long, doc {kind.simpleString()}, th long, lines int, pos array<int>, n long, end {kind.simpleString()}")
 
 
 @F.pandas_udf(BinaryType())
@@ -140,8 +152,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
 
     A line's key is the line stripped of ASCII white space with A-Z lower-cased; keys of fewer than min_chars code
     points are left alone. A key found in at least min_docs documents loses all its lines (keep="none") or all but the
-    first by document and position (keep="first"). Rows of equal id and text are one document; a null id is an id like
-    others; a null text is one empty line; other columns are not read; an empty table gives no rows. Without copies_vote
+    first by document and position (keep="first"). Documents are counted by id: rows of one id are one document, whatever
+    their texts (each text loses its own lines); a null id is an id like others; a null text is one empty line; other columns are not read; an empty table gives no rows. Without copies_vote
     all documents of one text count as one, and lose the same.
     """
     if keep not in ("none", "first") or min_docs < 1:
@@ -156,8 +168,10 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", min_ch
     order = ["h1", "h2", "doc", "th"]
     runs = stored(_settle_runs(rows.repartitionByRange(*order).sortWithinPartitions(*order), min_docs, keep == "first"), "line-runs")
     discard(rows)
-    totals = runs.where("kind = 1").groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min(F.struct("doc", "th")).alias("head")).where(F.col("total") >= min_docs)
-    late = runs.where("kind = 2").drop("n", "kind").dropDuplicates(order).join(totals, ["h1", "h2"])
+    ends = F.array(F.struct(F.col("doc").alias("doc")), F.struct(F.col("end").alias("doc")))  # at most two a partition
+    total = F.sum("n") + F.size(F.array_distinct(F.flatten(F.collect_list(ends))))
+    totals = runs.where("kind = 1").groupBy("h1", "h2").agg(total.alias("total"), F.min(F.struct("doc", "th")).alias("head")).where(F.col("total") >= min_docs)
+    late = runs.where("kind = 2").drop("n", "kind", "end").dropDuplicates(order).join(totals, ["h1", "h2"])
     if keep == "first":
         heads = F.col("head").eqNullSafe(F.struct("doc", "th"))
         late = late.withColumn("pos", F.when(heads, F.slice("pos", 2, F.greatest(F.size("pos") - 1, F.lit(0)))).otherwise(F.col("pos")))

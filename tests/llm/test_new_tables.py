@@ -241,7 +241,7 @@ def test_retention_of_chunks_and_small_buffers(spark, monkeypatch):
     from memaudit.llm import retention as module
 
     monkeypatch.setattr(module, "COMBINE", 50)
-    ids = range(-3000, 7000)  # three chunks; one client has a third of the rows
+    ids = range(-3000, 7000)  # ten chunks; one client has a third of the rows
     rows = [(c, START + DAY * (c % 3), START, c, "signup", 1.0, None) for c in ids] + [(10**6 + i, START + DAY * (5 + i % 9), START, 5, "view", 0.25, None) for i in range(5000)]
     clients = [(c, "s") for c in ids]
     got = found(module.retention(spark.createDataFrame(rows, CLICKS).repartition(4), spark.createDataFrame(clients, "client_id long, segment string")))
@@ -264,7 +264,40 @@ def test_containers_round_trip():
     from memaudit.llm.retention import pack, unpack
 
     r = np.random.default_rng(1)
-    for n in (0, 1, 255, 256, 257, 4095, 4096):
-        bits = np.sort(r.choice(4096, n, replace=False))
+    for n in (0, 1, 63, 64, 65, 1023, 1024):
+        bits = np.sort(r.choice(1024, n, replace=False))
         assert unpack(pack(bits)).tolist() == bits.tolist()
-        assert len(pack(bits)) <= 513
+        assert len(pack(bits)) <= 129
+
+
+# Line dedup by id.
+
+
+def test_lines_count_documents_by_id(spark, monkeypatch):
+    from memaudit.llm import line_dedup
+
+    docs = "doc_id long, text string"
+
+    def lines(texts, **options):
+        df = spark.createDataFrame(texts, docs).repartition(5)
+        return collections.Counter((x.doc_id, x.kept) for x in line_dedup.apply_bitmaps(df, line_dedup.keep_bitmaps(df, 10, **options)).collect())
+
+    def plain(texts):
+        seen = collections.defaultdict(set)
+        for d, t in texts:
+            for line in t.split("\n"):
+                seen[line].add(d)
+        return collections.Counter((d, "\n".join(x for x in t.split("\n") if len(seen[x]) < 10)) for d, t in texts)
+
+    one = [(5, f"same\nown {i}") for i in range(10)]
+    assert lines(one) == plain(one) and sum("same" in k for _, k in lines(one)) == 10  # ten texts of one document
+    nine = one + [(100 + i, f"same\nother {i}") for i in range(8)]
+    assert lines(nine) == plain(nine)
+    ten = nine + [(None, "same\nnull"), (None, "same")]
+    assert lines(ten) == plain(ten) and not any(k.startswith("same\n") for _, k in lines(ten))
+    monkeypatch.setattr(line_dedup, "HELD_ROWS", 7)
+    many = [(i % 9 or None, f"same\n{i}") for i in range(400)] + [(d, f"common\n{d} {j}\nrare") for d in range(20) for j in range(15)]
+    for texts in (many, many + [(77, "rare\nsame")]):
+        assert lines(texts) == plain(texts)
+    kept = lines(many + [(77, "same")], keep="first")
+    assert sum(k.split("\n").count("same") for (_, k), n in kept.items() for _ in range(n)) == 1
