@@ -139,7 +139,7 @@ def retention(clicks: DataFrame, clients: DataFrame, known_by: str = "2024-02-15
     Rows of clicks that are equal in all columns count once; rows without ts or client_id don't count; a null arrival is
     known in state 1 only; a null kind is no start; a null or non-finite value adds 0. A client's segment is the least
     that clients gives it, '' if none or null. Extra columns of clients aren't read; those of clicks only tell rows
-    apart. Empty tables give no rows. A client with more events than a mean partition is dealt over several; no table
+    apart. Empty tables give no rows. A client with more events than a quarter of a mean partition is dealt over several; no table
     that grows with the input is broadcast or collected.
     """
     spark = clicks.sparkSession
@@ -150,9 +150,9 @@ def retention(clicks: DataFrame, clients: DataFrame, known_by: str = "2024-02-15
     cohort = lambda start: F.floor(F.floor(F.col(start) / F.lit(DAY)) / cohort_days)
     per = stored(_starts(known.select(*own), cut, start_kind), "starts")
     total = per.agg(F.sum("n")).first()[0] or 1
-    # A client with more than a partition's share of the rows gets so many salts as shares: at most one hot client, and two salts, a partition.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salts = F.ceil(F.col("n") * F.lit(parts) / F.lit(total))
+    # A client with more than a quarter of a partition's share of the rows is dealt out in such quarters: at most four hot clients and eight pieces a partition.
+    quarters = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.ceil(F.col("n") * F.lit(quarters) / F.lit(total))
     segments = clients.where(F.col("client_id").isNotNull()).groupBy(F.col("client_id").cast("long").alias("client")).agg(F.min(F.col("segment").cast("string")).alias("segment"))
     members = per.where("start1 IS NOT NULL").join(segments, "client", "left").select("client", "start0", "start1", salts.alias("salts"), F.coalesce("segment", F.lit("")).alias("segment"), F.lit(1).cast("long").alias("one"))
     members = stored(members.withColumn("cohort", cohort("start1")), "members")
@@ -161,7 +161,7 @@ def retention(clicks: DataFrame, clients: DataFrame, known_by: str = "2024-02-15
     entry = F.struct(bit, F.crc32(F.col("client").cast("string")).alias("crc"), F.col("start0").isNotNull().alias("state0"), F.coalesce(cohort("start0") == F.col("cohort"), F.lit(False)).alias("same"))
     tables = numbered.groupBy(F.shiftright("number", CHUNK_BITS).alias("chunk")).agg(F.collect_list(entry).alias("table"))  # at most CHUNK entries
     # Each event meets its client's starts.
-    hot = numbered.where("salts > 1").select("client", "salts")  # fewer than partitions
+    hot = numbered.where("salts > 1").select("client", "salts")  # fewer rows than quarters of partitions
     cents = F.when(F.abs("value") < F.lit(float("inf")), F.floor(F.col("value") * 100 + 0.5)).otherwise(F.lit(0)).cast("long")
     events = known.dropDuplicates().select(*own, cents.alias("cents"), F.xxhash64("click_id", "ts").alias("spread")).join(F.broadcast(hot), "client", "left")
     events = events.select("client", "at", "arrives", "cents", F.coalesce(F.pmod("spread", "salts"), F.lit(0)).alias("salt"))
