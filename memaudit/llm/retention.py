@@ -1,10 +1,10 @@
 """Cohort retention: cells of compressed chunked bitmaps over dense client numbers.
 
 Clients with a start are numbered densely in the order of segment, cohort and id (range partition, carried counts), so a
-cell's users lie in few chunks of 4,096 numbers. Every known event of such a client sets a bit of its cell (state,
+cell's users lie in few chunks of 1,024 numbers. Every known event of such a client sets a bit of its cell (state,
 segment, cohort, period) in the client's chunk. Tasks combine events into one container per cell and chunk - the set
-bits as 16-bit numbers, or a plain bitmap where that is shorter - before anything is shuffled; containers of a chunk then
-meet sorted by cell and are OR-merged as a stream. Users are population counts; users that moved between cohorts are the
+bits as 16-bit numbers, or a plain bitmap where that is shorter - before anything is shuffled; containers of a chunk's
+cells then meet sorted by cell, beside the chunk's table, and are OR-merged as a stream. Users are population counts; users that moved between cohorts are the
 intersection with a bitmap made of the chunk's state bitmaps; crc32 sums look the set bits up in the chunk's table.
 A chunk's results are added up by cell.
 """
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from ._common import stored
 from .scan import running
 
-CHUNK_BITS = 12
+CHUNK_BITS = 10
 CHUNK = 1 << CHUNK_BITS
+#: A chunk's cells are dealt by hash over so many parts, each with the chunk's table.
+PARTS = 16
 DAY = 86_400_000_000
 #: Events that a task combines at a time: bounded memory, and one row per cell and chunk of them leaves it.
 COMBINE = 1 << 19
@@ -30,7 +32,7 @@ _CELLS = "chunk long, kind int, state int, segment string, cohort long, period l
 
 
 def pack(bits: np.ndarray) -> bytes:
-    """Distinct ascending bit numbers as a container: an array up to 256 bits, then a bitmap of 512 bytes."""
+    """Distinct ascending bit numbers as a container: an array up to 64 bits, then a bitmap of 128 bytes."""
     if len(bits) <= CHUNK // 16:
         return bits.astype("<u2").tobytes()
     mask = np.zeros(CHUNK, np.uint8)
@@ -174,9 +176,10 @@ def retention(clicks: DataFrame, clients: DataFrame, known_by: str = "2024-02-15
     period = F.expr(f"(at - start) div {DAY * period_days}")
     cells = _containers(begun.select("state", "segment", cohort("start").alias("cohort"), period.alias("period"), "number", "cents"))
     none = lambda kind: F.lit(None).cast(kind)
-    tables = tables.select("chunk", F.lit(0).alias("kind"), none("int").alias("state"), none("string").alias("segment"), none("long").alias("cohort"), none("long").alias("period"), none("binary").alias("bits"), none("long").alias("cents"), "table")
-    both = tables.unionByName(cells.withColumn("table", F.lit(None).cast(tables.schema["table"].dataType)))
-    chunks = _merged(both.repartition("chunk").sortWithinPartitions("chunk", "kind", "state", "segment", "cohort", "period"))
+    tables = tables.select("chunk", F.lit(0).alias("kind"), none("int").alias("state"), none("string").alias("segment"), none("long").alias("cohort"), none("long").alias("period"), none("binary").alias("bits"), none("long").alias("cents"), "table", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    cells = cells.withColumn("table", F.lit(None).cast(tables.schema["table"].dataType)).withColumn("part", F.pmod(F.xxhash64("state", "segment", "cohort", "period"), F.lit(PARTS)).cast("int"))
+    both = tables.unionByName(cells).repartition("chunk", "part").sortWithinPartitions("chunk", "part", "kind", "state", "segment", "cohort", "period")
+    chunks = _merged(both.drop("part"))
     return chunks.groupBy("state", "segment", "cohort", "period").agg(*[F.sum(c).alias(c) for c in ("users", "users_crc32", "moved", "cents")])
 
 
