@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import vector_index
 from .search import nearest
 
 
@@ -24,13 +25,15 @@ class NeighborConfig:
             raise ValueError("cap must be at least 1, min_count between 0 and cap")
 
 
-def cosine_neighbors(facts: DataFrame, config: NeighborConfig = NeighborConfig()) -> DataFrame:
+def cosine_neighbors(facts: DataFrame, config: NeighborConfig = NeighborConfig(), index: vector_index.VectorIndex | None = None) -> DataFrame:
     """(fact, neighbor, cosine, within_ball, rank): the ranking by cosine, then id, cut at min(cap, max(min_count, in ball)).
 
-    facts: fact, vector (unit). A task keeps cap + 1 pairs a fact (its own among them), so no square is ever made.
+    facts: fact, vector (unit). A task keeps cap + 1 pairs a fact (its own among them), so no square is ever made. With an
+    index of the facts (its entries called neighbor) only its cells in reach are scored.
     """
-    floor = config.ball if config.min_count == 0 else -2.0
-    best = nearest(facts, facts.withColumnRenamed("fact", "neighbor"), config.cap + 1, floor, "fact", "neighbor").where("fact <> neighbor")
+    floor, k = config.ball if config.min_count == 0 else -2.0, config.cap + 1
+    best = nearest(facts, facts.withColumnRenamed("fact", "neighbor"), k, floor, "fact", "neighbor") if index is None else vector_index.nearest(facts, index, k, floor)[0]
+    best = best.where("fact <> neighbor")
     mine = Window.partitionBy("fact")  # of at most cap + 1 rows
     rows = best.withColumn("rank", F.row_number().over(mine.orderBy(F.col("score").desc(), "neighbor"))).where(F.col("rank") <= config.cap)
     # Of more facts in the ball than cap only cap are ever kept, so they may be counted among these rows.

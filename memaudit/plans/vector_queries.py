@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memaudit.functions import stats
 from memaudit.functions import text as T
 from memaudit.functions import vectors as V
-from memaudit.operators import adversary, audit, closure, metrics, neighbors, probe, search, sweep
+from memaudit.operators import adversary, audit, closure, metrics, neighbors, probe, search, sweep, vector_index
 from memaudit.operators.scratch import new_path, stored
 
 from . import base
@@ -42,6 +42,39 @@ def vec_topk(spark, d):
     return found.select("fact", "entry_id", "rank", F.round("score", 6).alias("score"))
 
 
+def _index(spark, d) -> vector_index.VectorIndex:
+    return vector_index.build(base.entries(spark, d).select("entry_id", "vector"))
+
+
+@query(f"WITH {SQL_PAIRS} " + TOP.format(t="p", k=5))
+def index_topk(spark, d):
+    """vec_topk's rows from the vector index: cells that can't hold one of a fact's best aren't scored."""
+    found, _ = vector_index.nearest(_units(spark, d), _index(spark, d), 5, FLOOR)
+    return found.select("fact", "entry_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {SQL_PAIRS} SELECT fact, entry_id, round(score, 6) AS score FROM p WHERE score >= 0.25")
+def index_pairs(spark, d):
+    found = vector_index.score_pairs(_units(spark, d), _index(spark, d), THRESHOLD)
+    return found.select("fact", "entry_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS entry_id, len(embedding) AS components FROM embeddings WHERE list_dot_product(embedding, embedding) > 0")
+def src_index(spark, d):
+    """Entries read back from a written index: every one is in a block, once."""
+    where = new_path(spark, "index")
+    vector_index.write(_index(spark, d), where)
+    return vector_index.entry_rows(vector_index.read(spark, where)).select("entry_id", F.size("vector").cast("long").alias("components"))
+
+
+@query()
+def index_cost(spark, d):
+    """Of each fact, how many of all entries a search for its five best scored."""
+    index = _index(spark, d)
+    _, cost = vector_index.nearest(_units(spark, d), index, 5, FLOOR)
+    return cost.select("fact", "scored", F.round(F.col("scored") / max(index.n_entries, 1), 6).alias("share"))
+
+
 @query(f"WITH {SQL_PAIRS} SELECT fact, count(*) AS n, round(max(score), 6) AS best FROM p WHERE score >= 0.25 GROUP BY fact")
 def vec_threshold(spark, d):
     return base.pairs(spark, d, THRESHOLD).groupBy("fact").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"))
@@ -183,8 +216,8 @@ def page_truncated(spark, d):
     return closure.page_truncated(base.pairs(spark, d), GRID, 4)
 
 
-@query(f"""WITH {SQL_CLOSURE}, torn AS (SELECT * FROM cl WHERE NOT (entry_id % 7 = 0 AND rho = 0.3)), up AS (SELECT fact, entry_id, rho, CASE rho WHEN 0.45 THEN 0.4 WHEN 0.4 THEN 0.35 WHEN 0.35 THEN 0.3 WHEN 0.3 THEN 0.25 WHEN 0.25 THEN 0.2 END AS below FROM torn)
-SELECT up.fact, CAST(up.below AS DOUBLE) AS rho, up.entry_id FROM up LEFT JOIN torn t ON t.fact = up.fact AND t.entry_id = up.entry_id AND t.rho = up.below WHERE up.below IS NOT NULL AND t.fact IS NULL""")
+@query(f"""WITH {SQL_CLOSURE}, d AS (SELECT fact, entry_id, list_contains(list(round(rho, 2)), 0.3) AND entry_id % 7 = 0 AS torn_at, list(rho) AS rhos FROM cl GROUP BY 1, 2)
+SELECT fact, CAST(0.3 AS DOUBLE) AS rho, entry_id FROM d WHERE torn_at AND list_contains(rhos, CAST(0.35 AS DOUBLE))""")
 def nested_family(spark, d):
     """A closure family from which some entries of one radius were torn: these are found. The whole family has none."""
     whole = _closure(spark, d)
@@ -321,6 +354,14 @@ def cosine_neighbors(spark, d):
     return neighbors.cosine_neighbors(_units(spark, d), BALL).select("fact", "neighbor", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+@query(f"WITH {SQL_PAIRS}, {SQL_NEAR} SELECT fact, neighbor, round(cosine, 6) AS cosine, CAST(rank AS INTEGER) AS rank FROM nb1 WHERE rank <= least(5, inball)")
+def index_neighbors(spark, d):
+    """cosine_neighbors through an index of the facts' vectors."""
+    units = _units(spark, d)
+    index = vector_index.build(units.withColumnRenamed("fact", "neighbor"), entry_col="neighbor")
+    return neighbors.cosine_neighbors(units, BALL, index).select("fact", "neighbor", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 @query(f"WITH {SQL_PAIRS}, {SQL_NEAR} SELECT fact, neighbor, round(cosine, 6) AS cosine, cosine >= 0.25 AS within_ball, CAST(rank AS INTEGER) AS rank FROM nb1 WHERE rank <= least(5, greatest(2, inball))")
 def neighbor_min_fill(spark, d):
     return neighbors.cosine_neighbors(_units(spark, d), FILL).select("fact", "neighbor", F.round("cosine", 6).alias("cosine"), "within_ball", "rank")
