@@ -16,7 +16,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memaudit.operators import adversary, audit, closure, drivers, incremental, jobs, neighbors, probe, suite
+from memaudit.operators import adversary, audit, closure, drivers, incremental, jobs, neighbors, probe, search, suite, vector_index
 from memaudit.sources import files, prompts
 
 
@@ -47,6 +47,9 @@ def parser() -> argparse.ArgumentParser:
     common.add_argument("--envelope-top-k", type=int, default=500)
     common.add_argument("--max-closure-size", type=int, default=10_000)
     common.add_argument("--del-off-mode", default="null-retrieval", choices=("null-retrieval", "forbid-token"))
+    common.add_argument("--index", help="an index of the entries' vectors, made by the verb index")
+    common.add_argument("--store", help="FULL rows and generations that runs share (study: its own unless given)")
+    common.add_argument("--canary-rate", type=float, default=0.0, help="share of the served generations that are made anew and compared")
     common.add_argument("--log")
     one = verbs.add_parser("audit", parents=[common], help="three states of every fact")
     one.add_argument("--probe", action="store_true", help="also probe the vectors for the answers")
@@ -64,6 +67,10 @@ def parser() -> argparse.ArgumentParser:
     attack.add_argument("--seed", type=int, default=0)
     study = verbs.add_parser("study", parents=[common], help="a standard audit and one for each policy, resumable")
     study.add_argument("--policies", type=names, default=("geometric", "value", "provenance"))
+    index = verbs.add_parser("index", help="an exact index of the entries' vectors")
+    index.add_argument("--entries", required=True)
+    index.add_argument("--out", required=True)
+    index.add_argument("--cells", type=int, help="cells, the square root of the entries if not given")
     more = verbs.add_parser("followups", help="tables and a report over finished audits")
     more.add_argument("--results", action="append", required=True, help="name=path of an audit")
     more.add_argument("--value-results", action="append", default=[], help="name=path of its value-policy audit")
@@ -99,6 +106,22 @@ def config_of(args: argparse.Namespace) -> drivers.AuditConfig:
     return drivers.AuditConfig(args.backend, args.threshold, args.closure, args.radius, args.envelope_top_k, args.max_closure_size, args.del_off_mode, **more)
 
 
+def hooks_of(spark: SparkSession, args: argparse.Namespace) -> drivers.Hooks:
+    return drivers.Hooks(index=vector_index.read(spark, args.index)) if args.index else drivers.Hooks()
+
+
+def store_of(args: argparse.Namespace) -> drivers.Store | None:
+    return drivers.Store(args.store, args.canary_rate) if args.store else None
+
+
+def build_index(spark: SparkSession, args: argparse.Namespace) -> dict:
+    """The index of an entries table, ids as text; what it holds."""
+    named = spark.read.parquet(args.entries).withColumn("entry_id", F.col("entry_id").cast("string"))
+    made = vector_index.build(search.unit_rows(named, "entry_id", "vector"), args.cells)
+    vector_index.write(made, args.out)
+    return {"entries": made.n_entries, "cells": len(made.centroids), "shells": made.shells.num_rows}
+
+
 def study(spark: SparkSession, args: argparse.Namespace, facts: DataFrame, entries: DataFrame, log) -> dict:
     """The standard audit, then one audit a policy, as jobs that a second call takes up again."""
     n = facts.count()
@@ -106,7 +129,7 @@ def study(spark: SparkSession, args: argparse.Namespace, facts: DataFrame, entri
 
     def work(job: incremental.Job) -> dict:
         args.closure = () if job.name == "standard" else ("geometric", "value", "provenance") if job.name == "policy-hybrid" else (job.name.removeprefix("policy-"),)
-        return drivers.run_backend_audit(facts, entries, f"{args.out}/{job.name}", config_of(args))
+        return drivers.run_backend_audit(facts, entries, f"{args.out}/{job.name}", config_of(args), hooks_of(spark, args), store_of(args) or drivers.Store(f"{args.out}/store", args.canary_rate))
 
     return jobs.run_plan(spark, plan, work, args.out, log)
 
@@ -130,12 +153,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     spark = spark or SparkSession.builder.appName("memaudit").getOrCreate()
     if args.verb == "followups":
         return followups(spark, args)
+    if args.verb == "index":
+        return build_index(spark, args)
     log = files.AuditLogger(args.log)
     facts, entries = load_facts(spark, args), spark.read.parquet(args.entries)
     if args.verb == "study":
         return study(spark, args, facts, entries, log)
     run = {"audit": drivers.run_backend_audit, "sweep": drivers.run_entanglement_sweep, "adversarial": drivers.run_adversarial_eval}[args.verb]
-    summary = run(facts, entries, args.out, config_of(args))
+    summary = run(facts, entries, args.out, config_of(args), hooks_of(spark, args), store_of(args))
     if args.verb == "audit" and args.probe:
         samples = facts.select(F.col("fact").alias("sample_id"), "fact", "vector")
         summary["probe"] = probe.probe_audit_outputs(spark.read.parquet(f"{args.out}/results"), samples, args.out)

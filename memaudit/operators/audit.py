@@ -29,9 +29,14 @@ def parametric_reader(selected_value: Column, fallback: Column) -> Column:
 
 @dataclass(frozen=True)
 class BackendSpec:
+    """A reader and what is known of it. looks_up_first: it retrieves before it says anything, so an output that it makes
+    of a retrieved value can't show the answer before. identity: what else its outputs depend on, such as its version."""
+
     name: str
     reader: Reader
     retrieves: bool = True
+    looks_up_first: bool = True
+    identity: str = ""
 
 
 #: Readers by name; register() adds to it.

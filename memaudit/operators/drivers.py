@@ -1,15 +1,18 @@
 """Whole audits: from facts and entries to written results, metrics and curves, with resume and a shared FULL pass.
 
 A run is one plan per step; what several steps read is written in the scratch folder, and what a run makes is written
-under its own path beside the configuration that made it. A second run over the same path goes on where the first
-stopped; one with another configuration is refused.
+under its own path beside the configuration and the digests of the inputs that made it. A second run over the same path
+goes on where the first stopped: with more facts, but not with another configuration, other entries, or facts that were
+changed. With a `store`, runs of all kinds share their FULL pass and their generations: a study makes each once.
 
 facts: fact, prompt, ground_truth, object_aliases, parametric (what the model says without retrieval), vector, and where
-known subject, relation and full_output. entries: entry_id, vector, value, source_id.
+known subject, relation, full_output (FULL's output, with its <FACT> blocks), forbidden (what the model says when it can't
+start a retrieval) and answer_visible_before_event. entries: entry_id, vector, value, source_id.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
@@ -21,7 +24,7 @@ from memaudit.functions import text as T
 from memaudit.sources import files
 from memaudit.sources.prompts import manifest_id
 
-from . import adversary, audit, closure, incremental, metrics, neighbors, search, sweep
+from . import adversary, audit, closure, incremental, metrics, neighbors, search, sweep, vector_index
 from .scratch import stored
 
 
@@ -59,11 +62,24 @@ class AuditConfig:
 @dataclass(frozen=True)
 class Hooks:
     """What a caller may replace: the judge of support, what is taken as the answer of an output, the manifest builder
-    (cohort, scored pairs, configuration to rows of fact, entry_ids, source_ids, strategy, metadata, manifest_id)."""
+    (cohort, scored pairs, configuration to rows of fact, entry_ids, source_ids, strategy, metadata, manifest_id), and an
+    index of the entries' vectors (ids as text), which is searched instead of all entries with the same results. identity
+    names the judge and the extraction where a run is resumed or a store is shared."""
 
     judge: search.Judge = T.judge_norms
     extract: Callable[[Column], Column] = lambda output: output
     manifests: Callable[[DataFrame, DataFrame, AuditConfig], DataFrame] | None = None
+    index: vector_index.VectorIndex | None = None
+    identity: str = ""
+
+
+@dataclass(frozen=True)
+class Store:
+    """Where runs share what they generate: FULL rows and generations under path; canary_rate of the served generations are
+    made anew and compared."""
+
+    path: str
+    canary_rate: float = 0.0
 
 
 def keyed(facts: DataFrame) -> DataFrame:
@@ -73,44 +89,69 @@ def keyed(facts: DataFrame) -> DataFrame:
 def prepared(facts: DataFrame) -> DataFrame:
     """facts with gold_norms, and full_output where the model's FULL output isn't just what it retrieved."""
     out = keyed(facts).withColumn("gold_norms", T.norm_set(F.col("ground_truth"), F.col("object_aliases")))
-    for name, kind in (("full_output", "string"), ("subject", "string"), ("relation", "string"), ("answer_visible_before_event", "boolean")):
+    for name, kind in (("full_output", "string"), ("subject", "string"), ("relation", "string"), ("forbidden", "string"), ("answer_visible_before_event", "boolean")):
         if name not in facts.columns:
-            out = out.withColumn(name, F.lit(False) if kind == "boolean" else F.lit(None).cast(kind))
-    return out
+            out = out.withColumn(name, F.lit(None).cast(kind))
+    return out.withColumn("input_digest", incremental.row_digest(*[F.col(c) for c in INPUTS]))
+
+
+#: The columns of a fact that its results depend on.
+INPUTS = ("prompt", "ground_truth", "object_aliases", "parametric", "vector", "full_output", "subject", "relation", "forbidden", "answer_visible_before_event")
+#: The strategy and metadata of a manifest that FULL's selection gives.
+BOOTSTRAP = {"audited_event_index": 0, "bootstrap": "FULL.selected_candidate", "selection_policy": "pre-answer-normalized-answer-mention"}
+BOOTSTRAP_STRATEGY = "oracle-from-full"
+
+
+def timing(spec: audit.BackendSpec) -> Column:
+    """Whether the answer was visible before the selected event: as given; else false where the reader made the output and
+    looks up first; else by the text before the output's <FACT> block, if it has just one; else unknown (null)."""
+    pieces = F.split("full_output", r"(?s)<FACT>.*?</FACT>", -1)
+    shown = F.when(F.size(pieces) == 2, T.contains_norms(T.norm(F.get(pieces, F.lit(0))), F.col("gold_norms")))
+    return F.coalesce("answer_visible_before_event", F.when(F.col("full_output").isNull(), F.lit(False) if spec.looks_up_first else F.lit(None).cast("boolean")).otherwise(shown))
+
+
+def guard(path: str, config: AuditConfig, entries: DataFrame, hooks: Hooks, **more) -> None:
+    """Refuse to go on at path with another configuration, reader, judge or other entries."""
+    told = asdict(config) | {"reader": audit.BACKENDS[config.backend].identity, "hooks": hooks.identity} | more
+    incremental.resume_guard(entries.sparkSession, path, told, {"entries": entries.select("entry_id", "vector", "value", "source_id")})
 
 
-def scored_pairs(facts: DataFrame, entries: DataFrame, floor: float, envelope: int = 0) -> DataFrame:
+def scored_pairs(facts: DataFrame, entries: DataFrame, floor: float, envelope: int = 0, index: vector_index.VectorIndex | None = None) -> DataFrame:
     """fact, entry_id, score, value, value_norm, source_id at or over the floor, and of each fact's best `envelope`
     entries whatever their scores; ids as text; written once."""
     units = search.unit_rows(facts, "fact", "vector")
     named = entries.select(F.col("entry_id").cast("string").alias("entry_id"), "vector", "value", F.col("source_id").cast("string").alias("source_id"))
     targets = search.unit_rows(named, "entry_id", "vector")
-    found = search.score_pairs(units, targets, floor)
+    found = search.score_pairs(units, targets, floor) if index is None else vector_index.score_pairs(units, index, floor)
     if envelope:
-        found = found.unionByName(search.nearest(units, targets, envelope).where(F.col("score") < floor).drop("rank"))
+        near = search.nearest(units, targets, envelope) if index is None else vector_index.nearest(units, index, envelope)[0]
+        found = found.unionByName(near.where(F.col("score") < floor).drop("rank"))
     return stored(found.join(named.drop("vector").withColumn("value_norm", T.norm(F.col("value"))), "entry_id"), "pairs")
 
 
 def full_pass(facts: DataFrame, scored: DataFrame, config: AuditConfig, path: str, hooks: Hooks = Hooks()) -> DataFrame:
     """FULL's selection, output and correctness of every fact; facts that path holds already aren't generated again.
 
-    Rows are appended; where two runs wrote a fact, the first row counts.
+    Rows are appended; where two runs wrote a fact, the first row counts. A fact that is there with other inputs is an error.
     """
     spark = facts.sparkSession
-    incremental.resume_guard(spark, path, {"backend": config.backend, "threshold": config.threshold})
     rows_at = f"{path}/full"
     have = files.exists(spark, rows_at)
-    todo = prepared(facts)
+    wanted = todo = prepared(facts)
     if have:
-        todo = incremental.remaining(todo, spark.read.parquet(rows_at), ["fact"])
+        kept = spark.read.parquet(rows_at)
+        incremental.refuse_changed(todo, kept, "fact")
+        todo = incremental.remaining(todo, kept, ["fact"])
     spec = audit.BACKENDS[config.backend]
+    todo = todo.withColumn("answer_visible_before_event", timing(spec))
     none = F.lit(None).cast("string")
     tops = best(scored, config.threshold) if spec.retrieves else None
     rows = todo.drop("vector").join(tops, "fact", "left") if tops is not None else todo.drop("vector").withColumns({c: none for c in ("selected_id", "selected_value", "selected_source")} | {"selected_score": F.lit(None).cast("double")})
     output = hooks.extract(F.coalesce("full_output", spec.reader(F.col("selected_value"), F.col("parametric"))))
     rows = rows.withColumn("output", output).withColumn("mentions", hooks.judge(T.norm(F.col("selected_value")), F.col("gold_norms"))).withColumn("full_correct", T.contains_norms(T.norm(F.col("output")), F.col("gold_norms")))
     rows.withColumn("written", F.current_timestamp()).write.mode("append").parquet(rows_at)
-    return incremental.union_first_wins([spark.read.parquet(rows_at).withColumnRenamed("written", "row_index")], ["fact"]).drop("row_index")
+    every = incremental.union_first_wins([spark.read.parquet(rows_at).withColumnRenamed("written", "row_index")], ["fact"]).drop("row_index")
+    return every.join(wanted.select("fact"), "fact", "left_semi")  # a shared store may hold more
 
 
 def best(pairs: DataFrame, threshold: float, by: tuple[str, ...] = ("fact",)) -> DataFrame:
@@ -123,7 +164,8 @@ def best(pairs: DataFrame, threshold: float, by: tuple[str, ...] = ("fact",)) ->
 def oracle_manifests(cohort: DataFrame, scored: DataFrame, config: AuditConfig) -> DataFrame:
     """FULL's selected entry alone."""
     ids, none = F.array("selected_id"), F.array().cast("array<string>")
-    return cohort.select("fact", ids.alias("entry_ids"), none.alias("source_ids"), F.lit("oracle-entry").alias("strategy"), F.lit("{}").alias("metadata"), manifest_id(ids, none, F.lit("oracle-entry")).alias("manifest_id"))
+    strategy, metadata = F.lit(BOOTSTRAP_STRATEGY), F.lit(json.dumps(BOOTSTRAP, sort_keys=True, separators=(",", ":")))
+    return cohort.select("fact", ids.alias("entry_ids"), none.alias("source_ids"), strategy.alias("strategy"), metadata.alias("metadata"), manifest_id(ids, none, strategy, metadata).alias("manifest_id"))
 
 
 def _seeds(cohort: DataFrame) -> DataFrame:
@@ -157,6 +199,32 @@ def del_on(who: DataFrame, scored: DataFrame, manifests: DataFrame, config: Audi
     return out.withColumn("output", hooks.extract(reader(F.col("selected_value"), F.col("parametric"))))
 
 
+def generations(jobs: DataFrame, scored: DataFrame, config: AuditConfig, hooks: Hooks, store: Store | None) -> tuple[DataFrame, dict]:
+    """(fact, fingerprint, selected_id, selected_value, output) of jobs (fact, parametric, entry_ids, source_ids, answer_norms)
+    and how many were served and made. Equal exclusions of a fact are one generation, whatever phase asks for it."""
+    jobs = jobs.select("fact", "parametric", "entry_ids", "source_ids", "answer_norms").withColumn("fingerprint", exclusions())
+
+    def make(todo: DataFrame) -> DataFrame:
+        by = ("fact", "fingerprint")
+        return del_on(todo.select(*by, "parametric"), scored, todo.select(*by, "entry_ids", "source_ids", "answer_norms"), config, hooks, by).select(*by, "selected_id", "selected_value", "output")
+
+    at = f"{store.path}/generations" if store else None
+    return incremental.generated(jobs, ["fact"], make, at, store.canary_rate if store else 0.0)
+
+
+def exclusions() -> Column:
+    """What a generation depends on besides its fact: the ids, sources and values that its manifest hides."""
+    return incremental.fingerprint(F.array_sort("entry_ids"), F.array_sort("source_ids"), F.array_sort("answer_norms"))
+
+
+def shared_store(facts: DataFrame, entries: DataFrame, path: str, config: AuditConfig, hooks: Hooks, store: Store | None) -> Store:
+    """The store of a run, its own if none is shared; refused if it was made with another reader, threshold or entries."""
+    store = store or Store(f"{path}/full_pass")
+    told = {"backend": config.backend, "threshold": config.threshold, "reader": audit.BACKENDS[config.backend].identity, "hooks": hooks.identity}
+    incremental.resume_guard(facts.sparkSession, store.path, told, {"entries": entries.select("entry_id", "vector", "value", "source_id")})
+    return store
+
+
 def _backstopped(manifests: DataFrame, cohort: DataFrame) -> DataFrame:
     told = F.get_json_object("metadata", "$.value_target").isNotNull()
     return manifests.join(cohort.select("fact", "gold_norms"), "fact").withColumn("answer_norms", F.when(told, F.col("gold_norms"))).drop("gold_norms")
@@ -166,22 +234,32 @@ class InvalidResults(RuntimeError):
     """Results that break an invariant of the three states."""
 
 
-def run_backend_audit(facts: DataFrame, entries: DataFrame, path: str, config: AuditConfig = AuditConfig(), hooks: Hooks = Hooks()) -> dict:
+def run_backend_audit(facts: DataFrame, entries: DataFrame, path: str, config: AuditConfig = AuditConfig(), hooks: Hooks = Hooks(), store: Store | None = None) -> dict:
     """The standard audit: FULL, the gate, manifests, DEL-ON and DEL-OFF, all written under path. Returns the summary.
 
     results (by state), skipped, coverage, cross_state_metrics, per_state_metrics. Facts of which all states are there
-    already are left as they are; a fact that was interrupted counts as not done.
+    already are left as they are; a fact that was interrupted counts as not done. With forbid-token, DEL-OFF is what facts
+    give as `forbidden`; a fact without it is an error.
     """
+    if config.del_off_mode not in DEL_OFF:
+        raise ValueError(f"del_off_mode must be among {tuple(DEL_OFF)}")
+    if config.del_off_mode == "forbid-token" and ("forbidden" not in facts.columns or not facts.where("forbidden is null").isEmpty()):
+        raise ValueError("forbid-token needs `forbidden`, what the model says when it can't start a retrieval, of every fact")
     facts = keyed(facts)
     spark = facts.sparkSession
     spec = audit.BACKENDS[config.backend]
     audit.validate_modes(bootstrap=spec.retrieves, closure=config.predicates, backend=config.backend)
-    incremental.resume_guard(spark, path, asdict(replace(config, radii=())))
-    scored = scored_pairs(facts, entries, min(config.threshold, config.radius), config.envelope) if spec.retrieves else None
-    full = stored(full_pass(facts, scored, config, f"{path}/full_pass", hooks), "full-pass")
+    guard(path, replace(config, radii=()), entries, hooks)
+    store = shared_store(facts, entries, path, config, hooks, store)
+    scored = scored_pairs(facts, entries, min(config.threshold, config.radius), config.envelope, hooks.index) if spec.retrieves else None
+    full = stored(full_pass(facts, scored, config, store.path, hooks), "full-pass")
     results_at = f"{path}/results"
-    done = files.exists(spark, results_at)
-    todo = incremental.remaining(full, incremental.complete_groups(spark.read.schema("fact_id string, state string").parquet(results_at), "fact_id").withColumnRenamed("fact_id", "fact"), ["fact"]) if done else full
+    todo, counts = full, {"served": 0, "generated": 0, "canaries": 0}
+    if files.exists(spark, results_at):
+        kept = spark.read.schema(RESULTS).parquet(results_at)
+        incremental.check_commit(kept, results_at)
+        incremental.refuse_changed(full.withColumnRenamed("fact", "fact_id"), kept, "fact_id")
+        todo = incremental.remaining(full, incremental.complete_groups(kept, "fact_id").withColumnRenamed("fact_id", "fact"), ["fact"])
     if spec.retrieves:
         gated = todo.withColumn("skip_reason", audit.skip_reason(F.col("mentions")))
         cohort = gated.where("skip_reason is null")
@@ -190,36 +268,48 @@ def run_backend_audit(facts: DataFrame, entries: DataFrame, path: str, config: A
         empty = made.where((F.size("entry_ids") == 0) & (F.size("source_ids") == 0) & F.get_json_object("metadata", "$.value_target").isNull()).select("fact", F.lit(True).alias("bare"))
         gated = stored(gated.join(empty, "fact", "left").withColumn("skip_reason", F.coalesce("skip_reason", F.when(F.col("bare"), "empty-manifest"))).drop("bare"), "gated")
         cohort = gated.where("skip_reason is null")
-        on = del_on(cohort.select("fact", "parametric"), scored, _backstopped(made, cohort), config, hooks).select("fact", F.col("output").alias("on_output"), F.col("selected_id").alias("on_id"), F.col("selected_value").alias("on_value"))
+        hidden = stored(_backstopped(made, cohort).join(cohort.select("fact", "parametric"), "fact").withColumn("fingerprint", exclusions()), "hidden")
+        outputs, counts = generations(hidden, scored, config, hooks, store)
+        on = outputs.join(hidden.select("fact", "fingerprint"), ["fact", "fingerprint"]).select("fact", F.col("output").alias("on_output"), F.col("selected_id").alias("on_id"), F.col("selected_value").alias("on_value"))
         rows = cohort.join(made, "fact").join(on, "fact")
     else:
         gated = todo.withColumn("skip_reason", F.lit(None).cast("string"))
         none = F.array().cast("array<string>")
         rows = gated.withColumns({"entry_ids": none, "source_ids": none, "strategy": F.lit("none"), "metadata": F.lit("{}"), "manifest_id": manifest_id(none, none, F.lit("none")), "on_output": F.col("parametric"), "on_id": F.lit(None).cast("string"), "on_value": F.lit(None).cast("string")})
-    wide = stored(result_rows(rows, hooks), "results")
+    wide = stored(result_rows(rows, hooks, config.del_off_mode), "results")
     faults = metrics.validate_states(wide).limit(5).collect()
     if faults:
         raise InvalidResults(f"results break an invariant: {[tuple(r) for r in faults]}")
+    incremental.drop_commit(spark, results_at)
     wide.write.mode("append").partitionBy("state").parquet(results_at)
     left_out = gated.where("skip_reason is not null").select(F.col("fact").alias("fact_id"), F.col("skip_reason").alias("reason"), F.col("prompt").alias("prompt_text"), F.col("ground_truth").alias("gold"), F.coalesce("selected_value", F.lit("")).alias("selected_value"))
-    left_out.write.mode("append").parquet(f"{path}/skipped")
+    if files.exists(spark, f"{path}/skipped"):  # a fact that was skipped before is skipped once
+        left_out = incremental.remaining(left_out, spark.read.schema(left_out.schema).parquet(f"{path}/skipped"), ["fact_id"])
+    stored(left_out, "skipped").write.mode("append").parquet(f"{path}/skipped")
     # With their schemas, as a run without any result leaves no file.
     every, skipped = (spark.read.schema(df.schema).parquet(f"{path}/{name}") for df, name in ((wide, "results"), (left_out, "skipped")))
-    return summarize(every, skipped, path, config, facts.count())
+    incremental.commit(every.select("fact_id", "state", "input_digest", "model_output"), results_at)
+    return summarize(every, skipped, path, config, facts.count()) | counts
+
+
+#: The column that is DEL-OFF's output in each way to turn retrieval off.
+DEL_OFF = {"null-retrieval": "parametric", "forbid-token": "forbidden"}
+#: What a resumed run reads of its results: what their commit covers.
+RESULTS = "fact_id string, state string, input_digest string, model_output string"
 
 
-def result_rows(rows: DataFrame, hooks: Hooks = Hooks()) -> DataFrame:
+def result_rows(rows: DataFrame, hooks: Hooks = Hooks(), del_off_mode: str = "null-retrieval") -> DataFrame:
     """Result rows of three states with their traces: what was selected is the one retained candidate."""
     def trace(entry: Column, value: Column) -> Column:
         one = search.serialize_candidate(entry, value, F.col("gold_norms"), judge=hooks.judge)
         return F.struct(F.lit(True).alias("trace_available"), F.lit(True).alias("trace_complete"), F.when(entry.isNotNull(), F.array(one)).alias("retained_candidates"), entry.alias("selected_entry_id"), value.alias("selected_value"))
 
     null = F.lit(None).cast("string")
-    arms = [("FULL", F.col("output"), trace(F.col("selected_id"), F.col("selected_value"))), ("DEL-ON", F.col("on_output"), trace(F.col("on_id"), F.col("on_value"))), ("DEL-OFF", hooks.extract(F.col("parametric")), trace(null, null))]
+    arms = [("FULL", F.col("output"), trace(F.col("selected_id"), F.col("selected_value"))), ("DEL-ON", F.col("on_output"), trace(F.col("on_id"), F.col("on_value"))), ("DEL-OFF", hooks.extract(F.col(DEL_OFF[del_off_mode])), trace(null, null))]
     arm = F.explode(F.array(*[F.struct(F.lit(s).alias("state"), o.alias("model_output"), t.alias("retrieval_trace")) for s, o, t in arms]))
     flat = rows.select(
         F.col("fact").cast("string").alias("fact_id"), F.col("fact").cast("string").alias("prompt_id"), "prompt", "ground_truth", "object_aliases", "subject", F.lit(None).cast("array<string>").alias("subject_aliases"), "relation", F.lit(None).cast("array<string>").alias("relation_aliases"),
-        "manifest_id", F.col("entry_ids").alias("manifest_entry_ids"), F.col("source_ids").alias("manifest_source_ids"), F.col("strategy").alias("manifest_strategy"), F.col("metadata").alias("manifest_metadata"), F.lit(0).cast("long").alias("row_index"), "gold_norms", arm.alias("arm"),
+        "manifest_id", F.col("entry_ids").alias("manifest_entry_ids"), F.col("source_ids").alias("manifest_source_ids"), F.col("strategy").alias("manifest_strategy"), F.col("metadata").alias("manifest_metadata"), F.lit(0).cast("long").alias("row_index"), "input_digest", "gold_norms", arm.alias("arm"),
     )
     # A triple's relation is unknown to a bare candidate, so only the judge's flag is evidence.
     kept = F.transform("arm.retrieval_trace.retained_candidates", lambda c: F.struct(c["entry_id"].alias("entry_id"), c["value"].alias("value"), null.alias("subject"), null.alias("relation"), c["value"].alias("object"), c["supports_target"].alias("supports_target"), F.lit(None).cast("boolean").alias("supports_target_fact")))
@@ -251,7 +341,7 @@ def primary(facts: DataFrame, scored: DataFrame, config: AuditConfig, path: str,
     return gated, gated.where("skip_reason is null")
 
 
-def run_entanglement_sweep(facts: DataFrame, entries: DataFrame, path: str, config: AuditConfig, hooks: Hooks = Hooks()) -> dict:
+def run_entanglement_sweep(facts: DataFrame, entries: DataFrame, path: str, config: AuditConfig, hooks: Hooks = Hooks(), store: Store | None = None) -> dict:
     """The radius sweep: each target's geometric closures, its neighbours under its manifests, curves and gaps.
 
     Each subject is generated once per distinct manifest of a target, however many radii share it; a subject whose FULL
@@ -261,9 +351,10 @@ def run_entanglement_sweep(facts: DataFrame, entries: DataFrame, path: str, conf
     spark = facts.sparkSession
     radii = sorted(config.radii, reverse=True)
     audit.validate_modes(closure=("geometric",), sweep=True, backend=config.backend)
-    incremental.resume_guard(spark, path, asdict(config))
-    scored = scored_pairs(facts, entries, min(config.threshold, *radii))
-    gated, who = primary(facts, scored, config, f"{path}/full_pass", hooks)
+    guard(path, config, entries, hooks)
+    store = shared_store(facts, entries, path, config, hooks, store)
+    scored = scored_pairs(facts, entries, min(config.threshold, *radii), index=hooks.index)
+    gated, who = primary(facts, scored, config, store.path, hooks)
     near = stored(neighbors.cosine_neighbors(who.select("fact", "vector"), config.neighbors) if config.neighbors.mode == "cosine" else neighbors.same_source_neighbors(who.select("fact", F.col("selected_source").alias("source_id")), config.neighbors.cap), "neighbors")
     shape = closure.ClosureConfig(predicates=("geometric",), radius=radii[0], envelope_top_k=config.envelope_top_k, max_closure_size=config.max_closure_size)
     made = closure.manifests(family(who, scored, radii, shape), _seeds(who), shape)
@@ -278,8 +369,9 @@ def run_entanglement_sweep(facts: DataFrame, entries: DataFrame, path: str, conf
     seen = scored.where(F.col("score") >= config.threshold).groupBy(F.col("fact").alias("subject")).agg(F.collect_set("entry_id").alias("seen_ids"), F.collect_set("source_id").alias("seen_sources"))
     touched = F.coalesce(F.arrays_overlap("seen_ids", "entry_ids"), F.lit(False)) | F.coalesce(F.arrays_overlap("seen_sources", "source_ids"), F.lit(False))
     work = stored(work.join(seen, "subject", "left").withColumn("touched", touched).drop("seen_ids", "seen_sources"), "sweep-work")
-    fresh = work.where("touched").withColumnRenamed("subject", "fact")
-    made_runs = del_on(fresh.select("job", "fact", "parametric"), scored, fresh.select("job", "entry_ids", "source_ids", F.lit(None).cast("array<string>").alias("answer_norms")), config, hooks, ("job",)).select("job", "output")
+    fresh = stored(work.where("touched").withColumnRenamed("subject", "fact").withColumn("answer_norms", F.lit(None).cast("array<string>")).withColumn("made", exclusions()), "sweep-fresh")
+    runs_made, counts = generations(fresh, scored, config, hooks, store)
+    made_runs = fresh.select("job", "fact", F.col("made").alias("fingerprint")).join(runs_made, ["fact", "fingerprint"]).select("job", "output")
     outputs = work.join(made_runs, "job", "left").withColumn("output", F.when(F.col("touched"), F.col("output")).otherwise(F.col("full_output")))
     outputs = stored(outputs.select("subject", "fingerprint", T.contains_norms(T.norm(F.col("output")), F.col("gold_norms")).alias("correct"), "touched"), "sweep-outputs")
     rows = stored(planned_jobs.join(outputs, ["subject", "fingerprint"]), "sweep-rows")
@@ -291,22 +383,24 @@ def run_entanglement_sweep(facts: DataFrame, entries: DataFrame, path: str, conf
     planned, executed = planned_jobs.count(), outputs.where("touched").count()
     reasons = {r["skip_reason"]: r["count"] for r in gated.where("skip_reason is not null").groupBy("skip_reason").count().collect()}
     summary = {"facts": gated.count(), "swept_facts": who.count(), "skipped_by_reason": reasons, "radii": radii, "planned": planned, "executed": executed, "reused_full_pass": outputs.where("not touched").count()}
+    summary |= counts
     summary["reused_fingerprint"] = planned - executed - summary["reused_full_pass"]
     summary["curve"] = [r.asDict() for r in sweep.rollup(curve, gaps).orderBy(F.desc("rho")).collect()]
     files.write_document(spark, f"{path}/summary", summary)
     return summary
 
 
-def run_adversarial_eval(facts: DataFrame, entries: DataFrame, path: str, config: AuditConfig, hooks: Hooks = Hooks()) -> dict:
+def run_adversarial_eval(facts: DataFrame, entries: DataFrame, path: str, config: AuditConfig, hooks: Hooks = Hooks(), store: Store | None = None) -> dict:
     """The re-injection evaluation at the attack's radius: baseline, DEL-OFF and one attack per epsilon and template."""
     facts = keyed(facts)
     spark = facts.sparkSession
     rho = config.attack.rho
     config = replace(config, predicates=config.predicates or ("geometric",), radius=rho)
     audit.validate_modes(closure=config.closure.active, adversarial=True, backend=config.backend)
-    incremental.resume_guard(spark, path, asdict(config))
-    scored = scored_pairs(facts, entries, min(config.threshold, rho), config.envelope)
-    gated, who = primary(facts, scored, config, f"{path}/full_pass", hooks)
+    guard(path, config, entries, hooks)
+    store = shared_store(facts, entries, path, config, hooks, store)
+    scored = scored_pairs(facts, entries, min(config.threshold, rho), config.envelope, hooks.index)
+    gated, who = primary(facts, scored, config, store.path, hooks)
     made = family(who, scored, [rho], config.closure)
     gone = stored(closure.manifests(made, _seeds(who), config.closure, who.select("fact", "ground_truth", "object_aliases")), "attack-manifests")
     lists = _backstopped(gone, who)
