@@ -205,13 +205,27 @@ def generations(jobs: DataFrame, scored: DataFrame, config: AuditConfig, hooks:
     jobs = jobs.select("fact", "parametric", "entry_ids", "source_ids", "answer_norms").withColumn("fingerprint", exclusions())
 
     def make(todo: DataFrame) -> DataFrame:
-        by = ("fact", "fingerprint")
-        return del_on(todo.select(*by, "parametric"), scored, todo.select(*by, "entry_ids", "source_ids", "answer_norms"), config, hooks, by).select(*by, "selected_id", "selected_value", "output")
+        # What only hides ids and sources is decided on lists; a value target, or a page that is hidden whole, by joins.
+        by, plain = ("fact", "fingerprint"), todo.where("answer_norms is null")
+        quick = stored(listed_del_on(plain, ranked, config, hooks, by), "listed")
+        rest = todo.where("answer_norms is not null").unionByName(todo.join(quick.where("open").select(*by), list(by), "left_semi"))
+        slow = del_on(rest.select(*by, "parametric"), scored, rest.select(*by, "entry_ids", "source_ids", "answer_norms"), config, hooks, by)
+        return quick.where("not open").drop("open").unionByName(slow.select(*by, "selected_id", "selected_value", "output"))
+
+    ranked = stored(sweep.ranking(scored, config.threshold).select("fact", "place", "entry_id", "source_id", "value"), "ranking")
 
     at = f"{store.path}/generations" if store else None
     return incremental.generated(jobs, ["fact"], make, at, store.canary_rate if store else 0.0)
 
 
+def listed_del_on(jobs: DataFrame, ranked: DataFrame, config: AuditConfig, hooks: Hooks, by: tuple[str, ...]) -> DataFrame:
+    """(by, selected_id, selected_value, output, open) of jobs that hide ids and sources only: del_on() by survivors()."""
+    found = sweep.survivors(jobs.select(*by, "entry_ids", "source_ids"), sweep.pages(ranked), list(by))
+    rows = jobs.select(*by, "parametric").join(found, list(by)).join(ranked.select("fact", "place", F.col("entry_id").alias("selected_id"), F.col("value").alias("selected_value")), ["fact", "place"], "left")
+    reader = audit.BACKENDS[config.backend].reader
+    return rows.select(*by, "selected_id", "selected_value", hooks.extract(reader(F.col("selected_value"), F.col("parametric"))).alias("output"), "open")
+
+
 def exclusions() -> Column:
     """What a generation depends on besides its fact: the ids, sources and values that its manifest hides."""
     return incremental.fingerprint(F.array_sort("entry_ids"), F.array_sort("source_ids"), F.array_sort("answer_norms"))

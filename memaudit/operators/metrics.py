@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from memaudit.functions import text as T
 
+from .scratch import stored
+
 STATES = ("FULL", "DEL-ON", "DEL-OFF")
 KEY = ("fact_id", "prompt_id", "prompt", "ground_truth", "manifest_id")
 ROW_SCORES = {"exact_match_rate": "exact_match", "contains_match_rate": "contains_match", "unknown_rate": "unknown", "precision_rate": "precision", "recall_rate": "recall", "f1_rate": "f1"}
@@ -64,7 +66,7 @@ def trace_is_complete(trace: str = "retrieval_trace") -> Column:
 
 def metrics_total(results: DataFrame, traces: bool = True) -> DataFrame:
     """All metrics in one row: row scores over all rows, cross-state rates over pivoted facts, artifacts over complete traces."""
-    rows = scored(results)
+    rows = stored(scored(results), "scored")
     means = rows.agg(F.count("*").alias("count"), *[F.coalesce(F.avg(f"scores.{s}"), F.lit(0.0)).alias(n) for n, s in ROW_SCORES.items()])
     if traces:
         rows = rows.withColumn("complete", trace_is_complete()).withColumn("evidence", gold_evidence(rows))
@@ -80,7 +82,7 @@ def metrics_total(results: DataFrame, traces: bool = True) -> DataFrame:
 
 def metrics_by_state(results: DataFrame) -> DataFrame:
     """Row scores per state and overall (state null); a single state has no pairs, so paired metrics there are 0."""
-    rows = scored(results)
+    rows = stored(scored(results), "scored")
     means = rows.rollup("state").agg(F.grouping("state").alias("__all"), F.count("*").alias("count"), *[F.coalesce(F.avg(f"scores.{s}"), F.lit(0.0)).alias(n) for n, s in ROW_SCORES.items()])
     facts = pivot_states(rows).agg(*pair_aggregates())
     names = facts.columns

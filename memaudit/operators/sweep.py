@@ -2,8 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: A subject's best candidates that travel as one list. A job that hides all of them, where there are more, stays open.
+PAGE = 4096
+
+
+def ranking(scored: DataFrame, threshold: float, key: str = "fact") -> DataFrame:
+    """scored at or over the threshold with `place` from 1: score descending, ties to the smaller id."""
+    order = Window.partitionBy(key).orderBy(F.col("score").desc(), "entry_id")
+    return scored.where(F.col("score") >= threshold).withColumn("place", F.row_number().over(order))
+
+
+def pages(ranked: DataFrame, key: str = "fact", page: int = PAGE) -> DataFrame:
+    """(key, ids, sources, more): the entries and sources of each key's first `page` places, and whether there are further ones."""
+    kept = ranked.where(F.col("place") <= page + 1).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("place", "entry_id", "source_id"))).alias("held"))
+    first = F.slice("held", 1, page)
+    return kept.select(key, F.transform(first, lambda x: x["entry_id"]).alias("ids"), F.transform(first, lambda x: x["source_id"]).alias("sources"), (F.size("held") > page).alias("more"))
+
+
+def survivors(jobs: DataFrame, listed: DataFrame, by: list[str], key: str = "fact", radii: list[float] | None = None) -> DataFrame:
+    """(by, place, open), with radii (by, rho, place, open): the first place of the job's key that the job doesn't hide.
+
+    jobs: by, key, entry_ids, source_ids; with radii also entry_from, the largest radius at which each of entry_ids is
+    hidden (it is at all smaller ones). listed: pages(). place is null if nothing is left; open marks jobs that hide a
+    whole page of a key that has more, which this can't decide. One row a job meets one page: what is shuffled grows with
+    the jobs, not with jobs x candidates.
+    """
+    work = jobs.join(listed, key, "left").select(*by, "entry_ids", "source_ids", *(["entry_from"] if radii else []), "ids", "sources", "more")
+    kinds = [jobs.schema[c].dataType for c in by]
+    steps = [float(r) for r in radii] if radii else [None]
+    schema = pa.schema([*((c, to_arrow_type(k)) for c, k in zip(by, kinds)), *([("rho", pa.float64())] if radii else []), ("place", pa.int32()), ("open", pa.bool_())])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            column = {name: b.column(i) for i, name in enumerate(b.schema.names)}
+            rows, rho, place, opened = [], [], [], []
+            for i in range(b.num_rows):
+                ids, hidden = column["ids"][i].values, column["entry_ids"][i].values
+                more = bool(column["more"][i].as_py())
+                at = pc.index_in(ids, value_set=hidden) if ids is not None and hidden is not None else None
+                for r in steps:
+                    if ids is None:
+                        left = np.zeros(0, bool)
+                    elif at is None:
+                        left = np.ones(len(ids), bool)
+                    else:
+                        found = at.fill_null(-1).to_numpy(zero_copy_only=False)
+                        left = found < 0
+                        if r is not None and len(hidden):
+                            since = column["entry_from"][i].values.to_numpy(zero_copy_only=False)
+                            left |= since[np.maximum(found, 0)] < r
+                    sources = column["source_ids"][i].values
+                    if len(left) and sources is not None and len(sources):
+                        left &= ~pc.is_in(column["sources"][i].values, value_set=sources.drop_null()).to_numpy(zero_copy_only=False)
+                    first = int(left.argmax()) + 1 if left.any() else None
+                    rows.append(i)
+                    rho.append(r)
+                    place.append(first)
+                    opened.append(first is None and more)
+            if rows:
+                own = [b.column(k).take(pa.array(rows)) for k in range(len(by))]
+                yield pa.RecordBatch.from_arrays([*own, *([pa.array(rho, pa.float64())] if radii else []), pa.array(place, pa.int32()), pa.array(opened)], schema=schema)
+
+    ddl = ", ".join([*(f"{c} {k.simpleString()}" for c, k in zip(by, kinds)), *(["rho double"] if radii else []), "place int, open boolean"])
+    return work.mapInArrow(run, ddl)
+
+
+def settled(found: DataFrame, ranked: DataFrame, hidden: DataFrame, by: list[str], target: str, key: str) -> DataFrame:
+    """survivors(radii=...) with its open jobs decided by joins, however many candidates they hide.
+
+    hidden: target, entry_id, since (the largest radius that hides it).
+    """
+    todo = found.where("open").select(*by, "rho").join(ranked.select(key, "place", "entry_id"), key).join(hidden.select(target, "entry_id", "since"), [target, "entry_id"], "left")
+    late = todo.where("since is null or since < rho").groupBy(*by, "rho").agg(F.min("place").alias("late"))
+    return found.join(late, [*by, "rho"], "left").select(*by, "rho", F.coalesce("place", "late").alias("place"))
 
 
 def sweep_jobs(targets: DataFrame, neighbors: DataFrame, radii: list[float]) -> DataFrame:

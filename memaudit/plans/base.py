@@ -58,9 +58,10 @@ def audited(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -
     return cohort(spark, sf_dir, scored).where("skip_reason is null")
 
 
-def states(spark: SparkSession, sf_dir: str, policies: tuple[str, ...] = audit.POLICIES) -> DataFrame:
-    scored = pairs(spark, sf_dir, THRESHOLD)
-    who = audited(spark, sf_dir, scored)
+def states(spark: SparkSession, sf_dir: str, policies: tuple[str, ...] = audit.POLICIES, scored: DataFrame | None = None, who: DataFrame | None = None) -> DataFrame:
+    """The three states of each policy; scored (pairs at THRESHOLD) and who (audited) where the caller has them already."""
+    scored = pairs(spark, sf_dir, THRESHOLD) if scored is None else scored
+    who = audited(spark, sf_dir, scored) if who is None else who
     full = F.when(F.col("garbled"), F.lit("unknown")).otherwise(F.col("selected_value"))
     return audit.three_states(who, scored, THRESHOLD, RADIUS, policies, full_output=full)
 

@@ -139,8 +139,8 @@ def full_query_vector(spark, d):
 SELECT fact FROM cohort WHERE fact NOT IN (SELECT fact FROM hit)""")
 def full_trace_unaffected(spark, d):
     """FULL's candidates (but the fact's own entry) against manifests of ids, of a source, and for even facts of the answer."""
-    who = base.audited(spark, d)
     seen = base.pairs(spark, d, THRESHOLD)
+    who = base.audited(spark, d, seen)
     own = seen.where("entry_id <> fact or source_id = (fact + 1) % 25")
     ids = own.select("fact", "entry_id").where("entry_id % 50 = fact % 50 and entry_id <> fact").groupBy("fact").agg(F.collect_set("entry_id").alias("entry_ids"))
     manifests = who.join(ids, "fact", "left").select("fact", F.coalesce("entry_ids", F.array().cast("array<bigint>")).alias("entry_ids"), F.array((F.col("fact") + 1) % 25).alias("source_ids"), F.when(F.col("fact") % 2 == 0, F.col("gold_norms")).alias("answer_norms"))
@@ -149,8 +149,9 @@ def full_trace_unaffected(spark, d):
 
 def _traced(spark, d) -> DataFrame:
     """Result rows of the provenance policy with traces: under DEL-ON the retained candidates with their support flags."""
-    who = base.audited(spark, d)
-    s = base.states(spark, d, ("provenance",)).select("fact", "del_on_output")
+    scored = base.pairs(spark, d, THRESHOLD)
+    who = base.audited(spark, d, scored)
+    s = base.states(spark, d, ("provenance",), scored, who).select("fact", "del_on_output")
     full = F.when(F.col("garbled"), F.lit("unknown")).otherwise(F.col("selected_value"))
     rows = audit.results_rows(who.join(s, "fact"), {"FULL": full, "DEL-ON": F.col("del_on_output"), "DEL-OFF": F.col("parametric")})
     null = F.lit(None).cast("string")

@@ -160,9 +160,9 @@ def inject_rows(spark, d):
 CONFIG = closure.ClosureConfig(radius=RADIUS, envelope_top_k=8, max_closure_size=10)
 
 
-def _seeded(spark, d) -> tuple[DataFrame, DataFrame]:
-    scored = base.pairs(spark, d)
-    who = base.audited(spark, d, scored)
+def _seeded(spark, d, scored: DataFrame | None = None, who: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    scored = base.pairs(spark, d) if scored is None else scored
+    who = base.audited(spark, d, scored) if who is None else who
     seeds = who.select("fact", F.col("selected_id").alias("entry_id"), F.col("selected_source").alias("source_id"))
     return scored.join(who.select("fact", F.col("gold_norms").alias("answer_norms")), "fact"), seeds
 
@@ -284,7 +284,7 @@ def del_off_sensitivity(spark, d):
 def _result_rows(spark, d) -> DataFrame:
     scored = base.pairs(spark, d, THRESHOLD)
     who = base.audited(spark, d, scored)
-    s = base.states(spark, d, ("provenance",)).select("fact", "del_on_output")
+    s = base.states(spark, d, ("provenance",), scored, who).select("fact", "del_on_output")
     full = F.when(F.col("garbled"), F.lit("unknown")).otherwise(F.col("selected_value"))
     rows = audit.results_rows(who.join(s, "fact"), {"FULL": full, "DEL-ON": F.col("del_on_output"), "DEL-OFF": F.col("parametric")})
     null = F.lit(None).cast("string")
@@ -383,11 +383,15 @@ def _curve(spark, d) -> tuple[DataFrame, DataFrame]:
     seeds = who.select("fact", F.col("selected_id").alias("entry_id"), F.col("selected_source").alias("source_id"))
     gone = closure.caught(scored.join(who.select("fact", F.col("gold_norms").alias("answer_norms")), "fact"), seeds, GRID, config)
     jobs = sweep.sweep_jobs(who.select("fact"), near, GRID)
-    seen = scored.where(F.col("score") >= THRESHOLD).select(F.col("fact").alias("subject"), "entry_id", "score", "value")
-    lost = gone.select(F.col("fact").alias("target"), "rho", "entry_id").distinct()
-    kept = jobs.join(seen, "subject").join(lost, ["target", "rho", "entry_id"], "left_anti")
-    top = kept.groupBy("target", "subject", "role", "rho").agg(F.max_by("value", F.struct("score", -F.col("entry_id"))).alias("value"))
-    rows = jobs.join(top, ["target", "subject", "role", "rho"], "left").join(who.select(F.col("fact").alias("subject"), "gold_norms", "parametric"), "subject")
+    # Each target's closures as one list, each subject's candidates as another: all radii of a job are decided in one row.
+    ranked = stored(sweep.ranking(scored, THRESHOLD).select(F.col("fact").alias("subject"), "place", "entry_id", "source_id", "value"), "ranking")
+    hidden = stored(gone.groupBy(F.col("fact").alias("target"), "entry_id").agg(F.max("rho").alias("since")), "hidden")
+    lists = hidden.groupBy("target").agg(F.collect_list(F.struct("entry_id", "since")).alias("lost"))
+    lists = lists.select("target", F.transform("lost", lambda x: x["entry_id"]).alias("entry_ids"), F.transform("lost", lambda x: x["since"]).alias("entry_from"), F.array().cast("array<long>").alias("source_ids"))
+    found = sweep.survivors(jobs.drop("rho").distinct().join(lists, "target"), sweep.pages(ranked, "subject"), ["target", "subject", "role"], "subject", GRID)
+    found = sweep.settled(stored(found, "survivors"), ranked, hidden, ["target", "subject", "role"], "target", "subject")
+    top = found.join(ranked.select("subject", "place", "value"), ["subject", "place"], "left")
+    rows = top.select("target", "subject", "role", "rho", "value").join(who.select(F.col("fact").alias("subject"), "gold_norms", "parametric"), "subject")
     rows = rows.withColumn("correct", T.contains_norms(T.norm(F.coalesce("value", "parametric")), F.col("gold_norms")))
     return sweep.entanglement_curve(rows, near, right), near
 
@@ -446,10 +450,10 @@ def build_injections(spark, d):
     return rows.select("fact", "epsilon", "template", "entry_id", F.round(V.dot(F.col("vector"), F.col("q")), 6).alias("cosine"), F.round("target_cosine", 6).alias("target_cosine"), "value")
 
 
-def _attack(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _attack(spark, d, scored: DataFrame | None = None, who: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Attacks on geometric closures: injected keys are scored against their queries, and compete with what the closure left."""
-    scored = base.pairs(spark, d, THRESHOLD)
-    who = base.audited(spark, d, scored)
+    scored = base.pairs(spark, d, THRESHOLD) if scored is None else scored.where(F.col("score") >= THRESHOLD)
+    who = base.audited(spark, d, scored) if who is None else who
     left = scored.join(who.select("fact", "selected_id"), "fact").where((F.col("score") < RADIUS) & (F.col("entry_id") != F.col("selected_id")))
     queries = base.facts(spark, d).select("fact", "vector").join(who.select("fact", "gold", "gold_norms", "parametric"), "fact")
     injected = adversary.build_injections(queries.select("fact", "vector", F.col("gold").alias("answer")), ATTACK)
@@ -474,10 +478,12 @@ def evasion_table(spark, d):
 
 
 def _margins(spark, d) -> DataFrame:
-    scored, seeds = _seeded(spark, d)
+    every = base.pairs(spark, d)
+    who = base.audited(spark, d, every)
+    scored, seeds = _seeded(spark, d, every, who)
     config = closure.ClosureConfig(predicates=("geometric",), radius=RADIUS)
     shape = closure.geometry(scored, closure.caught(scored, seeds, [RADIUS], config), seeds, provenance=False)
-    _, before, off = _attack(spark, d)
+    _, before, off = _attack(spark, d, every, who)
     return adversary.margin_table(shape, adversary.r_of_fact(before, off), RADIUS)
 
 
