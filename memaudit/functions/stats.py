@@ -43,20 +43,40 @@ def ranked(df: DataFrame, value: str, out: str, by: tuple[str, ...] = (), base:
 
 
 def auroc(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mann-Whitney statistic with average ranks; null if a class is missing. label is boolean; null scores are left out."""
-    r = ranked(df.where(F.col(label).isNotNull()), score, "__r", by)
-    pos = F.col(label)
-    up, n = F.count_if(pos), F.count("*")
-    value = (F.sum(F.when(pos, F.col("__r"))) - up * (up + 1) / 2) / (up * (n - up))
-    return r.groupBy(*by).agg(up.alias("positives"), (n - up).alias("negatives"), F.when((up > 0) & (n > up), value).alias("auroc"))
+    """Mann-Whitney statistic with average ranks; null if a class is missing. label is boolean; null scores are left out.
+
+    It needs the rows and positives of each distinct score only, so however many rows share a score, none is joined.
+    """
+    rows = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    counts = rows.groupBy(*by, score).agg(F.count("*").alias("__n"), F.count_if(F.col(label)).alias("__up"))
+    ranks = running(counts, score, "__n", by)
+    up, n = F.sum("__up"), F.sum("__n")
+    over = F.sum(F.col("__up") * (F.col("__before") + (F.col("__n") + 1) / 2)) - up * (up + 1) / 2
+    found = ranks.groupBy(*by).agg(up.alias("positives"), (n - up).alias("negatives"), over.alias("__over"))
+    value = F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.try_divide(F.col("__over"), F.col("positives").cast("double") * F.col("negatives")))
+    found = found.select(*by, *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("positives", "negatives")], value.alias("auroc"))
+    return found
 
 
 def spearman(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pearson correlation of average ranks; null where a variance is zero."""
+    """Pearson correlation of average ranks; null where a variance is zero.
+
+    Ranks are those of distinct values and meet the counts of distinct pairs, so equal rows are one row from the start.
+    """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    r = ranked(ranked(rows, x, "__rx", by), y, "__ry", by)
-    var = lambda c: F.var_pop(c)
-    return r.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("__rx", "__ry"), F.sqrt(var("__rx") * var("__ry"))).alias("spearman"))
+    pairs = stored(rows.groupBy(*by, F.col(x).alias("__x"), F.col(y).alias("__y")).agg(F.count("*").alias("__n")), "pair-counts")
+
+    def ranks(value: str) -> DataFrame:
+        counts = running(pairs.groupBy(*by, value).agg(F.sum("__n").alias("__m")), value, "__m", by)
+        return counts.select(*by, value, (F.col("__before") + (F.col("__m") + 1) / 2).alias(f"__r{value}"))
+
+    r = pairs.join(ranks("__x"), [*by, "__x"]).join(ranks("__y"), [*by, "__y"])
+    n, rx, ry = F.col("__n"), F.col("__r__x"), F.col("__r__y")
+    sums = r.groupBy(*by).agg(F.coalesce(F.sum(n), F.lit(0).cast("long")).alias("n"), *[F.sum(n * v).alias(c) for c, v in (("__sx", rx), ("__sy", ry), ("__sxx", rx * rx), ("__syy", ry * ry), ("__sxy", rx * ry))])
+    mean = lambda c: F.try_divide(F.col(c), F.col("n"))
+    cov = mean("__sxy") - mean("__sx") * mean("__sy")
+    var = (mean("__sxx") - mean("__sx") * mean("__sx")) * (mean("__syy") - mean("__sy") * mean("__sy"))
+    return sums.select(*by, "n", F.when(var > 1e-12, cov / F.sqrt(var)).alias("spearman"))
 
 
 def phi(df: DataFrame, x: str, y: str, by: tuple[str, ...] = ()) -> DataFrame:
