@@ -310,6 +310,21 @@ def metrics_total(spark, d):
     return _rounded(metrics.metrics_total(_result_rows(spark, d), traces=False))
 
 
+@query(f"WITH {SQL_RESULTS} SELECT {SQL_ROW_MEANS}, {SQL_PAIR_MEANS} FROM sc")
+def stream_metrics(spark, d):
+    """metrics_total from a stream: rows arrive out of order in several batches, the query is stopped and started again."""
+    from memaudit.streaming import complete, ingest
+
+    where = new_path(spark, "stream-metrics")
+    rows = _result_rows(spark, d).select("fact_id", "state", "ground_truth", "object_aliases", "model_output", "row_index")
+    rows = rows.withColumn("written", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("state", "fact_id"), F.lit(3600))))
+    rows.repartition(4, F.xxhash64("state", "fact_id")).write.parquet(f"{where}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{where}/in")
+    for _ in range(2):
+        ingest.append_stream(complete.complete_facts(stream, "written"), f"{where}/table", f"{where}/checkpoint").awaitTermination()
+    return _rounded(complete.totals(spark.read.schema(complete.OUT).parquet(f"{where}/table")))
+
+
 @query(f"WITH {SQL_RESULTS} SELECT state, {SQL_ROW_MEANS} FROM sc GROUP BY state UNION ALL SELECT NULL, {SQL_ROW_MEANS} FROM sc")
 def metrics_by_state(spark, d):
     return _rounded(metrics.metrics_by_state(_result_rows(spark, d)).select("state", "count", *metrics.ROW_SCORES))
