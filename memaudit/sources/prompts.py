@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memaudit.functions import text as T
+from memaudit.operators.scratch import stored
 
 PROMPTS = """prompt_id string, fact_id string, prompt_text string, gold_object string, object_aliases array<string>,
 gold_object_aliases array<string>, answer_aliases array<string>, subject string, relation string, predicate_id string,
@@ -27,8 +28,9 @@ def scan_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with row_index from 0 in the order of a column, by ranks within ranges of it (no single task sees all rows)."""
-    ranges = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
+    """df with row_index from 0 in the order of a column, by ranks within ranges of it (no single task sees all rows). The
+    ranges are stored: sizes and ranks are then of the same ones, whatever is computed anew."""
+    ranges = stored(df.repartitionByRange(order).withColumn("__p", F.spark_partition_id()), "ranges")
     sizes = ranges.groupBy("__p").agg(F.count("*").alias("n"))
     starts = sizes.select("__p", (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("start"))
     return ranges.join(F.broadcast(starts), "__p").withColumn("row_index", F.col("start") + F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1).drop("__p", "start")

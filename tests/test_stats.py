@@ -44,3 +44,12 @@ def test_auroc_and_spearman_of_counts(spark):
     none = df.limit(0)
     assert [tuple(r) for r in stats.auroc(none, "x", "label").collect()] == [(0, 0, None)]
     assert [tuple(r) for r in stats.spearman(none, "x", "y").collect()] == [(0, None)]
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from memaudit.sources.prompts import numbered
+
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(6)
+    assert [tuple(r) for r in numbered(df, "k").orderBy("k").select("k", "row_index").collect()] == [(i, i) for i in range(1000)]
