@@ -216,7 +216,8 @@ def encode_decode(docs: DataFrame, tokenizer: Tokenizer, id_col: str = "doc_id",
     """One row per input row: id_col, ids (binary, little-endian unsigned 32-bit), decoded (binary, if decode).
 
     No shuffle: each task streams its own rows. A null text counts as empty and gives no ids; null and repeated ids
-    are kept as they are; other columns are not read. Texts are encoded whole, whatever their length.
+    are kept as they are; other columns are not read, whatever they are called; an empty table gives no rows. Texts are
+    encoded whole, whatever their length. From here on the session sends rows to Python in smaller batches (small_batches).
     """
     make = tokenizer.maker()
     source = small_batches(docs).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

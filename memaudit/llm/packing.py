@@ -97,7 +97,9 @@ def pack(tokens: DataFrame, window: int = 2048, eos: int = 50256, pad: int = 502
     id_bytes bytes, little-endian, filled up with pad. n_tokens leaves padding out.
 
     Every document gets eos at its end, so an empty or null one is a single token; joining a document's segments by
-    starts gives back all its tokens. Repeated and null document ids are packed like others. pack_id is unique, and the
+    starts gives back all its tokens. Repeated and null document ids are packed like others; other columns are not read,
+    whatever they are called; an empty table gives no windows. Documents of one length are packed in the order in which
+    they come. pack_id is unique, and the
     same as long as the input's partitions are.
     """
     kind = {2: "<u2", 4: "<u4"}[id_bytes]

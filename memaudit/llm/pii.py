@@ -223,7 +223,7 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """id_col, n_found, found (kind of each value replaced, in order), text: one row per input row, without a shuffle.
 
     Valid values of all KINDS in the whole text are replaced; all else stays, byte for byte. Null text counts as empty;
-    null and repeated ids are kept; other columns are not read. A secret is a key or a value after `token =` and the like.
+    null and repeated ids are kept; other columns are not read, whatever they are called; an empty table gives no rows. A secret is a key or a value after `token =` and the like.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     steps = docs.select(F.col(id_col), text.alias("text"))

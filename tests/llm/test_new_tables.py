@@ -301,3 +301,40 @@ def test_lines_count_documents_by_id(spark, monkeypatch):
         assert lines(texts) == plain(texts)
     kept = lines(many + [(77, "same")], keep="first")
     assert sum(k.split("\n").count("same") for (_, k), n in kept.items() for _ in range(n)) == 1
+
+
+# Edges of earlier operators.
+
+
+def test_encoding_and_packing_of_odd_rows(spark):
+    import struct
+
+    from memaudit.llm.byte_bpe import encode_decode
+    from memaudit.llm.packing import pack
+    from memaudit.llm.queries import tokenizer
+
+    kind = "doc_id long, text string, ids string, decoded int, ID int, pack_id string"
+    rows = [(1, "a b c", "x", 1, 1, "p"), (1, "a b c", "x", 1, 1, "p"), (None, "null id", None, None, None, None), (None, None, None, None, None, None), (5, "", None, None, None, None)]
+    tok = tokenizer(spark)
+    got = encode_decode(spark.createDataFrame(rows, kind), tok).collect()
+    assert sorted(bytes(r.decoded).decode() for r in got) == sorted(x[1] or "" for x in rows)
+    assert collections.Counter(r.doc_id for r in got) == collections.Counter(x[0] for x in rows)
+    packed = pack(encode_decode(spark.createDataFrame(rows, kind), tok, decode=False).withColumns({"pack_id": F.lit("x"), "starts": F.lit(1)}), window=8).collect()
+    held = collections.Counter()
+    for p in packed:
+        ids = struct.unpack("<8H", bytes(p.ids))
+        for doc, a, b in zip(p.doc_ids, p.cu_seqlens, p.cu_seqlens[1:]):
+            held[doc, ids[a:b]] += 1
+    want = collections.Counter((r.doc_id, (*np.frombuffer(bytes(r.ids), "<u4").tolist(), 50256)) for r in got)
+    assert held == want
+    assert encode_decode(spark.createDataFrame([], kind), tok).count() == 0
+    assert pack(encode_decode(spark.createDataFrame([], kind), tok, decode=False)).count() == 0
+
+
+def test_quality_with_clashing_columns(spark):
+    from memaudit.llm.quality import classify
+
+    docs = spark.createDataFrame([(i, f"some words {i} here." if i % 2 else "BUY!!! $$$ 99", "x", 2, 3.0, 1) for i in range(40)] + [(None, None, None, None, None, None)], "doc_id long, text string, held_out string, score int, x double, quality int")
+    labels = spark.createDataFrame([(i, i % 2, "t", 1) for i in range(40)], "doc_id long, quality int, text string, x int")
+    got = classify(docs, labels).collect()
+    assert len(got) == 41 and all(r.predicted == r.doc_id % 2 for r in got if r.doc_id is not None)
