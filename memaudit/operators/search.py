@@ -22,8 +22,9 @@ from memaudit.functions.text import contains_norms, judge_norms, norm
 
 from .scratch import new_path, stored
 
-#: Query vectors that a task holds at once; further blocks are further passes over the entries.
+#: Query vectors that a task holds at once, and their bytes; further blocks are further passes over the entries.
 QUERY_BLOCK = 16_384
+QUERY_BYTES = 32 << 20
 #: Elements of one block of scores (8 bytes each).
 SCORES = 4_000_000
 
@@ -40,9 +41,9 @@ def _scored(queries: DataFrame, entries: DataFrame, min_score: float, k: int | N
     ddl = f"{query_col} {q_kind.simpleString()}, {entry_col} {e_kind.simpleString()}, score double"
     source = entries.select(entry_col, "vector")
 
-    def scorer(rows: list):
-        matrix = np.array([r[1] for r in rows], float)
-        names = pa.array([r[0] for r in rows], to_arrow_type(q_kind))
+    def scorer(rows: pa.Table):
+        names, flat = (rows.column(i).combine_chunks() for i in range(2))
+        matrix = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(names), -1)
 
         def pairs(stream: Iterator[pa.RecordBatch]):
             """Query numbers, entries and scores over the floor, a block at a time."""
@@ -79,18 +80,19 @@ def _scored(queries: DataFrame, entries: DataFrame, min_score: float, k: int | N
 
     spark = queries.sparkSession
     own = queries.select(query_col, "vector").where(F.col("vector").isNotNull())
-    n = own.count()
+    n, dim = own.agg(F.count("*"), F.max(F.size("vector"))).first()
     if n == 0:
         return spark.createDataFrame([], ddl)
+    block = max(1, min(block, QUERY_BYTES // (8 * max(dim, 1))))
     if n <= block:
-        return source.mapInArrow(scorer(own.collect()), ddl)
+        return source.mapInArrow(scorer(own.toArrow()), ddl)
     parts = -(-2 * n // block)
     own = stored(own.withColumn("b", F.pmod(F.xxhash64(query_col), F.lit(parts))), "queries")
     path = new_path(spark, "scored")
     for i in range(parts):
-        rows = own.where(F.col("b") == i).select(query_col, "vector").collect()
-        for at in range(0, len(rows), block):
-            source.mapInArrow(scorer(rows[at : at + block]), ddl).write.mode("append").parquet(path)
+        rows = own.where(F.col("b") == i).select(query_col, "vector").toArrow()
+        for at in range(0, rows.num_rows, block):
+            source.mapInArrow(scorer(rows.slice(at, block)), ddl).write.mode("append").parquet(path)
     return spark.read.schema(ddl).parquet(path)
 
 

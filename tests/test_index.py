@@ -75,3 +75,10 @@ def test_empty_single_and_unequal(spark):
     assert vector_index.nearest(queries.limit(0), one, 1)[0].count() == 0
     with pytest.raises(ValueError, match="components"):
         vector_index.build(spark.createDataFrame([("a", [1.0]), ("b", [0.0, 1.0])], kind))
+
+
+def test_queries_in_blocks_of_bounded_bytes(spark, data, monkeypatch):
+    queries, entries, _ = data
+    whole = rows(search.nearest(queries, entries, 3)), rows(search.score_pairs(queries, entries, 0.9))
+    monkeypatch.setattr(search, "QUERY_BYTES", 8 * 24 * 50)  # 181 queries in blocks of 50
+    assert (rows(search.nearest(queries, entries, 3)), rows(search.score_pairs(queries, entries, 0.9))) == whole
