@@ -220,7 +220,7 @@ def probe_audit_outputs(results: DataFrame, samples: DataFrame, path: str, confi
     if known < max(LEAST_FACTS, config.folds):
         return None
     per_fact, summary = control_probe("query", samples, labels, behavioral_mean(results), config, fold_groups)
-    write_csv(union_by_name(per_fact.drop("representation", "split")), f"{path}/probe_per_fact")
+    write_csv(union_by_name(per_fact.drop("representation", "split")), f"{path}/probe_per_fact", True)
     write_rows(samples.sparkSession, [summary], f"{path}/probe_summary")
     return summary
 

@@ -147,10 +147,11 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, for summaries; nested columns as JSON."""
+def write_csv(df: DataFrame, path: str, parts: bool = False) -> None:
+    """One CSV file with a header, for summaries; with parts as many files as df has partitions, each with its header, in
+    the order of df: for tables with a row per fact. Nested columns as JSON."""
     flat = df.select(*[F.to_json(c).alias(c) if k.startswith(("array", "struct", "map")) else F.col(c) for c, k in df.dtypes])
-    flat.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    (flat if parts else flat.coalesce(1)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def union_by_name(*frames: DataFrame) -> DataFrame:
@@ -209,13 +210,13 @@ def write_neighbors(neighbors: DataFrame, config: dict, path: str) -> None:
 def write_entanglement(curve: DataFrame, gaps: DataFrame, path: str) -> None:
     """Curves, one row a target and radius, and gaps, as CSV."""
     columns = ("rho", "efficacy", "collateral", "neighbor_count", "neighbors_observed", "neighbors_full_correct", "gap_term")
-    write_csv(curve.select(F.col("target").alias("target_key"), *columns).orderBy("target_key", F.desc("rho")), f"{path}/entanglement_curves")
-    write_csv(gaps.select(F.col("target").alias("target_key"), "gap", "gap_rho", "gap_eligible").orderBy("target_key"), f"{path}/entanglement_gaps")
+    write_csv(curve.select(F.col("target").alias("target_key"), *columns).orderBy("target_key", F.desc("rho")), f"{path}/entanglement_curves", True)
+    write_csv(gaps.select(F.col("target").alias("target_key"), "gap", "gap_rho", "gap_eligible").orderBy("target_key"), f"{path}/entanglement_gaps", True)
 
 
 def write_adversarial(evasion: DataFrame, margins: DataFrame, path: str) -> None:
     write_csv(evasion.orderBy("epsilon", "template"), f"{path}/evasion")
-    write_csv(margins.orderBy("fact"), f"{path}/margins")
+    write_csv(margins.orderBy("fact"), f"{path}/margins", True)
 
 
 def closure_documents(closure: DataFrame, manifests: DataFrame, geometry: DataFrame, config) -> DataFrame:
