@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memaudit.functions import stats
 from memaudit.functions import text as T
-from memaudit.operators import followups, incremental
+from memaudit.operators import followups, incremental, mentions
 from memaudit.sources import prompts
 
 from .base import spread, sql_holds, sql_judge, sql_norm, sql_tokens, table
@@ -165,46 +165,13 @@ def clean_completion(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.clean_completion(F.concat(F.lit("it is "), "text")).alias("answer"))
 
 
-# Mentions: a theta join against phrases of a checked size.
-
-#: Phrases up to so many are broadcast and tried on each text; beyond, texts and phrases meet on hashed word n-grams.
-PHRASES = 5_000
-
-
-def mention_pairs(texts: DataFrame, phrases: DataFrame, most: int = PHRASES) -> DataFrame:
-    """(id, phrase_id) where the text's normal form n mentions the phrase's; texts: id, n. phrases: phrase_id, m.
-
-    Beyond `most` phrases a text's word and its three-word grams are hashed and meet those of the phrases; only ids and
-    hashes are shuffled, and the texts join the distinct candidates afterwards. ids must be unique.
-    """
-    if phrases.count() <= most:
-        return texts.join(F.broadcast(phrases), T.judge_norms(F.col("n"), F.array("m"))).select("id", "phrase_id")
-    words = lambda c: F.split(c, " ")
-    gram = lambda w, i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    size = F.size("w")
-
-    def all_grams(df: DataFrame, key: str) -> DataFrame:
-        return df.where(size >= 3).select(key, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), size - 3), lambda i: gram(F.col("w"), i)))).alias("h"))
-
-    def all_words(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.explode(F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))).alias("h"))
-
-    def first(df: DataFrame, key: str) -> DataFrame:  # what a holder must have: the first gram, or the first word
-        return df.select(key, F.when(size >= 3, gram(F.col("w"), F.lit(0))).otherwise(F.xxhash64(F.get("w", F.lit(0)))).alias("h"))
-
-    t, p = texts.where("n <> ''").withColumn("w", words(F.col("n"))), phrases.where("m <> ''").withColumn("w", words(F.col("m")))
-    ahead = all_grams(t, "id").unionByName(all_words(t, "id")).join(first(p, "phrase_id"), "h")
-    # A phrase may hold the text: the same with the roles changed.
-    back = all_grams(p, "phrase_id").unionByName(all_words(p, "phrase_id")).join(first(t.where(F.length("n") >= 3), "id"), "h")
-    pairs = ahead.select("id", "phrase_id").unionByName(back.select("id", "phrase_id")).distinct()
-    both = pairs.join(phrases, "phrase_id").join(texts, "id")
-    return both.where(T.judge_norms(F.col("n"), F.array("m"))).select("id", "phrase_id")
+# Mentions: texts and phrases by the phrases' rarest grams.
 
 
 def _mentions(spark, d) -> DataFrame:
     texts = documents(spark, d).select(F.col("doc_id").alias("id"), T.norm(F.col("text")).alias("n"))
     phrases = table(spark, d, "benchmark").select(F.col("item_id").alias("phrase_id"), T.norm(F.col("text")).alias("m"))
-    return mention_pairs(texts, phrases)
+    return mentions.mention_pairs(texts, phrases)
 
 
 SQL_MENTIONS = f"""n AS (SELECT doc_id, {sql_norm('text')} AS n FROM documents), b AS (SELECT item_id, {sql_norm('text')} AS m FROM benchmark),
