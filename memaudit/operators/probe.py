@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from memaudit.functions import text as T
 
+from .joins import hot_join
 from .scratch import stored
 
 
@@ -33,6 +34,8 @@ class ProbeConfig:
 
 #: Bytes that the weights of all folds, or the answers' features, may take on the driver and in a task.
 MATRIX_BYTES = 1 << 30
+#: Rows whose answers a task expands at once, answers it scores at once, rows it scores at once, bytes of class sums it holds.
+SUM_ROWS, ANSWER_BLOCK, SCORE_ROWS, SUM_BYTES = 256, 4_096, 64, 64 << 20
 #: Groups that the seeded shuffle may order on the driver.
 SEEDED_GROUPS = 1_000_000
 #: Labelled facts below which an audit's outputs aren't probed.
@@ -64,12 +67,79 @@ def ridge_fit(x: np.ndarray, y: np.ndarray, lam: float) -> np.ndarray:
     return np.linalg.solve(x.T @ x + lam * np.eye(x.shape[1]), x.T @ y)
 
 
-def _answer_matrix(rows: list, dim: int) -> np.ndarray:
-    out = np.zeros((len(rows), dim))
-    for i, feats in enumerate(rows):
-        for f in feats:
-            out[i, f["feature"]] = f["weight"]
-    return out
+def _scores(rows: np.ndarray, starts: np.ndarray, features: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Inner products of rows with sparse answers, ANSWER_BLOCK of them at once: (first answer, rows x answers)."""
+    for at in range(0, len(starts) - 1, ANSWER_BLOCK):
+        cut = starts[at : at + ANSWER_BLOCK + 1]
+        own = slice(cut[0], cut[-1])
+        yield at, np.add.reduceat(rows[:, features[own]] * weights[own], cut[:-1] - cut[0], axis=1)
+
+
+def _best(rows: np.ndarray, starts: np.ndarray, features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each row's best answer; of equal ones the first."""
+    top, place = np.full(len(rows), -np.inf), np.zeros(len(rows), "int64")
+    for at, found in _scores(rows, starts, features, weights):
+        own = found.argmax(1)
+        value = found[np.arange(len(rows)), own]
+        better = value > top
+        top[better], place[better] = value[better], at + own[better]
+    return place
+
+
+def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Partial vectors (keys, value) of tasks to their sums; a key has at most a few partial vectors a task."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.iloc[:1].assign(value=[np.sum(np.stack(frame["value"]), 0)])
+
+    return parts.groupBy(*keys).applyInPandas(add, parts.schema)
+
+
+def gram_sums(rows: DataFrame, d: int, k: int) -> DataFrame:
+    """(fold, i, value): per fold row i of X'X and, after it, of X'Y; rows: fold, vector of d numbers, features and weights
+    of the row's sparse y, of k numbers. A task holds one matrix of d x (d + k) a fold, whatever the number of answers."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for fold, part in frame.groupby("fold"):
+                held = own.setdefault(int(fold), np.zeros((d, d + k)))
+                for at in range(0, len(part), SUM_ROWS):
+                    cut = part.iloc[at : at + SUM_ROWS]
+                    x, y = np.stack(cut["vector"]), np.zeros((len(cut), k))
+                    held[:, :d] += x.T @ x
+                    if k:
+                        y[np.repeat(np.arange(len(cut)), cut["features"].map(len)), np.concatenate(list(cut["features"]))] = np.concatenate(list(cut["weights"]))
+                        held[:, d:] += x.T @ y
+        for fold, held in own.items():
+            yield pd.DataFrame({"fold": fold, "i": range(d), "value": list(held)})
+
+    parts = rows.select("fold", "vector", *["features", "weights"] * bool(k)).mapInPandas(sums, "fold int, i int, value array<double>")
+    return _summed(parts, ["fold", "i"])
+
+
+def class_sums(rows: DataFrame) -> DataFrame:
+    """(fold, answer_norm, value): the sum of an answer's vectors in a fold. A task passes its sums on when they hold
+    SUM_BYTES."""
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own: dict = {}
+
+        def out() -> pd.DataFrame:
+            frame = pd.DataFrame([(int(f), a, v) for (f, a), v in own.items()], columns=["fold", "answer_norm", "value"])
+            own.clear()
+            return frame
+
+        for frame in frames:
+            for key, part in frame.groupby(["fold", "answer_norm"]):
+                own[key] = own.get(key, 0) + np.stack(part["vector"]).sum(0)
+                if len(own) * 8 * len(own[key]) > SUM_BYTES:
+                    yield out()
+        if own:
+            yield out()
+
+    parts = rows.select("fold", "answer_norm", "vector").mapInPandas(sums, "fold int, answer_norm string, value array<double>")
+    return _summed(parts, ["fold", "answer_norm"])
 
 
 def _folds(truth: DataFrame, config: ProbeConfig, fold_groups: DataFrame | None) -> tuple[DataFrame, int]:
@@ -100,8 +170,10 @@ def run_probe(samples: DataFrame, labels: DataFrame, config: ProbeConfig = Probe
 
     samples: sample_id, fact, vector; labels: fact, ground_truth, aliases (or none). fold_groups: fact, group; a fact
     without one is a group of its own, and a fact's samples share a fold. Vectors are L2-normalised, zero ones dropped.
-    Candidates are the distinct normal forms of the answers (one table of answers, broadcast, bounded in bytes).
-    Per fold a task sums X'X and X'Y of its rows; W of a fold comes from the total less the fold's sums.
+    Candidates are the distinct normal forms of the answers. Ranking: they travel as sparse features, so that millions fit
+    the bound in bytes; X'X and X'Y of a fold are summed on executors, and the driver gets d x (d + feature_dim) numbers a
+    fold. Classification: a class is a column of W, so classes x d x folds numbers must fit the bound.
+    W of a fold comes from the total less the fold's sums. A label is unseen if all its rows are in the fact's fold.
     """
     from .search import unit_rows
 
@@ -118,72 +190,57 @@ def run_probe(samples: DataFrame, labels: DataFrame, config: ProbeConfig = Probe
     if lead is None:
         empty = spark.createDataFrame([], "fact string, answer string, fold int, fold_group string, fold_group_size long, samples long, predicted string, label_unseen boolean, l_rep double")
         return empty, shape | {"folds": config.folds, "facts": 0, "fold_groups": 0, "largest_fold_group": 0, "samples": 0, "samples_dropped_no_label": total, "candidates": n_candidates, "label_unseen_count": 0, "l_rep_hat": None}
-    width = config.feature_dim if config.mode == "ranking" else n_candidates
+    ranking = config.mode == "ranking"
+    width = config.feature_dim if ranking else n_candidates
     d = len(lead["vector"])
-    if 8 * max(config.folds * (d * d + d * width), n_candidates * width if config.mode == "ranking" else 0) > MATRIX_BYTES:
+    if ranking:  # a candidate's name, its features and their weights
+        candidates = stored(candidates.withColumn("f", T.answer_features(F.col("answer"), config.feature_dim)).select("answer_norm", F.col("f.feature").alias("features"), F.col("f.weight").alias("weights")), "probe-candidates")
+        held = candidates.agg(F.sum(F.octet_length("answer_norm") + 16 * F.size("features") + 16)).first()[0]
+    else:
+        held = 0
+    if max(8 * config.folds * (d * d + d * width), held) > MATRIX_BYTES:
         raise ValueError("the probe's matrices are too large; lower feature_dim, or have fewer distinct answers")
     folds, n_folds = _folds(truth.join(vectors.select("fact").distinct(), "fact", "left_semi"), config, fold_groups)
     folds = stored(folds, "probe-folds")
     rows = stored(own.withColumn("__f", F.col("fact").cast("string")).join(folds.select(F.col("fact").alias("__f"), "fold"), "__f").drop("__f"), "probe-rows")
-    if config.mode == "ranking":
-        cand = candidates.withColumn("features", T.answer_features(F.col("answer"), config.feature_dim)).collect()
-        matrix = _answer_matrix([r["features"] for r in cand], config.feature_dim)
-    else:  # a class is a column of its own: no matrix is made
-        cand, matrix = candidates.collect(), None
-    names = [r["answer_norm"] for r in cand]
-    at = {n: i for i, n in enumerate(names)}
-    k = width
-
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict = {}
-        for frame in frames:
-            for (fold, answer), part in frame.groupby(["fold", "answer_norm"]):
-                x = np.stack(part["vector"])
-                g, b = own.setdefault(int(fold), (np.zeros((d, d)), {}))
-                g += x.T @ x
-                b[answer] = b.get(answer, 0) + x.sum(0)
-        for fold, (g, b) in own.items():
-            yield pd.DataFrame({"fold": fold, "answer_norm": ["", *b], "i": list(range(len(b) + 1)), "value": [g.ravel(), *b.values()]})
-
-    # X'Y is kept per answer as the sum of its rows' vectors; it is expanded by the answers' features on the driver.
-    parts = rows.select("fold", "answer_norm", "vector").mapInPandas(sums, "fold int, answer_norm string, i int, value array<double>")
-    placed = parts.select("fold", "answer_norm", F.posexplode("value").alias("place", "v")).groupBy("fold", "answer_norm", "place").agg(F.sum("v").alias("v"))
-    gram = {f: np.zeros((d, d)) for f in range(n_folds)}
-    xty = {f: np.zeros((d, k)) for f in range(n_folds)}
-    seen = {f: set() for f in range(n_folds)}
-    for r in placed.groupBy("fold", "answer_norm").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("value")).collect():
-        value = np.array([x["v"] for x in r["value"]])
-        if r["answer_norm"] == "":
-            gram[r["fold"]] += value.reshape(d, d)
-        else:
-            if matrix is None:
-                xty[r["fold"]][:, at[r["answer_norm"]]] += value
-            else:
-                xty[r["fold"]] += np.outer(value, matrix[at[r["answer_norm"]]])
-            seen[r["fold"]].add(r["answer_norm"])
-    all_g, all_b = sum(gram.values()), sum(xty.values())
-    trained = {f: set().union(*(seen[g] for g in seen if g != f)) for f in seen}
+    spread = stored(rows.groupBy("answer_norm").agg(F.count("*").alias("rows"), F.lit(1).alias("one"), F.count_distinct("fold").alias("folds")), "probe-answers")
+    cand = candidates.orderBy("answer_norm").toArrow().combine_chunks()
+    names = cand["answer_norm"].combine_chunks()
+    if ranking:
+        counts = np.array([len(x) for x in cand["features"].to_numpy()], "int64")
+        answers = (np.concatenate([[0], np.cumsum(counts)]), np.concatenate(list(cand["features"].to_numpy())).astype("int64"), np.concatenate(list(cand["weights"].to_numpy())))
+        trained = gram_sums(hot_join(rows, candidates.join(spread, "answer_norm"), "answer_norm", ("rows", "one"), ("fact", "answer_norm"), "answer_norm"), d, width)
+    else:
+        answers, trained = None, gram_sums(rows, d, 0)
+    total_of = {f: np.zeros((d, d + width)) for f in range(n_folds)}
+    got = trained.toArrow()
+    for fold, i, value in zip(got["fold"].to_pylist(), got["i"].to_pylist(), got["value"].to_numpy()):
+        total_of[fold][i, : len(value)] = value
+    if not ranking:
+        at, got = {n: i for i, n in enumerate(names.to_pylist())}, class_sums(rows).toArrow()
+        for fold, name, value in zip(got["fold"].to_pylist(), got["answer_norm"].to_pylist(), got["value"].to_numpy()):
+            total_of[fold][:, d + at[name]] = value
+    everything = sum(total_of.values())
     # A fold's weights are solved where they are used: tasks have one BLAS thread, the driver shares its with the gateway.
-    sums_of = {f: (all_g - gram[f] + config.ridge_lambda * np.eye(d), all_b - xty[f]) for f in gram}
-    sent = spark.sparkContext.broadcast((sums_of, matrix, names))
+    sums_of = {f: (everything[:, :d] - own[:, :d] + config.ridge_lambda * np.eye(d), everything[:, d:] - own[:, d:]) for f, own in total_of.items()}
+    sent = spark.sparkContext.broadcast((sums_of, answers, names))
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         solvable, answers, labels_ = sent.value
-        own: dict = {}
+        solved: dict = {}
         for frame in frames:
             for fold, part in frame.groupby("fold"):
-                if fold not in own:
-                    weights = np.linalg.solve(*solvable[int(fold)])
-                    own[fold] = weights if answers is None else weights @ answers.T
-                best = (np.stack(part["vector"]) @ own[fold]).argmax(1)
-                yield pd.DataFrame({"fact": part["fact"].astype(str), "fold": int(fold), "predicted": [labels_[i] for i in best]})
+                if fold not in solved:
+                    solved[fold] = np.linalg.solve(*solvable[int(fold)])
+                there = np.stack(part["vector"]) @ solved[fold]
+                best = there.argmax(1) if answers is None else np.concatenate([_best(there[at : at + SCORE_ROWS], *answers) for at in range(0, len(there), SCORE_ROWS)])
+                yield pd.DataFrame({"fact": part["fact"].astype(str), "fold": int(fold), "predicted": labels_.take(best).to_pylist()})
 
     guesses = rows.select("fact", "fold", "vector").mapInPandas(predict, "fact string, fold int, predicted string")
-    known = spark.createDataFrame([(f, n) for f in trained for n in trained[f]] or [(-1, "")], "fold int, answer_norm string").withColumn("known", F.lit(True))
     keyed = truth.select(F.col("fact").cast("string").alias("fact"), "ground_truth", "answer_norm", "answer_norms")
     marked = guesses.join(keyed, "fact").withColumn("hit", F.array_contains("answer_norms", F.col("predicted")).cast("double"))
     per_fact = marked.groupBy("fact", "fold", "answer_norm").agg(F.first("ground_truth").alias("answer"), F.count("*").alias("samples"), F.mode("predicted").alias("predicted"), F.avg("hit").alias("l_rep"))
-    per_fact = per_fact.join(F.broadcast(known), ["fold", "answer_norm"], "left").withColumn("label_unseen", F.col("known").isNull())
+    per_fact = hot_join(per_fact, spread, "answer_norm", ("rows", "one"), ("fact", "answer_norm"), "answer_norm").withColumn("label_unseen", F.col("folds") == 1)
     placed = folds.select("fact", F.col("group").alias("fold_group"), F.col("group_size").alias("fold_group_size"))
     per_fact = per_fact.join(placed, "fact").select("fact", "answer", "fold", "fold_group", "fold_group_size", "samples", "predicted", "label_unseen", "l_rep")
     s = per_fact.agg(F.count("*"), F.sum("samples"), F.avg("l_rep"), F.count_if("label_unseen"), F.count_distinct("fold_group"), F.max("fold_group_size")).first()

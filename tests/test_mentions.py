@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from memaudit.operators import mentions
+from memaudit.operators import joins, mentions
 
 
 def by_trial(texts, phrases):
@@ -31,8 +31,8 @@ def test_small_cases_and_empty_tables(spark):
 def test_hot_words_phrases_and_texts(spark, monkeypatch, heavy, rows):
     """A third of the texts are one word that most phrases hold, and a third of the phrases share a passage; every way of
     the hot join gives what trial gives."""
-    monkeypatch.setattr(mentions, "HEAVY", heavy)
-    monkeypatch.setattr(mentions, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(joins, "HEAVY", heavy)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", rows)
     r = random.Random(3)
     words = ["the", "the", "the", *(f"w{i}" for i in range(25))]
     line = lambda k: " ".join(r.choice(words) for _ in range(k))
