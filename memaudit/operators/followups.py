@@ -29,14 +29,23 @@ def variant_signal(value: Column, answers: Column, ratio: Column) -> Column:
     return F.when(acronym, "acronym").when(ratio >= 0.86, "similar").when(subset, "token-subset").otherwise("review")
 
 
+#: Folds that every count is laid beside.
+MOST_FOLDS = 1_000
+
+
 def majority_priors(facts: DataFrame, by: str = "relation", fold: str = "fold", answer: str = "answer") -> DataFrame:
     """Out-of-fold priors, one row: accuracy of the commonest answer overall and per relation (ties to the smaller answer)
-    and the share of facts whose answer is seen out of fold. Counts out of a fold are the totals less the fold's own."""
+    and the share of facts whose answer is seen out of fold. Counts out of a fold are the totals less the fold's own.
+    More than MOST_FOLDS folds are an error."""
+    folds = facts.select(fold).distinct()
+    n_folds = folds.count()
+    if n_folds > MOST_FOLDS:
+        raise ValueError(f"{n_folds} folds; at most {MOST_FOLDS} are compared")
 
     def modes(keys: list[str]) -> DataFrame:
         inside = facts.groupBy(*keys, answer, fold).agg(F.count("*").alias("inside"))
         every = facts.groupBy(*keys, answer).agg(F.count("*").alias("n"))
-        grid = every.crossJoin(F.broadcast(facts.select(fold).distinct()))
+        grid = every.crossJoin(F.broadcast(folds))
         counts = grid.join(inside, [*keys, answer, fold], "left").withColumn("n", F.col("n") - F.coalesce("inside", F.lit(0))).where("n > 0")
         return counts.groupBy(*keys, fold).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(answer).alias("a")))["a"].alias("mode"))
 

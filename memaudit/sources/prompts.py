@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memaudit.functions import text as T
+from memaudit.operators.joins import small
 from memaudit.operators.scratch import stored
 
 PROMPTS = """prompt_id string, fact_id string, prompt_text string, gold_object string, object_aliases array<string>,
@@ -124,7 +125,7 @@ def googlere(rows: DataFrame, templates: DataFrame, cap: int = 2000) -> DataFram
     """Relation triples: uuid, sub_label, obj_label, predicate, pos -> prompts from templates (predicate, template with [X]
     and [Y]); at most cap per relation, in order of pos; the first of each uuid."""
     first = rows.withColumn("__r", F.row_number().over(Window.partitionBy("uuid").orderBy("pos"))).where("__r = 1")
-    told = first.join(F.broadcast(templates), "predicate").withColumn("prompt_text", F.rtrim(F.substring_index(F.replace(F.col("template"), F.lit("[X]"), F.col("sub_label")), "[Y]", 1)))
+    told = first.join(F.broadcast(templates) if small(templates, "template") else templates, "predicate").withColumn("prompt_text", F.rtrim(F.substring_index(F.replace(F.col("template"), F.lit("[X]"), F.col("sub_label")), "[Y]", 1)))
     kept = told.withColumn("__r", F.row_number().over(Window.partitionBy("predicate").orderBy("pos"))).where(F.col("__r") <= cap)
     return kept.select(F.col("uuid").alias("fact_id"), "prompt_text", F.col("obj_label").alias("gold_object"), F.col("sub_label").alias("subject"), F.col("predicate").alias("relation"))
 

@@ -7,10 +7,12 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from memaudit.functions import stats
 from memaudit.functions import text as T
+from memaudit.operators import followups
 from memaudit.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -88,3 +90,11 @@ def test_odds_ratio_matches_a_plain_newton_fit(spark):
         p = 1 / (1 + np.exp(-x @ beta))
         beta += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x, x.T @ (hit - p))
     assert math.isclose(out["slope"], beta[1], abs_tol=1e-5) and out["low"] < out["odds_ratio"] < out["high"]
+
+
+def test_too_many_folds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(followups, "MOST_FOLDS", 3)
+    df = spark.createDataFrame([(i, "r", "a") for i in range(4)], "fold int, relation string, answer string")
+    with pytest.raises(ValueError, match="4 folds"):
+        followups.majority_priors(df)
+    assert followups.majority_priors(df.where("fold < 3")).first()["facts"] == 3
