@@ -7,14 +7,15 @@ best shells first, which gives its k-th score so far, and then all shells whose
 is what an exhaustive search returns, however well or badly the cells fit.
 
 Centroids are fitted on a bounded sample (SAMPLE rows); every entry is indexed. Entries are stored in blocks by shell.
-Queries meet shells as blocks too, in a shuffle join on the shell: neither side is collected or broadcast, only the
-centroids and the table of shells are, whose sizes are parameters (at most CELLS x dimension and CELLS x SHELLS numbers).
+Queries meet shells as blocks too (search.met): neither side is collected, broadcast or repeated per visit, only the
+centroids and the table of shells are broadcast, whose sizes are parameters (at most CELLS x dimension and CELLS x SHELLS
+numbers).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import stored
-from .search import top_k
+from .search import best_held, block_pairs, met, over, packed, scores, top_k
 
 #: Cells at most; fewer for small tables (the square root of the entries).
 CELLS = 1024
@@ -34,6 +35,8 @@ SHELLS = 8
 SAMPLE = 100_000
 #: Bytes of vectors in a block, and rows at most.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 4096
+#: Rows that wait for a merge into the best of a block of queries.
+WAITING = 100_000
 #: Angles are compared with this slack, which covers the rounding of arccos near 0.
 SLACK = 1e-6
 
@@ -168,64 +171,105 @@ class _Bounds:
         gap = np.maximum(angle - self.high, self.low - angle) - SLACK
         return np.cos(np.maximum(gap, 0.0))
 
-    def first(self, x: np.ndarray, k: int, floor: float) -> list[np.ndarray]:
-        """For each query, the shells of the best bounds that hold k entries, as far as they reach the floor."""
+    def first(self, x: np.ndarray, k: int, floor: float) -> np.ndarray:
+        """For each query, whether a shell is among those of the best bounds that hold k entries, as far as they reach the floor."""
         bound = self(x)
         order = np.argsort(-bound, axis=1, kind="stable")
         before = np.cumsum(self.n[order], axis=1) - self.n[order]
-        return [self.shell[o[(b < k) & (row[o] >= floor)]] for o, b, row in zip(order, before, bound)]
+        out = np.zeros(bound.shape, bool)
+        np.put_along_axis(out, order, before < k, axis=1)
+        return out & (bound >= floor)
 
-    def over(self, x: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
-        """For each query, all shells whose bound reaches its score."""
-        return [self.shell[row >= s] for row, s in zip(self(x), score)]
+    def over(self, x: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """For each query, whether a shell's bound reaches its score."""
+        return self(x) >= score[:, None]
 
 
-def _visits(queries: DataFrame, index: VectorIndex, query_col: str, choose) -> DataFrame:
-    """queries (query_col, vector, more doubles) with the shells that choose(bounds, vectors, *more) names."""
-    shared = queries.sparkSession.sparkContext.broadcast(_Bounds(index))
-    kind = queries.schema[query_col].dataType
+#: What a search visits: (bounds, vectors, each query's least score) to a query's shells, as booleans.
+Choice = Callable[[_Bounds, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _chosen(choose: Choice, bounds: _Bounds, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+    return np.concatenate([choose(bounds, x[i : i + 256], least[i : i + 256]) for i in range(0, len(x), 256)])
+
+
+def _bundled(index: VectorIndex) -> DataFrame:
+    """The index's blocks end to end in rows of bounded size, as search.met() takes them: shells and sizes tell them apart."""
+    kind = index.blocks.schema["ids"].dataType.elementType
+    schema = pa.schema([("shells", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int64())), ("ids", pa.list_(to_arrow_type(kind))), ("flat", pa.list_(pa.float64())), ("bytes", pa.int64())])
+
+    def whole(parts: list[tuple]) -> pa.RecordBatch:
+        lists = [[p[0] for p in parts], [len(p[1]) for p in parts], pa.concat_arrays([p[1] for p in parts]), pa.concat_arrays([p[2] for p in parts])]
+        values = [pa.array(v, t.type.value_type) if isinstance(v, list) else v for v, t in zip(lists, schema)]
+        arrays = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in values]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([8 * len(values[3])], pa.int64())], schema=schema)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for b in stream:
-            for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                x = _matrix(part.column(1), part.num_rows)
-                shells = choose(shared.value, x, *(c.to_numpy(zero_copy_only=False) for c in part.columns[2:]))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.tolist() for s in shells], pa.list_(pa.int32()))], names=[query_col, "vector", "shells"])
+            for i in range(b.num_rows):
+                parts.append((b.column(0)[i].as_py(), b.column(1)[i].values, b.column(2)[i].values))
+                size += 8 * len(parts[-1][2])
+                if size >= BLOCK_BYTES:
+                    yield whole(parts)
+                    parts, size = [], 0
+        if parts:
+            yield whole(parts)
+
+    return stored(index.blocks.select("shell", "ids", "flat").mapInArrow(run, f"shells array<int>, sizes array<long>, ids array<{kind.simpleString()}>, flat array<double>, bytes long"), "bundles")
 
-    return queries.mapInArrow(run, f"{query_col} {kind.simpleString()}, vector array<double>, shells array<int>")
 
+def _met(queries: DataFrame, index: VectorIndex, bundles: DataFrame | None, choose: Choice, k: int | None, floor: float, query_col: str) -> DataFrame:
+    """(query_col, entry_col, score) of visited shells: the k best of each query and part of the index, or all over the floor.
 
-def _met(visits: DataFrame, index: VectorIndex, k: int | None, floor: float, query_col: str) -> DataFrame:
-    """(query_col, entry_col, score) of visited shells: the k best of each query and block, or all over the floor."""
+    queries: query_col, vector, least. Queries and shells meet as blocks (search.met), and what a query visits is chosen where
+    it meets them: neither its vector nor its list of shells is written or shuffled per visit.
+    """
     entry_col = index.entry_col
-    q_kind, e_kind = visits.schema[query_col].dataType, index.blocks.schema["ids"].dataType.elementType
+    q_kind, e_kind = queries.schema[query_col].dataType, index.blocks.schema["ids"].dataType.elementType
     ddl = f"{query_col} {q_kind.simpleString()}, {entry_col} {e_kind.simpleString()}, score double"
-    if not index.n_entries:
-        return visits.sparkSession.createDataFrame([], ddl)
-    rows = visits.select(query_col, "vector", F.explode("shells").alias("shell"))
-    dim = index.centroids.shape[1]
-    size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * dim)))
-    counts = rows.groupBy("shell").agg(F.ceil(F.count("*") / size).cast("int").alias("groups"))  # one row a shell
-    dealt = rows.join(F.broadcast(counts), "shell").withColumn("group", F.pmod(F.xxhash64(query_col), "groups"))
-    asked = _blocks(dealt, ["shell", "group"], query_col, "query_ids", "query_flat")
+    if bundles is None:
+        return queries.sparkSession.createDataFrame([], ddl)
     schema = pa.schema([(query_col, to_arrow_type(q_kind)), (entry_col, to_arrow_type(e_kind)), ("score", pa.float64())])
+    shared = queries.sparkSession.sparkContext.broadcast(_Bounds(index))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in stream:
-            for i in range(b.num_rows):
-                qs, es = b.column(0)[i].values, b.column(2)[i].values
-                x, y = (b.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(len(ids), dim) for c, ids in ((1, qs), (3, es)))
-                scores = np.round(x @ y.T, 12)
-                least = floor
-                if k is not None and len(es) > k:  # the k best, with all that tie
-                    least = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])[:, None]
-                q, e = np.nonzero(scores >= least)
-                for at in range(0, len(q), 200_000):
-                    cut = slice(at, at + 200_000)
-                    yield pa.RecordBatch.from_arrays([qs.take(pa.array(q[cut])), es.take(pa.array(e[cut])), pa.array(scores[q[cut], e[cut]])], schema=schema)
-
-    pairs = asked.join(index.blocks, "shell").select("query_ids", "query_flat", "ids", "flat")
-    return pairs.mapInArrow(run, ddl)
+        block, names, visits, held, low, waiting = None, None, None, None, None, []
+        place = {int(s): i for i, s in enumerate(shared.value.shell)}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if held is not None or waiting:
+                q, e, s = (c.combine_chunks() for c in (best_held(held, pa.concat_tables(waiting), k, low) if waiting else held).columns)
+                yield pa.RecordBatch.from_arrays([names.take(q), e, s], schema=schema)
+
+        for name, column, x, y in block_pairs(stream):
+            if name != block:
+                yield from rows()
+                least = column("q_least").to_numpy(zero_copy_only=False)
+                block, names, held, low, waiting = name, column("q_ids"), None, np.maximum(least, floor), []
+                visits = _chosen(choose, shared.value, x, least)
+            es, end = column("e_ids"), 0
+            for shell, size in zip(column("e_shells").to_pylist(), column("e_sizes").to_pylist()):
+                start, end = end, end + size
+                who = np.flatnonzero(visits[:, place[shell]])
+                if not len(who):
+                    continue
+                for at, raw in scores(x[who], y[start:end]):
+                    q, e, s = over(raw, low[who])
+                    if k is not None and raw.shape[1] > k and len(q) > 4 * k * len(who):  # only the k best, with all that tie
+                        q, e, s = over(raw, np.maximum(low[who], np.round(np.partition(raw, -k, axis=1)[:, -k], 12)))
+                    if k is None:
+                        for cut in range(0, len(q), 100_000):
+                            part = slice(cut, cut + 100_000)
+                            yield pa.RecordBatch.from_arrays([names.take(pa.array(who[q[part]])), es.take(pa.array(e[part] + start + at)), pa.array(s[part])], schema=schema)
+                    elif len(q):
+                        waiting.append(pa.table({"q": pa.array(who[q], pa.int64()), "e": es.take(pa.array(e + start + at)), "s": pa.array(s)}))
+                        if sum(t.num_rows for t in waiting) > WAITING:
+                            held, waiting = best_held(held, pa.concat_tables(waiting), k, low), []
+        yield from rows()
+
+    asked = packed(queries.withColumnRenamed(query_col, "ids"), ("ids", "least"))
+    return met(asked, bundles, run, ddl)
 
 
 def _asked(queries: DataFrame, query_col: str) -> DataFrame:
@@ -238,33 +282,37 @@ def nearest(queries: DataFrame, index: VectorIndex, k: int, min_score: float = -
     queries: query_col (unique), vector (unit). Ties go to the smaller id; scores are rounded to 12 places.
     """
     queries = _asked(queries, query_col)
+    least = queries.withColumn("least", F.lit(float(min_score)))
+    bundles = _bundled(index) if index.n_entries else None
+    begin = lambda bounds, x, s: bounds.first(x, k, min_score - SLACK)
+    first = stored(top_k(_met(least, index, bundles, begin, k, min_score, query_col), k, (query_col,), index.entry_col), "met-first")
+    kth = first.where(F.col("rank") == k).select(query_col, F.col("score").alias("least"))
+    reach = stored(queries.join(kth, query_col, "left").withColumn("least", F.coalesce("least", F.lit(float(min_score)))), "reach")
+    more = _met(reach, index, bundles, lambda bounds, x, s: bounds.over(x, s - 1e-9) & ~begin(bounds, x, s), k, min_score, query_col)
+    best = top_k(first.drop("rank").unionByName(more), k, (query_col,), index.entry_col)
+    return best, _scored(reach, index, lambda bounds, x, s: bounds.over(x, s - 1e-9) | begin(bounds, x, s), query_col)
+
+
+def _scored(queries: DataFrame, index: VectorIndex, choose: Choice, query_col: str) -> DataFrame:
+    """(query_col, scored): the entries of all shells that each query visits."""
     if not index.n_entries:
-        return top_k(_met(queries.withColumn("shells", F.array().cast("array<int>")), index, k, min_score, query_col), k, (query_col,), index.entry_col), queries.select(query_col, F.lit(0).cast("long").alias("scored"))
-    seen = stored(_visits(queries, index, query_col, lambda bounds, x: bounds.first(x, k, min_score - SLACK)), "visits-first")
-    first = stored(top_k(_met(seen, index, k, min_score, query_col), k, (query_col,), index.entry_col), "met-first")
-    kth = first.where(F.col("rank") == k).select(query_col, F.col("score").alias("kth"))
-    reach = seen.join(kth, query_col, "left").withColumn("kth", F.coalesce("kth", F.lit(float(min_score))))
-    more = _visits(reach.select(query_col, "vector", "kth"), index, query_col, lambda bounds, x, s: bounds.over(x, s - 1e-9))
-    more = more.select(query_col, "vector", F.col("shells").alias("all")).join(seen.select(query_col, F.col("shells").alias("done")), query_col)
-    more = stored(more.select(query_col, "vector", F.array_except("all", "done").alias("shells")), "visits-more")
-    both = first.drop("rank").unionByName(_met(more.where(F.size("shells") > 0), index, k, min_score, query_col))
-    return top_k(both, k, (query_col,), index.entry_col), _scored(seen.unionByName(more), index, query_col)
+        return queries.select(query_col, F.lit(0).cast("long").alias("scored"))
+    shared, kind = queries.sparkSession.sparkContext.broadcast(_Bounds(index)), queries.schema[query_col].dataType
 
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in stream:
+            if b.num_rows:
+                visits = _chosen(choose, shared.value, _matrix(b.column(1), b.num_rows), b.column(2).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(visits @ shared.value.n, pa.int64())], names=[query_col, "scored"])
 
-def _scored(visits: DataFrame, index: VectorIndex, query_col: str) -> DataFrame:
-    sizes = visits.sparkSession.createDataFrame(list(zip(index.shells["shell"].to_pylist(), index.shells["n"].to_pylist())), "shell int, n long")
-    each = visits.select(query_col, F.explode_outer("shells").alias("shell")).join(F.broadcast(sizes), "shell", "left")
-    return each.groupBy(query_col).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scored"))
+    return queries.select(query_col, "vector", "least").mapInArrow(run, f"{query_col} {kind.simpleString()}, scored long")
 
 
 def score_pairs(queries: DataFrame, index: VectorIndex, min_score: float, query_col: str = "fact") -> DataFrame:
-    """(query_col, entry, score) of all pairs at or over min_score, as search.score_pairs() gives them."""
-    queries = _asked(queries, query_col)
-    if not index.n_entries:
-        return _met(queries.withColumn("shells", F.array().cast("array<int>")), index, None, min_score, query_col)
-    at = queries.withColumn("least", F.lit(float(min_score)))
-    visits = _visits(at, index, query_col, lambda bounds, x, s: bounds.over(x, s - 1e-9))
-    return _met(stored(visits, "visits"), index, None, min_score, query_col)
+    """(query_col, entry, score) of all pairs at or over min_score, as search.score_pairs() gives them; streamed like those."""
+    queries = _asked(queries, query_col).withColumn("least", F.lit(float(min_score)))
+    bundles = _bundled(index) if index.n_entries else None
+    return _met(queries, index, bundles, lambda bounds, x, s: bounds.over(x, s - 1e-9), None, min_score, query_col)
 
 
 def write(index: VectorIndex, path: str) -> None:

@@ -82,3 +82,10 @@ def test_queries_in_blocks_of_bounded_bytes(spark, data, monkeypatch):
     whole = rows(search.nearest(queries, entries, 3)), rows(search.score_pairs(queries, entries, 0.9))
     monkeypatch.setattr(search, "QUERY_BYTES", 8 * 24 * 50)  # 181 queries in blocks of 50
     assert (rows(search.nearest(queries, entries, 3)), rows(search.score_pairs(queries, entries, 0.9))) == whole
+
+
+def test_vectors_are_not_repeated_per_visit(spark, data):
+    """However many shells a query visits, its vector is shuffled once a meeting: no join by shell, no row a visit."""
+    queries, entries, index = data
+    plan = vector_index.score_pairs(queries, index, -1.0)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Generate" not in plan and "HashJoin" not in plan and "SortMergeJoin" not in plan
