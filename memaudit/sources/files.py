@@ -154,6 +154,16 @@ def write_csv(df: DataFrame, path: str, parts: bool = False) -> None:
     (flat if parts else flat.coalesce(1)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+#: Bytes of text that a file of in_parts() holds, about.
+PART_BYTES = 32 << 20
+
+
+def in_parts(df: DataFrame, text: str, size: int = PART_BYTES) -> DataFrame:
+    """df dealt over so many partitions that each has about `size` bytes of its column text, counted first."""
+    total = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    return df.repartition(max(1, -(-total // size)))
+
+
 def union_by_name(*frames: DataFrame) -> DataFrame:
     """Rows of frames with unlike columns under the union of these."""
     out = frames[0].select("*")  # a typed frame, such as a range, would keep its type
