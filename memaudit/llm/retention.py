@@ -3,8 +3,9 @@
 Clients with a start are numbered densely in the order of segment, cohort and id (range partition, carried counts), so a
 cell's users lie in few chunks of 1,024 numbers. Every known event of such a client sets a bit of its cell (state,
 segment, cohort, period) in the client's chunk. Tasks combine events into one container per cell and chunk - the set
-bits as 16-bit numbers, or a plain bitmap where that is shorter - before anything is shuffled; containers of a chunk's
-cells then meet sorted by cell, beside the chunk's table, and are OR-merged as a stream. Users are population counts; users that moved between cohorts are the
+bits as 16-bit numbers, or a plain bitmap where that is shorter - before anything is shuffled; what many tasks made of one
+cell and chunk is united in groups of tasks. Containers of a chunk's cells then meet sorted by cell, beside the chunk's
+table, and are OR-merged as a stream. Users are population counts; users that moved between cohorts are the
 intersection with a bitmap made of the chunk's state bitmaps; crc32 sums look the set bits up in the chunk's table.
 A chunk's results are added up by cell.
 """
@@ -18,17 +19,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import batches, stored
 from .scan import running
 
 CHUNK_BITS = 10
 CHUNK = 1 << CHUNK_BITS
 #: A chunk's cells are dealt by hash over so many parts, each with the chunk's table.
 PARTS = 16
+#: Containers of a cell and chunk are united in so many groups of tasks, then those of the groups.
+PIECES = 16
 DAY = 86_400_000_000
 #: Events that a task combines at a time: bounded memory, and one row per cell and chunk of them leaves it.
 COMBINE = 1 << 19
 _CELLS = "chunk long, kind int, state int, segment string, cohort long, period long, bits binary, cents long"
+_CELLS_ARROW = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("state", pa.int32()), ("segment", pa.string()), ("cohort", pa.int64()), ("period", pa.int64()), ("bits", pa.binary()), ("cents", pa.int64())])
 
 
 def pack(bits: np.ndarray) -> bytes:
@@ -54,8 +58,6 @@ def micros(ts: Column) -> Column:
 
 def _containers(events: DataFrame) -> DataFrame:
     """Events (state, segment, cohort, period, number, cents) to containers by cell and chunk, combined within tasks."""
-    schema = pa.schema([("chunk", pa.int64()), ("kind", pa.int32()), ("state", pa.int32()), ("segment", pa.string()), ("cohort", pa.int64()), ("period", pa.int64()), ("bits", pa.binary()), ("cents", pa.int64())])
-
     def combined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
         names = rows["segment"].combine_chunks().dictionary_encode()
@@ -69,7 +71,7 @@ def _containers(events: DataFrame) -> DataFrame:
         cell = np.flatnonzero(differs([*key[:4], chunk]))
         packed = [pack(b) for b in np.split(bit, cell[1:])]
         column = lambda k, t: pa.array(k[cell], t)
-        yield pa.RecordBatch.from_arrays([column(chunk, pa.int64()), pa.array(np.ones(len(cell), np.int32)), column(key[1], pa.int32()), names.dictionary.take(column(key[0], pa.int32())), column(key[2], pa.int64()), column(key[3], pa.int64()), pa.array(packed, pa.binary()), pa.array(np.add.reduceat(cents, cell))], schema=schema)
+        yield pa.RecordBatch.from_arrays([column(chunk, pa.int64()), pa.array(np.ones(len(cell), np.int32)), column(key[1], pa.int32()), names.dictionary.take(column(key[0], pa.int32())), column(key[2], pa.int64()), column(key[3], pa.int64()), pa.array(packed, pa.binary()), pa.array(np.add.reduceat(cents, cell))], schema=_CELLS_ARROW)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -85,6 +87,42 @@ def _containers(events: DataFrame) -> DataFrame:
     return events.select("state", "segment", "cohort", "period", "number", "cents").mapInArrow(run, _CELLS)
 
 
+def union(held: list[bytes]) -> bytes:
+    """One container with the bits of all."""
+    if len(held) == 1:
+        return held[0]
+    mask = np.zeros(CHUNK, bool)
+    for data in held:
+        mask[unpack(data)] = True
+    return pack(np.flatnonzero(mask))
+
+
+def _united(cells: DataFrame) -> DataFrame:
+    """_containers() with at most PIECES rows a cell and chunk. Each task that gets events of a dealt-out client makes a
+    container of each of its cells, so those would be as many as the tasks, all in one part of one chunk."""
+    keys = ["chunk", "kind", "state", "segment", "cohort", "period", "piece"]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            key, held, cents = None, [], 0
+            for b in stream:
+                for *own, bits, add in zip(*(c.to_pylist() for c in b.columns)):
+                    if own != key:
+                        if key is not None:
+                            yield (*key[:-1], union(held), cents)
+                        key, held, cents = own, [], 0
+                    held, cents = [*held, bits], cents + add
+                    if len(held) == 64:
+                        held = [union(held)]
+            if key is not None:
+                yield (*key[:-1], union(held), cents)
+
+        yield from batches(rows(), _CELLS_ARROW, weigh=lambda r: 64 + len(r[-2]))
+
+    dealt = cells.withColumn("piece", F.pmod(F.spark_partition_id(), F.lit(PIECES))).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.select(*keys, "bits", "cents").mapInArrow(run, _CELLS)
+
+
 def _merged(rows: DataFrame) -> DataFrame:
     """Rows sorted by chunk, kind and cell to users, users_crc32, moved and cents of each cell in each chunk."""
     schema = pa.schema([("state", pa.int32()), ("segment", pa.string()), ("cohort", pa.int64()), ("period", pa.int64()), ("users", pa.int64()), ("users_crc32", pa.int64()), ("moved", pa.int64()), ("cents", pa.int64())])
@@ -174,7 +212,7 @@ def retention(clicks: DataFrame, clients: DataFrame, known_by: str = "2024-02-15
     known_in = met.select("segment", "number", "cents", "at", F.explode(states).alias("s"))
     begun = known_in.select("segment", "number", "cents", "at", F.col("s.state").alias("state"), F.col("s.start").alias("start"))
     period = F.expr(f"(at - start) div {DAY * period_days}")
-    cells = _containers(begun.select("state", "segment", cohort("start").alias("cohort"), period.alias("period"), "number", "cents"))
+    cells = _united(_containers(begun.select("state", "segment", cohort("start").alias("cohort"), period.alias("period"), "number", "cents")))
     none = lambda kind: F.lit(None).cast(kind)
     tables = tables.select("chunk", F.lit(0).alias("kind"), none("int").alias("state"), none("string").alias("segment"), none("long").alias("cohort"), none("long").alias("period"), none("binary").alias("bits"), none("long").alias("cents"), "table", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
     cells = cells.withColumn("table", F.lit(None).cast(tables.schema["table"].dataType)).withColumn("part", F.pmod(F.xxhash64("state", "segment", "cohort", "period"), F.lit(PARTS)).cast("int"))

@@ -248,6 +248,25 @@ def test_retention_of_chunks_and_small_buffers(spark, monkeypatch):
     assert got == plain_retention(rows, clients, dt.datetime(2024, 2, 15))
 
 
+def test_hot_cells_have_few_containers(spark, monkeypatch):
+    """A client with most of the events, dealt over many tasks and buffers, brings at most PIECES containers a cell to a chunk's part."""
+    from memaudit.llm import retention as module
+
+    monkeypatch.setattr(module, "COMBINE", 20)
+    rows = [(c, START, START, c, "signup", 1.0, None) for c in range(50)] + [(10**6 + i, START + DAY * (1 + i % 3), START, 5, "view", 0.25, None) for i in range(4000)]
+    most, merged = [], module._merged
+
+    def counted(both):
+        most.append(both.where("kind = 1").groupBy("chunk", "state", "segment", "cohort", "period").count().agg(F.max("count")).first()[0])
+        return merged(both)
+
+    monkeypatch.setattr(module, "_merged", counted)
+    clients = [(c, "s") for c in range(50)]
+    got = found(module.retention(spark.createDataFrame(rows, CLICKS).repartition(8), spark.createDataFrame(clients, "client_id long, segment string")))
+    assert got == plain_retention(rows, clients, dt.datetime(2024, 2, 15))
+    assert most[0] <= module.PIECES
+
+
 def test_retention_edges(spark):
     from memaudit.llm.retention import retention
 
