@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from . import search
+
+#: Pairs of a block whose hidden score is computed at a time.
+PAIRS = 50_000
 #: A subject's best candidates that travel as one list. A job that hides all of them, where there are more, stays open.
 PAGE = 4096
 
@@ -86,6 +90,65 @@ def settled(found: DataFrame, ranked: DataFrame, hidden: DataFrame, by: list[str
     return found.join(late, [*by, "rho"], "left").select(*by, "rho", F.coalesce("place", "late").alias("place"))
 
 
+def geometric_survivors(jobs: DataFrame, entries: DataFrame, by: list[str], radii: list[float], threshold: float, carry: tuple[str, ...] = (), entry_col: str = "entry_id") -> DataFrame:
+    """(by, rho, entry_col, score, carry): of each job and radius the best entry at or over the threshold that the target's
+    geometric closure leaves, ties to the smaller id; no row where it leaves none.
+
+    jobs: by, vector (the subject's), target_vector and seed (the target's own entry, hidden at every radius). entries:
+    entry_col, vector, carry. An entry is hidden at rho if its cosine to target_vector is at least rho. Blocks of jobs
+    meet blocks of entries; a job keeps one entry a radius, and of a pair that could be better than one of these the
+    target's cosine is taken there. Neither candidates nor closures are written: what is shuffled has the jobs' size.
+    """
+    n = len(radii)
+    own, kinds = [f"own{i}" for i in range(len(by))], [jobs.schema[c].dataType for c in by]
+    fields = [*zip(by, kinds), (entry_col, entries.schema[entry_col].dataType), *((c, entries.schema[c].dataType) for c in carry)]
+    schema = pa.schema([*((c, to_arrow_type(k)) for c, k in fields), ("rho", pa.float64()), ("score", pa.float64())])
+    ddl = ", ".join([*(f"{c} {k.simpleString()}" for c, k in fields), "rho double", "score double"])
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, names, held = None, None, None
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if held is not None and held.num_rows:
+                q, e, s, *rest = (c.combine_chunks() for c in held.columns)
+                job, at = np.divmod(np.asarray(q), n)
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(job)) for c in names), e, *rest, pa.array(np.array(radii, float)[at]), s], schema=schema)
+
+        for name, column, x, y in search.block_pairs(stream):
+            if name != block:
+                yield from rows()
+                block, names, held = name, [column(f"q_{c}") for c in own], None
+                target = column("q_target_vector").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                low = np.full((len(x), n), float(threshold))
+                low[np.ix_((target == x).all(axis=1), np.array(radii) <= threshold)] = np.inf  # hides all that it retrieves
+                low, seeds = low.ravel(), column("q_seed")
+            ids = column("e_ids")
+            for at, raw in search.scores(x, y):
+                every = search.over(raw, low.reshape(-1, n).min(axis=1))
+                for cut in range(0, len(every[0]), PAIRS):
+                    q, e, s = (c[cut : cut + PAIRS] for c in every)
+                    which = pa.array(e + at)
+                    hidden = np.round(np.einsum("ij,ij->i", target[q], y[e + at]), 12)
+                    free = ~pc.fill_null(pc.equal(ids.take(which), seeds.take(pa.array(q))), False).to_numpy(zero_copy_only=False)
+                    slot, pair = [], []
+                    for i, rho in enumerate(radii):
+                        ok = np.flatnonzero(free & (hidden < rho) & (s >= low[q * n + i]))
+                        slot.append(q[ok] * n + i)
+                        pair.append(ok)
+                    pair = pa.array(np.concatenate(pair))
+                    if len(pair):
+                        found = which.take(pair)
+                        t = pa.table({"q": pa.array(np.concatenate(slot), pa.int64()), "e": ids.take(found), "s": pa.array(s).take(pair), **{c: column(f"e_{c}").take(found) for c in carry}})
+                        held = search.best_held(held, t, 1, low)
+        yield from rows()
+
+    q = jobs.select(F.col(by[0]).alias("ids"), "vector", *[F.col(c).alias(o) for c, o in zip(by, own)], "target_vector", "seed")
+    e = entries.select(F.col(entry_col).alias("ids"), "vector", *carry)
+    met = search.met(search.packed(q, ("ids", *own, "target_vector", "seed")), search.packed(e, ("ids", *carry)), run, ddl)
+    best = met.groupBy(*by, "rho").agg(F.min(F.struct((-F.col("score")).alias("down"), entry_col, *carry)).alias("b"))
+    return best.select(*by, "rho", f"b.{entry_col}", (-F.col("b.down")).alias("score"), *[f"b.{c}" for c in carry])
+
+
 def sweep_jobs(targets: DataFrame, neighbors: DataFrame, radii: list[float]) -> DataFrame:
     """(target, subject, role, rho): each target and its neighbours under the target's manifest at every radius."""
     own = targets.select(F.col("fact").alias("target"), F.col("fact").alias("subject"), F.lit("target").alias("role"))
