@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from . import search
 
 #: Pairs of a block whose hidden score is computed at a time.
-PAIRS = 50_000
+PAIRS = 10_000
 #: A subject's best candidates that travel as one list. A job that hides all of them, where there are more, stays open.
 PAGE = 4096
 
