@@ -10,7 +10,8 @@ always indexed by both. A document is indexed under its own band's scheme and vi
 
 Documents that share a key are candidates. Each key's most central document is compared first with the key's others,
 which is linear however large the group; then only pairs that are not yet in one component are left, less those that the
-triangle inequality of the Jaccard distance or a difference bound from parity sketches excludes. Every remaining pair is
+triangle inequality of the Jaccard distance excludes. Either pass leaves out pairs that a difference bound from parity
+sketches excludes. Every remaining pair is
 verified on whole sets, so the components are exact. Sets are sets of 64-bit shingle hashes.
 """
 
@@ -40,6 +41,8 @@ GROUP = 256
 CELL = 2048
 #: Cost model: chance that two documents agree in one shingle, and the cost of a candidate in index rows.
 AGREE, CANDIDATE = 0.02, 4.0
+#: About so many sets' keys tell where the key space is cut into ranges, each of about so many rows.
+SAMPLE, RANGE_ROWS = 2000, 1_000_000
 #: Longs of a parity sketch: bit b is the parity of the number of hashes that fall on b, so two sketches differ in at
 #: most as many bits as their sets differ in shingles, whatever the sets' sizes.
 SKETCH = 8
@@ -199,13 +202,26 @@ def _members(source: DataFrame, n: int) -> DataFrame:
     return source.mapInArrow(run, f"doc {kind.simpleString()}, th long, node long, size long, sketch array<long>")
 
 
-def _keys(source: DataFrame, n: int, starts: list[int], alloc: list[tuple[int, int]]) -> DataFrame:
-    """(key, node, bits): bit 0 a whole segment, bit 1 the document's own band; a set once per task."""
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("bits", pa.int8())])
+def _keys(source: DataFrame, n: int, starts: list[int], alloc: list[tuple[int, int]], bounds: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """(key, node, bits): bit 0 a whole segment, bit 1 the document's own band; a set once per task. With bounds, rows in the
+    order (key, away, node) at which ranges begin, also part, the number of a row's range."""
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("bits", pa.int8()), *([("part", pa.int32())] if bounds is not None else [])])
+    order = np.array(bounds or [], [("key", np.int64), ("away", np.int64), ("node", np.int64)])
+
+    def part_of(key: np.ndarray, node: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        low, part = np.searchsorted(order["key"], key, "left"), np.searchsorted(order["key"], key, "right")
+        for i in np.flatnonzero(low < part):  # keys at a border
+            part[i] = bisect_right(order[low[i] : part[i]].tolist(), (key[i], int(bits[i] < 2), node[i])) + low[i]
+        return part.astype(np.int32)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(n), set()
         held, size = ([], [], []), 0
+
+        def batch():
+            columns = [np.concatenate(x) for x in held]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (columns if bounds is None else [*columns, part_of(*columns)])], schema=schema)
+
         for b in stream:
             for _, text, _ in _rows(b):
                 h = shingle(text)
@@ -223,12 +239,25 @@ def _keys(source: DataFrame, n: int, starts: list[int], alloc: list[tuple[int, i
                         held[2].append(whole + np.int8(home))
                         size += len(keys)
                 if size >= 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], schema=schema)
+                    yield batch()
                     held, size = ([], [], []), 0
         if size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in held], schema=schema)
+            yield batch()
+
+    return source.mapInArrow(run, "key long, node long, bits byte" + ("" if bounds is None else ", part int"))
+
 
-    return source.mapInArrow(run, "key long, node long, bits byte")
+def _bounds(source: DataFrame, n: int, starts: list[int], alloc: list[tuple[int, int]], sets: int, parts: int) -> list[tuple[int, int, int]]:
+    """Where the ranges of all keys begin, from those of about SAMPLE sets: it decides how evenly keys are dealt, and no result.
+    A hot key of theirs is cut as other ranges are."""
+    some = source.where(F.pmod(F.xxhash64("th"), F.lit(max(1, sets // SAMPLE))) == 0)
+    ranged = stored(_keys(some, n, starts, alloc), "sample-keys").repartitionByRange(parts, *_order())
+    first = ranged.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("key", (F.col("bits") < 2).cast("long").alias("away"), "node")).alias("b"))
+    return sorted(tuple(r["b"]) for r in first.collect())[1:]
+
+
+def _order() -> list:
+    return [F.col("key"), (F.col("bits") < 2).alias("away"), F.col("node")]
 
 
 def _shared_runs(keyed: DataFrame) -> DataFrame:
@@ -294,10 +323,12 @@ def _shared_runs(keyed: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "kind byte, key long, node long, bits byte, other long")
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """(key, node, bits) of the keys that at least two nodes share, one of them at home; a hot key isn't dealt to one task."""
-    order = [F.col("key"), (F.col("bits") < 2).alias("away"), F.col("node")]
-    runs = stored(_shared_runs(keyed.repartitionByRange(*order).sortWithinPartitions(*order)), "key-runs")
+def _shared(keyed: DataFrame, parts: int | None = None) -> DataFrame:
+    """(key, node, bits) of the keys that at least two nodes share, one of them at home; a hot key isn't dealt to one task.
+    With parts, keyed tells by `part` which of so many ranges a row is in, and is read once: nothing of its size is written
+    but one shuffle."""
+    ranged = keyed.repartitionByRange(*_order()) if parts is None else keyed.repartitionById(parts, F.col("part")).drop("part")
+    runs = stored(_shared_runs(ranged.sortWithinPartitions(*_order())), "key-runs")
     edges = runs.where("kind = 1").groupBy("key").agg(F.min("node").alias("lo"), F.max("other").alias("hi"), F.max("bits").alias("any"))
     late = runs.where("kind = 2").join(F.broadcast(edges.where("lo < hi and any >= 2").select("key")), "key", "left_semi")  # two keys a partition at most
     out = stored(runs.where("kind = 0").unionByName(late).select("key", "node", "bits"), "shared-keys")
@@ -387,9 +418,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     nodes = stored(nodes, "sets")
     counts = {r["band"]: r["count"] for r in nodes.select(band.alias("band")).groupBy("band").count().collect()}
     starts, alloc = schemes(percent, counts, deletions)
-    keyed = stored(_keys(source, n, starts, alloc), "keys")
-    shared = _shared(keyed)
-    discard(keyed)
+    sets = sum(counts.values())
+    segments = sum(c * sum(sum(alloc[b]) for b in (i, i - 1) if b >= 0) for i, c in counts.items())
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-segments // RANGE_ROWS))
+    bounds = _bounds(source, n, starts, alloc, sets, parts)
+    shared = _shared(_keys(source, n, starts, alloc, bounds), len(bounds) + 1)
 
     # First pass: each key's most central node against the key's others.
     sizes = shared.groupBy("key").agg(F.count("*").alias("k"))
@@ -397,7 +430,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     leaders = shared.join(centre, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"), F.count("*").alias("k")).select("key", F.col("top.node").alias("x"), "k")
     led = stored(joined_hot(shared, leaders, "key", "k").select("key", "x", F.col("node").alias("y"), "bits"), "led-keys")
     discard(shared)
-    first = _verified(source, n, led.where("x <> y").select("x", "y").distinct(), nodes.select("node", "rep"))
+    # Pairs that sizes or sketches exclude link in no pass, and their sets aren't shipped.
+    unlike = sum(F.bit_count(F.get("sketch1", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(SKETCH))
+    similar = F.expr(f"100 * least(size1, size2) >= {percent} * greatest(size1, size2)") & (unlike * (100 + percent) <= (100 - percent) * (F.col("size1") + F.col("size2")))
+    pairs = led.where("x <> y").select("x", "y").distinct()
+    for i, at in enumerate("xy", 1):
+        pairs = pairs.join(nodes.select(F.col("node").alias(at), F.col("size").alias(f"size{i}"), F.col("sketch").alias(f"sketch{i}")), at)
+    first = _verified(source, n, pairs.where(similar).select("x", "y"), nodes.select("node", "rep"))
     linked = F.expr(f"100 * shared >= {percent} * (nx + ny - shared)")
     links = first.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     found = components(links)
@@ -407,19 +446,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     open_keys = label.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("k")).where("true" if with_links else "c1 < c2").select("key", "k")
     far = first.select("x", "y", (1 - F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).alias("d"))
     left = joined_hot(label, open_keys, "key", "k").where("k is not null").join(far, ["x", "y"], "left").join(nodes.select(F.col("node").alias("y"), "size", "sketch"), "y")
-    left = stored(left.select("key", "x", "y", "bits", "c", F.coalesce("d", F.lit(0.0)).alias("d"), "size", "sketch", F.ceil(F.col("k") / CELL).cast("int").alias("cells")), "open-keys")
+    left = stored(left.select("key", "x", "y", "bits", "c", F.when(F.col("x") == F.col("y"), F.lit(0.0)).otherwise(F.col("d")).alias("d"), "size", "sketch", F.ceil(F.col("k") / CELL).cast("int").alias("cells")), "open-keys")
     # A key's rows are dealt to cells; each two cells meet in a task of their own.
     cell, every = F.pmod(F.xxhash64("y"), F.col("cells")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
     sides = [left.select("*", cell.alias("i"), every.alias("j")), left.select("*", every.alias("i"), cell.alias("j"))]
     one, two = (side.select(*[F.col(c).alias(f"{c}{at}") for c in side.columns]) for at, side in enumerate(sides, 1))
-    unlike = sum(F.bit_count(F.get("sketch1", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(SKETCH))
     close = (
         F.expr("key1 = key2 and i1 = i2 and j1 = j2")
         & F.expr("y1 < y2 and y1 <> x1 and y2 <> x1" + ("" if with_links else " and c1 <> c2"))
         & F.expr("(bits1 >= 2 or bits2 >= 2) and (bits1 % 2 = 1 or bits2 % 2 = 1)")
-        & F.expr(f"100 * least(size1, size2) >= {percent} * greatest(size1, size2)")
-        & F.expr(f"abs(d1 - d2) <= {(100 - percent) / 100 + 1e-9}")
-        & (unlike * (100 + percent) <= (100 - percent) * (F.col("size1") + F.col("size2")))
+        & F.expr(f"coalesce(abs(d1 - d2) <= {(100 - percent) / 100 + 1e-9}, true)")
+        & similar
     )
     rest = one.join(two, close).select(F.col("y1").alias("x"), F.col("y2").alias("y")).distinct()
     second = _verified(source, n, rest, nodes.select("node", "rep"))
