@@ -97,7 +97,8 @@ def geometric_survivors(jobs: DataFrame, entries: DataFrame, by: list[str], radi
     jobs: by, vector (the subject's), target_vector and seed (the target's own entry, hidden at every radius). entries:
     entry_col, vector, carry. An entry is hidden at rho if its cosine to target_vector is at least rho. Blocks of jobs
     meet blocks of entries; a job keeps one entry a radius, and of a pair that could be better than one of these the
-    target's cosine is taken there. Neither candidates nor closures are written: what is shuffled has the jobs' size.
+    target's cosine is taken there. Jobs of equal vectors, as a subject's are, lie together, and such a vector is scored
+    once. Neither candidates nor closures are written: what is shuffled has the jobs' size.
     """
     n = len(radii)
     own, kinds = [f"own{i}" for i in range(len(by))], [jobs.schema[c].dataType for c in by]
@@ -106,9 +107,15 @@ def geometric_survivors(jobs: DataFrame, entries: DataFrame, by: list[str], radi
     ddl = ", ".join([*(f"{c} {k.simpleString()}" for c, k in fields), "rho double", "score double"])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, names, held = None, None, None
+        block, names, held, waiting = None, None, None, []
+
+        def settle() -> None:
+            nonlocal held, waiting
+            if waiting:
+                held, waiting = search.best_held(held, pa.concat_tables(waiting), 1, low), []
 
         def rows() -> Iterator[pa.RecordBatch]:
+            settle()
             if held is not None and held.num_rows:
                 q, e, s, *rest = (c.combine_chunks() for c in held.columns)
                 job, at = np.divmod(np.asarray(q), n)
@@ -116,35 +123,51 @@ def geometric_survivors(jobs: DataFrame, entries: DataFrame, by: list[str], radi
 
         for name, column, x, y in search.block_pairs(stream):
             if name != block:
-                yield from rows()
-                block, names, held = name, [column(f"q_{c}") for c in own], None
-                target = column("q_target_vector").flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+                if block is not None:
+                    yield from rows()
+                block, names, held, waiting = name, [column(f"q_{c}") for c in own], None, []
+                target = column("q_target_vector").to_numpy(zero_copy_only=False).reshape(len(x), -1)
                 low = np.full((len(x), n), float(threshold))
                 low[np.ix_((target == x).all(axis=1), np.array(radii) <= threshold)] = np.inf  # hides all that it retrieves
                 low, seeds = low.ravel(), column("q_seed")
-            ids = column("e_ids")
-            for at, raw in search.scores(x, y):
-                every = search.over(raw, low.reshape(-1, n).min(axis=1))
-                for cut in range(0, len(every[0]), PAIRS):
-                    q, e, s = (c[cut : cut + PAIRS] for c in every)
-                    which = pa.array(e + at)
-                    hidden = np.round(np.einsum("ij,ij->i", target[q], y[e + at]), 12)
-                    free = ~pc.fill_null(pc.equal(ids.take(which), seeds.take(pa.array(q))), False).to_numpy(zero_copy_only=False)
-                    slot, pair = [], []
-                    for i, rho in enumerate(radii):
-                        ok = np.flatnonzero(free & (hidden < rho) & (s >= low[q * n + i]))
-                        slot.append(q[ok] * n + i)
-                        pair.append(ok)
-                    pair = pa.array(np.concatenate(pair))
-                    if len(pair):
-                        found = which.take(pair)
-                        t = pa.table({"q": pa.array(np.concatenate(slot), pa.int64()), "e": ids.take(found), "s": pa.array(s).take(pair), **{c: column(f"e_{c}").take(found) for c in carry}})
-                        held = search.best_held(held, t, 1, low)
-        yield from rows()
+                _, first, which = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_index=True, return_inverse=True)
+                order = np.argsort(which.ravel(), kind="stable")  # jobs by vector
+                sizes = np.bincount(which.ravel(), minlength=len(first))
+                begins = np.cumsum(sizes) - sizes
+            ids, some = column("e_ids"), x[first]
+            least = np.minimum.reduceat(low.reshape(-1, n).min(axis=1)[order], begins)
+            for u, e, s in search.hits(some, y, least):
+                for part in range(0, len(u), PAIRS):
+                    k = sizes[u[part : part + PAIRS]]
+                    at = np.repeat(np.arange(part, part + len(k)), k)
+                    q = order[np.repeat(begins[u[part : part + PAIRS]] - (np.cumsum(k) - k), k) + np.arange(len(at))]
+                    ok = s[at] >= low.reshape(-1, n).min(axis=1)[q]
+                    at, q = at[ok], q[ok]
+                    for cut in range(0, len(q), PAIRS):
+                        job, entry, score = q[cut : cut + PAIRS], e[at[cut : cut + PAIRS]], s[at[cut : cut + PAIRS]]
+                        better = (score[:, None] >= low.reshape(-1, n)[job]).any(axis=1)  # floors may have risen
+                        job, entry, score = job[better], entry[better], score[better]
+                        ent = pa.array(entry)
+                        hidden = search.pair_scores(target, y, job, entry)
+                        free = ~pc.fill_null(pc.equal(ids.take(ent), seeds.take(pa.array(job))), False).to_numpy(zero_copy_only=False)
+                        ok = [np.flatnonzero(free & (hidden < rho) & (score >= low[job * n + i])) for i, rho in enumerate(radii)]
+                        slot, pair = np.concatenate([job[w] * n + i for i, w in enumerate(ok)]), np.concatenate(ok)
+                        np.maximum.at(low, slot, score[pair])
+                        pair, slot = pair[(last := score[pair] >= low[slot])], slot[last]
+                        if len(pair):
+                            found = pa.array(entry[pair])
+                            waiting.append(pa.table({"q": pa.array(slot, pa.int64()), "e": ids.take(found), "s": pa.array(score[pair]), **{c: column(f"e_{c}").take(found) for c in carry}}))
+                            if sum(t.num_rows for t in waiting) >= search.WAITING:
+                                settle()
+                np.minimum.reduceat(low.reshape(-1, n).min(axis=1)[order], begins, out=least)
+        if block is not None:
+            yield from rows()
 
     q = jobs.select(F.col(by[0]).alias("ids"), "vector", *[F.col(c).alias(o) for c, o in zip(by, own)], "target_vector", "seed")
+    together = [F.xxhash64("vector"), *own]
+    q = q.repartitionByRange(*together).sortWithinPartitions(*together)
     e = entries.select(F.col(entry_col).alias("ids"), "vector", *carry)
-    met = search.met(search.packed(q, ("ids", *own, "target_vector", "seed")), search.packed(e, ("ids", *carry)), run, ddl)
+    met = search.met(search.packed(q, ("ids", *own, "target_vector", "seed"), 2 * search.QUERY_BLOCK), search.packed(e, ("ids", *carry)), run, ddl)
     best = met.groupBy(*by, "rho").agg(F.min(F.struct((-F.col("score")).alias("down"), entry_col, *carry)).alias("b"))
     return best.select(*by, "rho", f"b.{entry_col}", (-F.col("b.down")).alias("score"), *[f"b.{c}" for c in carry])
 

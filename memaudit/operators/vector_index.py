@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .scratch import stored
-from .search import best_held, block_pairs, met, over, packed, scores, top_k
+from .search import SLACK, best_held, block_pairs, met, over, packed, scores, top_k
 
 #: Cells at most; fewer for small tables (the square root of the entries).
 CELLS = 1024
@@ -255,9 +255,10 @@ def _met(queries: DataFrame, index: VectorIndex, bundles: DataFrame | None, choo
                 if not len(who):
                     continue
                 for at, raw in scores(x[who], y[start:end]):
-                    q, e, s = over(raw, low[who])
+                    some = x[who], y[start + at : start + at + raw.shape[1]], raw
+                    q, e, s = over(*some, low[who])
                     if k is not None and raw.shape[1] > k and len(q) > 4 * k * len(who):  # only the k best, with all that tie
-                        q, e, s = over(raw, np.maximum(low[who], np.round(np.partition(raw, -k, axis=1)[:, -k], 12)))
+                        q, e, s = over(*some, np.maximum(low[who], np.partition(raw, -k, axis=1)[:, -k] - SLACK))
                     if k is None:
                         for cut in range(0, len(q), 100_000):
                             part = slice(cut, cut + 100_000)
